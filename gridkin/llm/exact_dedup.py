@@ -98,9 +98,8 @@ def build_index(rows: DataFrame, entries: DataFrame, folder: str, capacity: int)
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
-    """One row for each row of docs: all its columns, then keep_id (the id of the row that stays),
-    group_size, kept, text_sha256 and bucket (of the index); a column of docs that has one of these
-    names gives way to the result.
+    """One row for each row of docs: its id, keep_id (the id of the row that stays), group_size, kept,
+    text_sha256 and bucket (of the index). Other columns of docs, whatever their names, are left alone.
 
     A null text counts as empty. Of rows with equal texts the one with the largest id stays; a null
     id is smaller than any other, and of rows that tie one stays. An empty table gives no rows.
