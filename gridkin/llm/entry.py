@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridkin.llm._common import documents
+from gridkin.llm.bpe import encode
 from gridkin.llm.exact_dedup import exact_dedup
+from gridkin.llm.mixing import mix
+from gridkin.llm.sharding import shard
+from gridkin.llm.topk import top_k
+from gridkin.llm.url_filter import url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +21,52 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return shard(docs, n_shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(documents(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op5_sharding": op5_sharding,
+        "op6_exact_top_k": op6_exact_top_k,
+        "op7_mixing": op7_mixing,
+        "op8_url_filter": op8_url_filter,
+        "op10_byte_bpe": op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
@@ -27,4 +77,44 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, s AS text_sha256
             FROM d WINDOW w AS (PARTITION BY s)""",
+        "op6_exact_top_k": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id,
+                       CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s QUALIFY rank <= 5""",
+        "op8_url_filter": """
+            WITH RECURSIVE rules(host, path, action) AS (
+                VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                       ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+            ), tags AS (
+                SELECT url AS a, unnest([
+                    regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+                    regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)
+                ]) AS b FROM pages
+            ), links AS (
+                SELECT a, CASE WHEN b LIKE '%://%' THEN b WHEN b LIKE '//%' THEN split_part(a, '//', 1) || b
+                    WHEN b LIKE '/%' THEN regexp_extract(a, '^[^:/?#]+://[^/?#]*') || b END AS b
+                FROM tags WHERE b <> '' AND a IS NOT NULL
+            ), pairs AS (SELECT a, b FROM links WHERE b IS NOT NULL UNION SELECT b, a FROM links WHERE b IS NOT NULL
+            ), reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+            ), urls AS (
+                SELECT DISTINCT url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+                FROM (SELECT url FROM pages UNION SELECT a FROM pairs)
+            ), judged AS (
+                SELECT url, u.host, u.path, r.host || r.path AS rule, action
+                FROM urls u LEFT JOIN rules r ON (u.host = r.host OR u.host LIKE '%.' || r.host) AND starts_with(u.path, r.path)
+                QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(r.host || r.path) DESC) = 1
+            ), passed AS (
+                SELECT a AS url, min(action) AS passed FROM reach JOIN judged j ON reach.b = j.url GROUP BY a
+            )
+            SELECT page_id, host, path, rule, coalesce(action, passed, 'allow') AS verdict
+            FROM pages JOIN judged j ON pages.url IS NOT DISTINCT FROM j.url LEFT JOIN passed p ON p.url = pages.url""",
     }
