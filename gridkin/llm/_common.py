@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridkin-{uuid.uuid4().hex}"
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    home = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: read often, computed once, no lineage."""
     path = f"{folder}/{name}"

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import shared_dir, written
+from gridkin.llm._common import find_package, shared_dir, written
 
 #: Rows of a block.
 BLOCK = 512
@@ -84,6 +84,7 @@ def top_k(
     rows. All vectors have one length; sums stay exact below 2**53, and an index that could pass
     that is refused. Other columns are left alone.
     """
+    find_package(rows.sparkSession)
     spark, folder = rows.sparkSession, shared_dir(rows.sparkSession)
 
     def clean(df: DataFrame) -> DataFrame:
