@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridkin.llm import langid, toxicity
 from gridkin.llm._common import documents
 from gridkin.llm.bpe import encode
 from gridkin.llm.exact_dedup import exact_dedup
+from gridkin.llm.minhash import near_duplicates
 from gridkin.llm.mixing import mix
+from gridkin.llm.secret_scan import KINDS, scan_secrets
 from gridkin.llm.sharding import shard
 from gridkin.llm.topk import top_k
 from gridkin.llm.url_filter import url_filter
@@ -21,6 +24,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base_text", 256).alias("base_sha256"), "spans", "n_copied", "n_live")
+
+
+def held_out(doc_id: Column, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = documents(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learn = docs.join(labels.where(~held_out(F.col("doc_id"), 5, 0)), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(learn))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=2, percent=80)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return shard(docs, n_shards=40).select(
@@ -48,6 +73,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(documents(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
+    return langid.fit(documents(spark, sf_dir).where(~held_out(F.col("doc_id"), 3, 1)).select("text", "lang"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    said = langid.identify(docs, language_model(spark, sf_dir))
+    return said.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -58,14 +93,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_toxicity": op3_toxicity,
+        "op4_minhash": op4_minhash,
         "op5_sharding": op5_sharding,
         "op6_exact_top_k": op6_exact_top_k,
         "op7_mixing": op7_mixing,
         "op8_url_filter": op8_url_filter,
+        "op9_language_id": op9_language_id,
         "op10_byte_bpe": op10_byte_bpe,
+        "pipeline": pipeline,
     }
 
 
