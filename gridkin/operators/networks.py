@@ -72,8 +72,8 @@ def count(tree) -> int:
 
 @dataclass(frozen=True)
 class ResNet9:
-    """(n, features, size, size) -> (n, widths[2]): three convolutions, pools after the first two, a residual
-    pair between, one after, and the mean over the patch. Widths are multiples of 8, patches 4 cells or more."""
+    """(n, features, size, size) -> (n, widths[2]): three convolutions, a pool and a residual pair after each of
+    the first two, and the mean over the patch. Widths are multiples of 8, patches 4 cells or more."""
 
     layers: tuple
     groups: int = 8
@@ -84,17 +84,16 @@ class ResNet9:
             raise ValueError("three widths are needed, multiples of 8")
         rng, (a, b, c) = np.random.default_rng(seed), widths
         block = lambda o, i: {**_layer(rng, o, i, 3, 3), **_norm(o)}
-        return cls((block(a, features), block(b, a), block(b, b), block(b, b), block(c, b)))
+        return cls((block(a, features), block(a, a), block(a, a), block(b, a), block(b, b), block(b, b), block(c, b)))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if min(x.shape[2:]) < 4:
             raise ValueError("patches need 4 cells a side")
         stage = lambda x, p: relu(group_norm(conv3(x, p["w"], p["b"]), self.groups, p["scale"], p["shift"]))
-        first, second, r1, r2, last = self.layers
-        x = pool2(stage(x, first))
-        x = pool2(stage(x, second))
-        x = x + stage(stage(x, r1), r2)
-        return stage(x, last).mean((2, 3))
+        for conv, one, two in (self.layers[:3], self.layers[3:6]):
+            x = pool2(stage(x, conv))
+            x = x + stage(stage(x, one), two)
+        return stage(x, self.layers[6]).mean((2, 3))
 
 
 @dataclass(frozen=True)
