@@ -29,16 +29,22 @@ FASTER = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
 COPIED = 3
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, stop, kind, value>> of the leftmost, non-overlapping matches whose value is long
-    enough; places in code points.
+def matches_of(text: Column, kind: str, pattern: str, group: int) -> list[Column]:
+    """Columns whole, value and between of a kind: its leftmost, non-overlapping matches, their values, and
+    the text around them. They stand in a projection of their own, so that each is computed once."""
+    rx = F.lit(FASTER.get(kind, pattern))
+    whole = F.regexp_extract_all(text, rx, F.lit(0))
+    value = F.regexp_extract_all(text, rx, F.lit(group)) if group else F.lit(None).cast("array<string>")
+    return [whole.alias(f"{kind}_whole"), value.alias(f"{kind}_value"), F.split(text, rx, -1).alias(f"{kind}_between")]
+
+
+def spans_of(kind: str, group: int, least: int) -> Column:
+    """array<struct<start, stop, kind, value>> of the matches whose value is long enough; places in code points.
 
     The text between matches and the matches themselves add up to the places.
     """
-    rx = FASTER.get(kind, pattern)
-    whole = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rx), F.lit(group)) if group else whole
-    between = F.split(text, rx, -1)
+    whole, between = F.col(f"{kind}_whole"), F.col(f"{kind}_between")
+    value = F.col(f"{kind}_value") if group else whole
     empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
 
     def add(acc: Column, i: Column) -> Column:
@@ -90,9 +96,11 @@ def scan_secrets(
     """
     folder = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = [spans_of(F.col("text"), k, *v).alias(k) for k, v in {**KINDS, **WEAK}.items()]
+    kinds = {**KINDS, **WEAK}
+    matched = [c for k, (rx, group, _) in kinds.items() for c in matches_of(F.col("text"), k, rx, group)]
+    parts = [spans_of(k, group, least).alias(k) for k, (_, group, least) in kinds.items()]
     own = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"))
-    found = own.select("id", "repository", "owner", *parts)
+    found = own.select("id", "repository", "owner", *matched).select("id", "repository", "owner", *parts)
     mixed = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")
     base = F.concat(*KINDS)
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
