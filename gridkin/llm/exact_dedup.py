@@ -120,9 +120,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def kept_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows repeated whole, one."""
-    stay = exact_dedup(docs, id_col=id_col, text_col=text_col, capacity=capacity).where("kept")
-    one = stay.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    stay = exact_dedup(docs, id_col=id_col, text_col=text_col, capacity=capacity)
+    one = stay.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-    joined = rows.join(one, [rows["_id"].eqNullSafe(one["_id"]), rows["_sha"] == one["_sha"]], "left_semi")
-    return joined.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    rows = docs.withColumn("_sha", sha).withColumn("_key", F.col(id_col))
+    joined = rows.join(one, rows["_key"].eqNullSafe(one["_id"]) & (rows["_sha"] == one["_sha"]), "left_semi")
+    again = stay.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
+    if not again.isEmpty():  # rows repeated with their ids: one of them stays
+        joined = joined.dropDuplicates(["_key", "_sha"])
+    return joined.drop("_key", "_sha")
