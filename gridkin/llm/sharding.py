@@ -21,6 +21,8 @@ from gridkin.llm._common import shared_dir, written
 
 #: Bytes that a record costs besides its text.
 RECORD_BYTES = 16
+#: Before any tie.
+LEAST = -(1 << 63)
 #: Sampled rows for each range wanted.
 OVERSAMPLE = 8
 
@@ -43,13 +45,24 @@ def range_of(key: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
 
 
 def quantile_bounds(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
-    """Boundaries that cut the sorted (key, tie, weight) rows into parts of about equal weight."""
-    total, seen, found = sum(w for _, _, w in sample), 0.0, []
+    """Boundaries that cut the sorted (key, tie, weight) rows into parts of about equal weight.
+
+    A boundary stands before all rows of its key, unless the key weighs more than a part.
+    """
+    total, seen, found = sum(w for _, _, w in sample), 0.0, set()
+    by_key: dict[int, float] = {}
+    for k, _, w in sample:
+        by_key[k] = by_key.get(k, 0.0) + w
+    due, before = 1, None
     for k, t, w in sorted(sample):
-        if seen >= (len(found) + 1) * total / parts and len(found) < parts - 1:
-            found.append((k, t))
-        seen += w
-    return sorted(set(found))
+        heavy = by_key[k] > total / parts
+        if k != before and (heavy or (before is not None and by_key[before] > total / parts)):
+            found.add((k, LEAST))
+        if seen >= due * total / parts:
+            found.add((k, t if heavy else LEAST))
+            due = int(seen * parts / total) + 1
+        seen, before = seen + w, k
+    return sorted(found)
 
 
 def deal(sizes: list[int], n_shards: int) -> list[int]:
@@ -85,16 +98,15 @@ def find_ranges(rows: DataFrame, n_shards: int, ranges_per_shard: int, rounds: i
     if not total:
         return [], []
     parts = n_shards * ranges_per_shard
-    want, least = total / parts, (-(1 << 63))
-    drawn = _draw(rows, parts * OVERSAMPLE, total, 1).select("key", "weight").collect()
-    bounds = quantile_bounds([(r.key, least, r.weight) for r in drawn], parts)
+    want = total / parts
+    drawn = _draw(rows, parts * OVERSAMPLE, total, 1).select("key", "tie", "weight").collect()
+    bounds = quantile_bounds([(r.key, r.tie, r.weight) for r in drawn], parts)
     for seed in range(2, 2 + rounds):
         ranged = rows.withColumn("range", range_of(F.col("key"), F.col("tie"), bounds))
         seen = {
             r.range: r
             for r in ranged.groupBy("range").agg(
-                F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"),
-                F.min("key").alias("first"), F.max("key").alias("last"),
+                F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
             ).collect()
         }
         over = {i: r for i, r in seen.items() if r["size"] > 2 * want and r.n > 1}
@@ -103,8 +115,7 @@ def find_ranges(rows: DataFrame, n_shards: int, ranges_per_shard: int, rounds: i
         sub = _draw(ranged.where(F.col("range").isin(list(over))), parts * OVERSAMPLE, total, seed)
         found: dict[int, list] = {i: [] for i in over}
         for r in sub.select("range", "key", "tie", "weight").collect():
-            one = over[r.range].first == over[r.range].last
-            found[r.range].append((r.key, r.tie if one else least, r.weight))
+            found[r.range].append((r.key, r.tie, r.weight))
         more = {b for i, s in found.items() for b in quantile_bounds(s, math.ceil(over[i]["size"] / want))}
         if more <= set(bounds):
             break
