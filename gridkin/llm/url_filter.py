@@ -38,9 +38,12 @@ def _host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("rules"))  # as many as there are rules at most
 
 
-def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls with rule and action, null where no rule fits. urls: host, path and other columns."""
-    known = _host_rules(urls.select("host"), rules)
+def judged(urls: DataFrame, rules: DataFrame, table: str, folder: str) -> DataFrame:
+    """urls with rule and action, null where no rule fits. urls: host, path and other columns.
+
+    The hosts' rules are written first, so that a host with many urls can be split in the join.
+    """
+    known = written(_host_rules(urls.select("host"), rules), folder, table)
     fits = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), 0)
     joined = urls.join(known, "host", "left").withColumn("_fit", fits)
     return joined.select(*urls.columns, F.col("_fit.rule").alias("rule"), F.col("_fit.action").alias("action"))
@@ -83,7 +86,7 @@ def url_filter(
     ruled = literal_table(spark, [(h, p, a) for a, h, p in rules], [("host", "string"), ("path", "string"), ("action", "string")])
     url = F.col(url_col)
     own = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    found = judged(own, ruled)
+    found = judged(own, ruled, "page-hosts", folder)
     links = None
     if redirects is not None:
         links = redirects.select(F.col("from_url").alias("a"), F.col("to_url").alias("b")).where("a is not null and b is not null")
@@ -96,7 +99,7 @@ def url_filter(
         if not links.isEmpty():
             alias = components(links, folder)
             named = alias.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
-            actions = judged(named, ruled).where("action is not null")
+            actions = judged(named, ruled, "alias-hosts", folder).where("action is not null")
             verdicts = actions.groupBy("component").agg(F.min("action").alias("passed"))  # allow sorts before block
             known = alias.join(verdicts, "component").select(F.col("node").alias("_node"), "passed")
             found = found.join(known, found["_url"] == known["_node"], "left")
