@@ -37,8 +37,8 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = documents(spark, sf_dir, "labels").select("doc_id", "toxic")
-    learn = docs.join(labels.where(~held_out(F.col("doc_id"), 5, 0)), "doc_id")
-    scored = toxicity.score(docs, toxicity.fit(learn))
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network over words, with attention pooling.
 
 A word enters as the sum of an embedding of the word and the mean embedding of its character
-sequences (of three lengths, with marks at both ends). Windows of WINDOW words that overlap by half
-run through a gated recurrent unit in each direction; attention over their states gives a vector for
+sequences (of three lengths, with marks at both ends). Windows of WINDOW words that overlap by a
+quarter run through a gated recurrent unit in each direction; attention over their states gives a vector for
 the window, and a linear unit its logit. A text scores as its most toxic window. The network is
 trained in numpy by Adam on a bounded sample of labelled texts; in the loss, a text is toxic unless
 none of its windows is.
@@ -25,13 +25,13 @@ from gridkin.llm._common import find_package
 from gridkin.llm._words import blocks, mixed, span_hashes, spans
 
 #: Words of a window, and words from one window's start to the next one's.
-WINDOW, STRIDE = 24, 12
+WINDOW, STRIDE = 32, 24
 #: Rows of the embedding tables and their width; units of the recurrent layer in each direction.
-WORDS, CHARS, WIDE, UNITS = 1 << 13, 1 << 15, 16, 10
+WORDS, CHARS, WIDE, UNITS = 1 << 13, 1 << 15, 16, 8
 #: Lengths of the character sequences, in bytes.
 GRAMS = (3, 5, 7)
 #: Labelled texts that training uses at most, as many of either label as there are up to half of it.
-SAMPLE = 3000
+SAMPLE = 2400
 #: Bytes of a text that training sees at most (scoring reads whole texts).
 TRAINING_BYTES = 12_000
 #: UTF-8 bytes of text scored at a time.
@@ -201,7 +201,7 @@ def top_windows(logit: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
+def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Parameters after Adam on the log loss of texts that are toxic unless none of their windows is."""
     p, rng = initial(), np.random.default_rng(seed)
     m, v = ({k: np.zeros(x.shape, np.float32) for k, x in p.items()} for _ in range(2))
@@ -238,31 +238,38 @@ def score_texts(p: dict, texts: list[bytes]) -> np.ndarray:
         of, first, size = windows(t.counts)
         if len(of):
             logit = np.concatenate([forward(p, t, first[i : i + 8192], size[i : i + 8192]) for i in range(0, len(of), 8192)])
-            out[at : at + len(some)] = sigmoid(top_windows(logit, of, len(some)))
+            top = top_windows(logit, of, len(some))
+            out[at : at + len(some)] = np.where(np.isfinite(top), sigmoid(top), 0.0)
     return out
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """Train on rows whose text and label (0 or 1) are not null, at most sample of them, drawn by a hash
-    of the text; None if either label is missing."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)")
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
+) -> dict[str, np.ndarray] | None:
+    """Train on texts of docs whose id labels gives a label of 0 or 1, at most sample of them, drawn by a
+    hash of the id; None if either label is missing.
+
+    The draw is made among the labels, so that texts are read in place and only drawn ones move.
+    """
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
     ones = min(counts[1], sample // 2)
     want = {1: ones, 0: min(counts[0], sample - ones, max(2 * ones, 200))}
-    u = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     part = F.when(F.col("y") == 1, F.lit(1.2 * want[1] / counts[1])).otherwise(F.lit(1.2 * want[0] / counts[0]))
-    cut = F.substring(F.col("text"), 1, TRAINING_BYTES)
-    drawn = rows.where(u < part).select("y", u.alias("u"), cut.alias("text")).limit(2 * sample).collect()
-    drawn.sort(key=lambda r: (r.u, r.text))
-    texts, labels, taken = [], [], {0: 0, 1: 0}
+    some = rows.withColumn("u", u).where(F.col("u") < part).limit(2 * sample)
+    own = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, TRAINING_BYTES).alias("text"))
+    found = own.where("text is not null").join(F.broadcast(some), "_id")  # 2 * sample ids at most
+    drawn = sorted(found.select("y", "u", "text").collect(), key=lambda r: (r.u, r.text))
+    texts, marks, taken = [], [], {0: 0, 1: 0}
     for r in drawn:
         if taken[r.y] < want[r.y]:
             taken[r.y] += 1
             texts.append(r.text.encode("utf-8", "replace"))
-            labels.append(r.y)
-    return train(texts, np.array(labels))
+            marks.append(r.y)
+    return train(texts, np.array(marks)) if min(taken.values()) else None
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

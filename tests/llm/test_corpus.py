@@ -291,8 +291,8 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
             w[rng.randrange(60)] = "zorkling"
         texts.append(" ".join(w))
         labels.append(int(i % 3 == 0))
-    df = spark.createDataFrame(list(zip(texts, labels)), "text string, toxic int")
-    model = toxicity.fit(df)
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"))
     late = LONG + "zorkling"
     ask = spark.createDataFrame([(0, None), (1, ""), (2, "&&&"), (3, late), (4, LONG)] + list(enumerate(texts, 5)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(ask, model).collect()}
@@ -301,7 +301,7 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     y = np.array(labels)
     auc = (ranks[y == 1].mean() - (y.sum() - 1) / 2) / (y == 0).sum()
     assert auc > 0.95
-    assert toxicity.fit(df.where("toxic = 0")) is None
+    assert toxicity.fit(df, df.where("toxic = 0")) is None
     assert toxicity.score(ask, None).agg(F.max("score")).first()[0] == 0
 
 
