@@ -9,8 +9,9 @@ s = 0.8, and more above.
 
 Documents with one shingle set are one node. A bucket (the nodes with one key) links its members to
 its smallest one; links count after the full sets have been compared. Members that stay in another
-component than most of their bucket lead in later rounds, LEADERS in a bucket at a time, until every
-pair of a bucket is either in one component or compared. A bucket of true copies of any size thus
+component than most of their bucket lead in later rounds, LEADERS in a bucket at first and GROWTH
+times as many in each round that follows (few buckets are left by then), until every pair of a
+bucket is either in one component or compared. A bucket of true copies of any size thus
 costs one pair a member, and no two members are left out.
 """
 
@@ -30,8 +31,8 @@ from gridkin.llm._words import blocks, mixed, span_hashes, spans
 
 #: Hashes in each of the two collections, and minhashes in each hash.
 GROUPS, WIDTH = 12, 2
-#: Members of a bucket that lead in one round.
-LEADERS = 8
+#: Members of a bucket that lead in the first round; how many times more do in the next; and at most.
+LEADERS, GROWTH, MOST_LEADERS = 8, 8, 4096
 #: Pairs with fewer minhashes in common than this part are not compared in full: at a similarity of
 #: 0.8, 48 minhashes agree in less than half of the places once in a million pairs.
 LEAST_AGREEING = 0.5
@@ -177,9 +178,11 @@ def _rest(keys: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame,
         members = written(named.join(split.where("parts > 1").select("key", "main"), "key"), folder, f"split-{i}")
         # two members of different components are not both of the main one
         able = members.where("not led and component <> main")
-        leaders = written(able.groupBy("key", F.pmod("node", F.lit(LEADERS)).alias("g")).agg(F.min("node").alias("leader")), folder, f"leaders-{i}")
+        many = min(MOST_LEADERS, LEADERS * GROWTH ** (i - 1))
+        leaders = written(able.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(many)).alias("g")).agg(F.min("node").alias("leader")), folder, f"leaders-{i}")
         if leaders.isEmpty():
             return found
+        members = members.join(leaders.select("key").distinct(), "key", "left_semi")  # the others are done
         own = members.select("key", F.col("node").alias("leader"), F.col("component").alias("own"))
         met = members.join(leaders.join(own, ["key", "leader"]), "key").where("component <> own")
         new = written(_linked(met.select(*_pair("node", "leader")).distinct(), nodes, sets, percent), folder, f"links-{i}")
