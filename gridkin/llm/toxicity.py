@@ -34,6 +34,8 @@ GRAMS = (3, 5, 7)
 SAMPLE = 2400
 #: Bytes of a text that training sees at most (scoring reads whole texts).
 TRAINING_BYTES = 12_000
+#: Updates that training makes at least.
+LEAST_UPDATES = 200
 #: UTF-8 bytes of text scored at a time.
 BLOCK_BYTES = 1_500_000
 
@@ -202,7 +204,9 @@ def top_windows(logit: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
-    """Parameters after Adam on the log loss of texts that are toxic unless none of their windows is."""
+    """Parameters after Adam on the log loss of texts that are toxic unless none of their windows is; of
+    few texts, after as many epochs as make LEAST_UPDATES."""
+    epochs = max(epochs, -(-LEAST_UPDATES * batch // max(1, len(texts))))
     p, rng = initial(), np.random.default_rng(seed)
     m, v = ({k: np.zeros(x.shape, np.float32) for k, x in p.items()} for _ in range(2))
     step = 0
