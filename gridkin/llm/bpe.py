@@ -31,10 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import shared_dir, written
+from gridkin.llm._common import find_package, shared_dir, written
 
 #: Pieces whose ids every reader of texts holds.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 #: Maps that the rank map consists of.
 MAPS = 1 << 13
 #: Characters of text that are cut into pieces at a time.
@@ -167,8 +167,15 @@ def rank_of(part: Column, ranks: Column) -> Column:
     return F.try_element_at(F.get(ranks, F.pmod(F.crc32(part.cast("binary")), F.lit(MAPS)).cast("int")), part)
 
 
-def folded(piece: Column, ranks: Column) -> Column:
-    """The ids of a piece (a hex string), in order: array<int>."""
+def folded(pieces: Column, ranks: Column) -> Column:
+    """The ids of each piece of an array of hex strings, in order: array<array<int>>.
+
+    The rank map is bound to a variable, so that the plan holds it once.
+    """
+    return F.get(F.transform(F.array(ranks), lambda table: F.transform(pieces, lambda p: _folded(p, table))), 0)
+
+
+def _folded(piece: Column, ranks: Column) -> Column:
     n = F.char_length(piece)
     single = F.transform(F.sequence(F.lit(1), n, F.lit(2)), lambda i: F.substring(piece, i, F.lit(2)))
     none = F.lit(2**31 - 1)
@@ -177,30 +184,37 @@ def folded(piece: Column, ranks: Column) -> Column:
         left = F.slice(parts, F.lit(1), F.size(parts) - 1)
         return F.zip_with(left, F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: F.coalesce(rank_of(F.concat(a, b), ranks), none))
 
-    def step(state: Column, _: Column) -> Column:
-        parts, near = state["p"], state["r"]
-        best = F.array_min(near)
-        at = F.array_position(near, best).cast("int")  # of the leftmost
-
-        def merged(at: Column) -> Column:
-            parted = F.concat(
-                F.slice(parts, F.lit(1), at - 1),
-                F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))),
-                F.slice(parts, at + 2, F.size(parts)),
-            )
-            return parted
+    def let(value: Column, body) -> Column:
+        """body(value), with value computed once."""
+        return F.get(F.transform(F.array(value), body), 0)
 
-        def ranked(parted: Column) -> Column:
+    no_ranks = F.array().cast("array<int>")
+
+    def joined(parts: Column, near: Column, at: Column) -> Column:
+        """The state after the pair at (from 1) has become one part."""
+        merged = F.concat(
+            F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts))
+        )
+
+        def ranked(new: Column) -> Column:
+            rank = lambda i: F.array(F.coalesce(rank_of(F.concat(F.get(new, i), F.get(new, i + 1)), ranks), none))
             around = F.concat(
                 F.slice(near, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                F.when(at > 1, F.array(F.coalesce(rank_of(F.concat(F.get(parted, at - 2), F.get(parted, at - 1)), ranks), none))).otherwise(F.array().cast("array<int>")),
-                F.when(at < F.size(parted), F.array(F.coalesce(rank_of(F.concat(F.get(parted, at - 1), F.get(parted, at)), ranks), none))).otherwise(F.array().cast("array<int>")),
+                F.when(at > 1, rank(at - 2)).otherwise(no_ranks),
+                F.when(at < F.size(new), rank(at - 1)).otherwise(no_ranks),
                 F.slice(near, at + 2, F.size(near)),
             )
-            return F.struct(parted.alias("p"), around.alias("r"))
+            return F.struct(new.alias("p"), around.alias("r"))
+
+        return let(merged, ranked)
+
+    def step(state: Column, _: Column) -> Column:
+        def lowest(best: Column) -> Column:
+            leftmost = F.array_position(state["r"], best).cast("int")
+            done = best.isNull() | (best == none)
+            return F.when(done, state).otherwise(let(leftmost, lambda at: joined(state["p"], state["r"], at)))
 
-        one = F.transform(F.array(at), lambda i: merged(i))
-        return F.when((F.size(near) == 0) | (best == none), state).otherwise(F.get(F.transform(one, ranked), 0))
+        return let(F.array_min(state["r"]), lowest)
 
     start = F.transform(F.array(single), lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r")))
     merges = F.sequence(F.lit(1), F.greatest(F.size(single) - 1, F.lit(1)))
@@ -230,15 +244,18 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     none; other columns are left alone. A piece takes a number of steps that grows with its
     length and each step a time that does; texts of any length are encoded whole.
     """
+    find_package(docs.sparkSession)
     ranks = read_ranks(ranks_path)
     table = rank_map(ranks)
     folder = shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = count_pieces(texts.select("text")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     known = written(counted.select("piece").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism), folder, "pieces")
-    known = written(known.select("piece", folded(F.col("piece"), table).alias("ids")), folder, "frequent")
-    held = {bytes.fromhex(r.piece).decode("utf-8", "replace"): list(r.ids) for r in known.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((held, {v: k for k, v in ranks.items()}))  # FREQUENT entries at most
+    known = written(known.select("piece", F.get(folded(F.array("piece"), table), 0).alias("ids")), folder, "frequent")
+    lines = known.select(F.concat_ws(" ", "piece", F.col("ids").cast("array<string>"))).collect()  # FREQUENT at most
+    held = {bytes.fromhex(a).decode("utf-8", "replace"): b for a, _, b in (r[0].partition(" ") for r in lines)}
+    shared = docs.sparkSession.sparkContext.broadcast((held, {v: k for k, v in ranks.items()}))
+    del lines, held
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = shared.value[0]
@@ -257,7 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     packed = texts.mapInPandas(
         cut, f"id array<{id_type}>, per_text array<bigint>, codes binary, pieces string, `all` string, rare array<string>"
     )
-    found = packed.withColumn("rare", F.transform("rare", lambda p: folded(p, table)))
+    found = packed.withColumn("rare", folded(F.col("rare"), table))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, parts = shared.value
@@ -268,7 +285,7 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
                 rare, ids = iter(row.rare), []
                 for size, end in zip(sizes, ends, strict=True):
                     known = frequent.get(row.all[end - size : end])
-                    ids.append(known if known is not None else next(rare).tolist())
+                    ids.append(next(rare).tolist() if known is None else [int(i) for i in known.split()])
                 said = [" ".join(map(str, x)) for x in ids]
                 plain = [b"".join(map(parts.__getitem__, x)) for x in ids]
                 many = np.array([len(x) for x in ids], np.int64)
