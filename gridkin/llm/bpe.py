@@ -230,6 +230,8 @@ def count_pieces(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for texts in _blocks([t or "" for t in batch["text"]]):
                 pieces, codes, _ = distinct_pieces(texts)
+                if not pieces:
+                    continue
                 names = [p.encode("utf-8", "replace").hex().upper() for p in pieces]
                 yield pd.DataFrame({"piece": names, "n": np.bincount(codes, minlength=len(pieces)).astype(np.int64)})
 
