@@ -329,6 +329,11 @@ def test_windows_overlap_and_cover():
     assert {o: len(c) for o, c in covered.items()} == {1: 3, 2: 24, 3: 25, 4: 100}
 
 
+def test_windows_hold_passages_whole():
+    _, first, size = toxicity.windows(np.array([200]))
+    assert all(any(f <= at and at + 13 <= f + s for f, s in zip(first, size)) for at in range(200 - 12))
+
+
 def public():
     import public_tokenizers as P
     import tiktoken
