@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package
+from gridkin.llm._common import find_package, shared_dir, written
 from gridkin.llm._words import blocks, mixed, span_hashes, spans
 
 #: Words of a window, and words from one window's start to the next one's.
@@ -32,8 +32,10 @@ WORDS, CHARS, WIDE, UNITS = 1 << 13, 1 << 15, 16, 10
 GRAMS = (3, 5, 7)
 #: Labelled texts that training uses at most, as many of either label as there are up to half of it.
 SAMPLE = 3000
-#: Bytes of a text that training sees at most (scoring reads whole texts).
-TRAINING_BYTES = 12_000
+#: Bytes of all drawn texts together; where they are longer, fewer are drawn, each of them whole.
+TRAINING_BYTES = 32_000_000
+#: Windows whose states training holds at a time.
+TRAINING_WINDOWS = 4096
 #: Updates that training makes at least.
 LEAST_UPDATES = 200
 #: UTF-8 bytes of text scored at a time.
@@ -218,13 +220,23 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 8, batch: int
             of, first, size = windows(t.counts)
             if not len(of):
                 continue
-            logit, state = forward(p, t, first, size, keep=True)
+            parts = [slice(i, i + TRAINING_WINDOWS) for i in range(0, len(of), TRAINING_WINDOWS)]
+            if len(parts) == 1:
+                logit, state = forward(p, t, first, size, keep=True)
+            else:
+                logit = np.concatenate([forward(p, t, first[i], size[i]) for i in parts])
             y = labels[own].astype(np.float32)
             one = sigmoid(logit)
             none = np.exp(np.bincount(of, np.log1p(-np.minimum(one, 1 - 1e-6)), minlength=len(own)))  # no window is toxic
             odds = none / np.maximum(1 - none, 1e-6)
             d = np.where(y[of] > 0, -one * odds[of], one).astype(np.float32) / len(own)
-            g = backward(p, t, state, d)
+            if len(parts) == 1:
+                g = backward(p, t, state, d)
+            else:
+                g = {k: np.zeros(x.shape) for k, x in p.items()}
+                for i in parts:
+                    for k, x in backward(p, t, forward(p, t, first[i], size[i], keep=True)[1], d[i]).items():
+                        g[k] += x
             step += 1
             lr = rate * (1 - 0.9 * epoch / epochs)
             for k in p:
@@ -251,7 +263,8 @@ def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
 ) -> dict[str, np.ndarray] | None:
     """Train on texts of docs whose id labels gives a label of 0 or 1, at most sample of them, drawn by a
-    hash of the id; None if either label is missing.
+    hash of the id; None if either label is missing. A drawn text is learned whole: where the drawn
+    ones have more than TRAINING_BYTES together, the draw ends earlier, but not before each label has a text.
 
     The draw is made among the labels, so that texts are read in place and only drawn ones move.
     """
@@ -264,16 +277,26 @@ def fit(
     u = F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     part = F.when(F.col("y") == 1, F.lit(1.2 * want[1] / counts[1])).otherwise(F.lit(1.2 * want[0] / counts[0]))
     some = rows.withColumn("u", u).where(F.col("u") < part).limit(2 * sample)
-    own = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, TRAINING_BYTES).alias("text"))
-    found = own.where("text is not null").join(F.broadcast(some), "_id")  # 2 * sample ids at most
-    drawn = sorted(found.select("y", "u", "text").collect(), key=lambda r: (r.u, r.text))
-    texts, marks, taken = [], [], {0: 0, 1: 0}
-    for r in drawn:
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null")
+    found = own.join(F.broadcast(some), "_id")  # 2 * sample ids at most
+    found = written(found.select("y", "u", F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"), "text"), shared_dir(docs.sparkSession), "drawn")
+    left, last, taken = TRAINING_BYTES, {}, {0: 0, 1: 0}
+    for r in sorted(found.select("y", "u", "t", "n").collect(), key=lambda r: (r.u, r.t)):
         if taken[r.y] < want[r.y]:
-            taken[r.y] += 1
+            left = left - r.n if r.n <= left else -1
+            if left >= 0 or not taken[r.y]:
+                taken[r.y] += 1
+                last[r.y] = (r.u, r.t)
+    if not min(taken.values()):
+        return None
+    upto = [(F.col("y") == y) & ((F.col("u") < u) | ((F.col("u") == u) & (F.col("t") <= t))) for y, (u, t) in last.items()]
+    texts, marks = [], []
+    for r in sorted(found.where(upto[0] | upto[1]).select("y", "u", "t", "text").collect(), key=lambda r: (r.u, r.t)):
+        if taken[r.y]:
+            taken[r.y] -= 1
             texts.append(r.text.encode("utf-8", "replace"))
             marks.append(r.y)
-    return train(texts, np.array(marks)) if min(taken.values()) else None
+    return train(texts, np.array(marks))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -329,6 +329,34 @@ def test_windows_overlap_and_cover():
     assert {o: len(c) for o, c in covered.items()} == {1: 3, 2: 24, 3: 25, 4: 100}
 
 
+def test_toxicity_learns_what_stands_late(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(20)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(66)]  # over 13,000 characters
+        rows.append((i, " ".join(w + ["zorkling"] * (i % 3 == 0)), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    late, clean = toxicity.score_texts(model, [b"zorkling", words[0].encode()])
+    assert late > 0.5 > clean
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels)))
+    monkeypatch.setattr(toxicity, "TRAINING_BYTES", 100_000)
+    toxicity.fit(df.drop("toxic"), df.drop("text"))
+    texts, labels = seen[0]
+    assert 2 <= len(texts) < 10 and set(labels) == {0, 1} and all(t.decode() in {r[1] for r in rows} for t in texts)
+
+
+def test_training_in_blocks_of_windows(monkeypatch):
+    texts, labels = [b"some words of a text " * 30, b"and others of another one " * 20], np.array([0, 1])
+    monkeypatch.setattr(toxicity, "LEAST_UPDATES", 2)
+    whole = toxicity.train(texts, labels, epochs=2)
+    monkeypatch.setattr(toxicity, "TRAINING_WINDOWS", 5)
+    blocks = toxicity.train(texts, labels, epochs=2)
+    assert all(np.allclose(whole[k], blocks[k], atol=1e-3) for k in whole)
+
+
 def test_windows_hold_passages_whole():
     _, first, size = toxicity.windows(np.array([200]))
     assert all(any(f <= at and at + 13 <= f + s for f, s in zip(first, size)) for at in range(200 - 12))
