@@ -7,8 +7,9 @@ length of a document, rate = CAP / (1 + exp(-tilt * size / scale)). The dual is
 tilt for each source; each Newton step needs two sums for each source, taken by one distributed
 aggregation over the counts of (source, size). Copies: a document takes the whole part of its rate
 and, where a number drawn from its id falls under the rest, one copy more; a threshold for each
-source, found from a histogram, moves that draw until the words taken meet the target, and
-documents at the threshold take part of a copy.
+source, found from a histogram, moves that draw until the words taken meet the target; of the
+documents in its bin, the first by draw take a whole copy while the target is not passed, and of all
+that then take none more, the one whose size is nearest to what is left takes one, if that helps.
 
 All sums are of whole numbers, so that a second run gives the same rows.
 """
@@ -65,9 +66,14 @@ def rate(size: Column, plan: DataFrame) -> Column:
     return F.when(plan["full"], F.lit(float(CAP))).otherwise(tilted)
 
 
-def bin_of(size: Column, u: Column, plan: DataFrame) -> Column:
+def place_of(size: Column, u: Column, plan: DataFrame) -> Column:
+    """Where a document stands in its source's draw: the lower, the sooner it takes one copy more."""
     r = rate(size, plan)
-    return F.floor((u - (r - F.floor(r)) + 1.0) * (BINS // 2)).cast("int")
+    return u - (r - F.floor(r))
+
+
+def bin_of(size: Column, u: Column, plan: DataFrame) -> Column:
+    return F.floor((place_of(size, u, plan) + 1.0) * (BINS // 2)).cast("int")
 
 
 def newton(sized: DataFrame, tilts: dict[int, dict], steps: int = 60) -> None:
@@ -105,7 +111,8 @@ def newton(sized: DataFrame, tilts: dict[int, dict], steps: int = 60) -> None:
 
 def fit_mix(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
     """One row for each source: source, source_size, target, tilt, scale, full, cut (bin of the
-    threshold), part (share of a copy that documents in that bin take).
+    threshold), last (the last place in that bin that takes a copy; -2 where none does), extra and
+    extra_size (place and size of one more document that takes a copy; -2 and 0 where none does).
 
     rows: source, size, u (see draw()), as a written table.
     """
@@ -142,11 +149,26 @@ def fit_mix(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: f
         .groupBy("index")
         .agg(F.min_by(F.struct("b", (need - F.col("upto") + F.col("w")).alias("rest"), "w"), "b").alias("c"))
     )
-    cut = {r["index"]: (r.c.b, r.c.rest / r.c.w) for r in cuts.collect()}
+    cut = {r["index"]: (r.c.b, r.c.rest) for r in cuts.collect()}
+    rated = rated.withColumn("place", place_of(keyed["size"], keyed["u"], base))
+    edge = literal_table(spark, [(i, *c) for i, c in cut.items()], [("i", "int"), ("cut", "int"), ("rest", "bigint")])
+    within = rated.join(F.broadcast(edge), (F.col("index") == F.col("i")) & (F.col("b") == F.col("cut")))  # one bin of each source
+    summed = within.groupBy("i", "rest", "place").agg(F.sum("size").alias("w"))
+    summed = summed.withColumn("upto", F.sum("w").over(Window.partitionBy("i").orderBy("place"))).where("upto <= rest")
+    last = {r.i: (r.c.place, r.c.upto) for r in summed.groupBy("i").agg(F.max(F.struct("place", "upto")).alias("c")).collect()}
+    left = {i: c[1] - last.get(i, (-2.0, 0))[1] for i, c in cut.items()}
+    open_ = [(i, cut[i][0], last.get(i, (-2.0, 0))[0], n) for i, n in left.items() if n > 0]
+    edge = literal_table(spark, open_, [("i", "int"), ("cut", "int"), ("last", "double"), ("left", "bigint")])
+    after = rated.join(F.broadcast(edge), F.col("index") == F.col("i")).where("size > 0 and (b > cut or b = cut and place > last)")
+    near = after.groupBy("i").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "place", "size")).alias("c")).collect()
+    some = literal_table(spark, [(r.i, r.c.place, r.c["size"]) for r in near], [("i", "int"), ("at", "double"), ("of", "bigint")])
+    same = rated.join(F.broadcast(some), F.expr("index = i and place = at and size = of"))  # more than one where an id repeats
+    found_extra = same.groupBy("i", "at", "of").agg(F.sum("size").alias("w")).collect()
+    extra = {r.i: (r["at"], r["of"]) for r in found_extra if abs(r.w - left[r.i]) < left[r.i]}
     return literal_table(
         spark,
-        [(r.source, sizes[i], want[i], tilts[i]["tilt"] if i in tilts else 0.0, scale[i], full[i], *cut.get(i, (2 * BINS, 0.0))) for i, r in enumerate(found)],
-        [schema[0], *schema[2:], ("cut", "int"), ("part", "double")],
+        [(r.source, sizes[i], want[i], tilts[i]["tilt"] if i in tilts else 0.0, scale[i], full[i], cut[i][0] if i in cut else 2 * BINS, last.get(i, (-2.0, 0))[0], *extra.get(i, (-2.0, 0))) for i, r in enumerate(found)],
+        [schema[0], *schema[2:], ("cut", "int"), ("last", "double"), ("extra", "double"), ("extra_size", "bigint")],
     )
 
 
@@ -155,7 +177,9 @@ def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
     named = plan.withColumnRenamed("source", "_mixed")
     joined = rows.join(F.broadcast(named), rows["source"].eqNullSafe(named["_mixed"]))  # MAX_SOURCES rows at most
     size, r, b = rows["size"], rate(rows["size"], named), bin_of(rows["size"], rows["u"], named)
-    part = F.when(b < named["cut"], size).when(b == named["cut"], F.round(size * named["part"])).otherwise(0)
+    place = place_of(size, rows["u"], named)
+    more = (b < named["cut"]) | ((b == named["cut"]) & (place <= named["last"])) | ((place == named["extra"]) & (size == named["extra_size"]))
+    part = F.when(more, size).otherwise(0)
     taken = F.when(named["full"], CAP * size).otherwise(F.least(CAP * size, F.floor(r) * size + part)).cast("long")
     return joined.select(*(rows[c] for c in rows.columns), named["source_size"], named["target"], r.alias("rate"), taken.alias("taken"))
 
@@ -166,8 +190,8 @@ def mix(
 ) -> DataFrame:
     """id, size (words of the text), source_size, target, rate and taken for each row of docs.
 
-    taken counts words, repeats included; it is at most CAP * size, and the words that a source's
-    documents take come to its target. A null text has no words and takes none; a null source is a
+    taken counts words of whole copies; it is at most CAP * size, and the words that a source's
+    documents take come as near to its target as whole copies at the threshold allow. A null text has no words and takes none; a null source is a
     source, the last; rows with one id and size draw alike; an empty table gives no rows.
     """
     folder = shared_dir(docs.sparkSession)
@@ -179,8 +203,7 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs as mixed: a row for each whole copy that its document takes, and one, with as many words
-    from the start of the text as are left, with single spaces between, for a part of a copy."""
+    """docs as mixed: a row, with its text as it is, for each copy that its document takes."""
     folder = shared_dir(docs.sparkSession)
     own = docs.columns
     sized = docs.select(
@@ -189,10 +212,5 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ).withColumn("u", draw(F.col("id"), F.col("size")))
     plan = fit_mix(written(sized.select("source", "size", "u"), folder, "sizes"), **how)
     taken = apply_mix(sized, plan).where("taken > 0")
-    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rest = (F.col("taken") % F.col("size")).cast("int")
-    cuts = F.when(rest > 0, F.array_append(F.array_repeat(F.lit(0), whole), rest)).otherwise(F.array_repeat(F.lit(0), whole))
-    copies = taken.withColumn("words", F.explode(cuts))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(WORD), F.lit(0)), 1, F.col("words")), " ")
-    text = F.when(F.col("words") == 0, F.col(f"row.`{text_col}`")).otherwise(cut)
-    return copies.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in own))
+    copies = taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.floor(F.col("taken") / F.col("size")).cast("int"))))
+    return copies.select(*(F.col(f"row.`{c}`").alias(c) for c in own))

@@ -237,6 +237,15 @@ def test_mixed_rows(spark):
     assert {i: words[i] for i in taken} == taken
 
 
+def test_mixed_rows_are_whole_texts(spark):
+    rng = random.Random(6)
+    texts = ["  ".join(["w"] * rng.randrange(1, 400)) for _ in range(60)]
+    docs = frame(spark, texts)
+    rows = Counter((r.doc_id, r.text) for r in mixed_rows(docs).collect())
+    assert all(text == texts[i] for i, text in rows)
+    assert {r.doc_id: r.taken for r in mix(docs).collect()} == {i: len(t.split()) * rows[i, t] for i, t in enumerate(texts)}
+
+
 def test_url_filter(spark):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
     link = lambda u: f'<html><link rel="canonical" href="{u}"></html>'
