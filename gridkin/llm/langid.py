@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package
+from gridkin.llm._common import find_package, literal_table, shared_dir, written
 from gridkin.llm._words import blocks
 
 #: Hashed features of a text.
@@ -147,41 +147,51 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Train on rows whose language and text are not null: at most sample of them, a like number of
-    each language, drawn by a hash of the text."""
-    find_package(labelled.sparkSession)
+    """Train on rows whose language and text are not null: at most sample of them (two of each language
+    at least), a like number of each language as far as it has distinct texts. They are drawn among the
+    distinct texts of a language, those with the least hashes, so that copies count once."""
+    spark = labelled.sparkSession
+    find_package(spark)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("u", F.xxhash64("text", F.lit(11)))
+    distinct = written(rows.select("lang", "u").distinct(), shared_dir(spark), "hashes")
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return LanguageModel(Machines((), (), np.zeros((FEATURES + 1, 0))), {})
     each = max(2, sample // len(counts))
-    u = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    part = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 1.2 * each / n))) for k, n in counts.items()))
+    # a bound under which a language has `each` hashes or more but for six standard deviations
+    most = each + 6 * each**0.5 + 20
+    bounds = [(k, (1 << 63) - 1 if most >= n else int((most / n * 2 - 1) * (1 << 63))) for k, n in counts.items()]
+    bound = literal_table(spark, bounds, [("of", "string"), ("most", "bigint")])
+    least: dict[str, list] = {}
+    for r in distinct.join(F.broadcast(bound), (F.col("lang") == F.col("of")) & (F.col("u") <= F.col("most"))).select("lang", "u").collect():
+        least.setdefault(r.lang, []).append(r.u)
+    ends = literal_table(spark, [(k, sorted(v)[:each][-1]) for k, v in least.items()], [("of", "string"), ("most", "bigint")])
+    drawn = rows.join(F.broadcast(ends), (F.col("lang") == F.col("of")) & (F.col("u") <= F.col("most"))).select("lang", "u", "text")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()  # drawn texts: each * languages at most
         for batch in batches:
-            texts = batch["text"].tolist()
-            for at, some in blocks([t.encode() for t in texts], BLOCK_BYTES, BLOCK_TEXTS):
-                own = texts[at : at + len(some)]
-                yield pd.DataFrame({"lang": batch["lang"].iloc[at : at + len(own)].to_numpy(), "x": [v.astype(np.float16).tobytes() for v in features(own)], "h": [hash_of(t) for t in own]})
-
-    drawn = rows.where(u < part).mapInPandas(extract, "lang string, x binary, h string")
+            new = []
+            for lang, u, text in zip(batch["lang"], batch["u"], batch["text"], strict=True):
+                if (lang, u) not in seen:
+                    seen.add((lang, u))
+                    new.append((lang, u, text))
+            for at, some in blocks([text.encode() for _, _, text in new], BLOCK_BYTES, BLOCK_TEXTS):
+                own = new[at : at + len(some)]
+                x = [v.astype(np.float16).tobytes() for v in features([text for _, _, text in own])]
+                yield pd.DataFrame({"lang": [lang for lang, _, _ in own], "u": [u for _, u, _ in own], "x": x})
+
+    once = drawn.mapInPandas(extract, "lang string, u long, x binary").groupBy("lang", "u").agg(F.min("x").alias("x"))
     taken: dict[str, list] = {}
-    for r in sorted(drawn.limit(2 * sample).collect(), key=lambda r: (r.lang, r.h)):
-        if len(taken.setdefault(r.lang, [])) < each:
-            taken[r.lang].append(np.frombuffer(r.x, np.float16))
+    for r in sorted(once.collect(), key=lambda r: (r.lang, r.u)):
+        taken.setdefault(r.lang, []).append(np.frombuffer(r.x, np.float16))
     labels = np.array([lang for lang, v in taken.items() for _ in v], object)
     x = np.stack([v for own in taken.values() for v in own]).astype(np.float32)
     family = np.array([_FAMILY_OF.get(lang, f"other {lang}") for lang in labels], object)
     return LanguageModel(machines(x, family), {f: machines(x[family == f], labels[family == f]) for f in set(family)})
 
 
-def hash_of(text: str) -> str:
-    import hashlib
-
-    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
-
-
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1).
 

@@ -290,6 +290,20 @@ def test_language(spark):
     assert langid.identify(df, nothing).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_learns_distinct_texts(spark, monkeypatch):
+    data = [r for r in corpus(160) if r[1] in ("en", "de")]
+    df = spark.createDataFrame(data + [(data[0][0], data[0][1])] * 3000, "text string, lang string")
+    seen = []
+    whole = langid.machines
+    monkeypatch.setattr(langid, "machines", lambda x, labels: seen.append((x, labels)) or whole(x, labels))
+    langid.fit(df, sample=60)
+    x, labels = seen[0]
+    assert len(x) == 60 and len(np.unique(x, axis=0)) == 60
+    seen.clear()
+    langid.fit(df)
+    assert len(seen[0][0]) == 80  # forty distinct texts of each
+
+
 def test_toxicity_learns_and_scores_whole_texts(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
