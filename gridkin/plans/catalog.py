@@ -303,6 +303,33 @@ def q_resistance_kernel_chain(spark, d):
     return resistances(v, ends).select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance").alias("resistance"))
 
 
+_CHAIN = """WITH v AS (SELECT CAST(l_partkey % 200 AS INTEGER) AS k, 0.01 + avg(l_discount) AS c FROM lineitem GROUP BY 1),
+    s AS (SELECT k, coalesce(2.0 / (lag(c) OVER (ORDER BY k) + c), 0) AS step FROM v), p AS (SELECT k, sum(step) OVER (ORDER BY k) AS at FROM s)
+    SELECT a.k AS a, b.k AS b, round(b.at - a.at, 6) + 0.0 AS resistance FROM p a JOIN p b ON a.k < b.k"""
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("l_partkey") % 200).cast("int")
+    v = X.table(spark, d, "lineitem").groupBy(k.alias("col")).agg((F.lit(0.01) + F.avg("l_discount")).alias("conductance"))
+    return v.select(F.lit("row").alias("region"), F.lit(0).alias("row"), "col", "conductance")
+
+
+@query(_CHAIN)
+def q_resistance_chain_all(spark, d):
+    """A raster of one row, by running sums: every pair of vertices."""
+    ends = chain_resistances(_chain(spark, d))
+    a, b = ends.select("region", F.col("col").alias("a"), F.col("at").alias("p")), ends.select("region", F.col("col").alias("b"), F.col("at").alias("q"))
+    return a.join(b, "region").where("a < b").select("a", "b", tidy(F.col("q") - F.col("p")).alias("resistance"))
+
+
+@query(_CHAIN)
+def q_resistance_kernel_chain_all(spark, d):
+    """The same raster by the kernel."""
+    v = _chain(spark, d)
+    r = resistances(v, v.select("region", F.col("row").alias("vr"), F.col("col").alias("vc")))
+    return r.select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance").alias("resistance"))
+
+
 @query(f"WITH {VERTS} SELECT CAST(count(*) - 1 AS DOUBLE) AS total FROM verts")
 def q_resistance_foster(spark, d):
     """Edge conductances times resistances add up to the number of vertices less one."""
@@ -696,6 +723,18 @@ def q_wishart_scatter(spark, d):
     return centered_scatter(pairs).select("i", "j", tidy("scatter", 8).alias("scatter"))
 
 
+@query("""WITH a AS (SELECT CAST(n_nationkey AS INTEGER) AS i, ln(2 + n_nationkey) AS v FROM nation), d AS (SELECT x.i, y.i AS j, power(x.v - y.v, 2) AS d FROM a x, a y),
+    m AS (SELECT i, avg(d) AS r FROM d GROUP BY i) SELECT d.i, d.j, round(-0.5 * (d - p.r - q.r + (SELECT avg(d) FROM d)), 8) + 0.0 AS scatter FROM d JOIN m p ON p.i = d.i JOIN m q ON q.i = d.j""")
+def q_wishart_scatter_all(spark, d):
+    """The centered scatter of all nations' squared distances, from the contrasts."""
+    from gridkin.operators.wishart import centered_scatter
+
+    a = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("i"), F.log(2.0 + F.col("n_nationkey")).alias("v"))
+    b = a.select(F.col("i").alias("j"), F.col("v").alias("w"))
+    pairs = a.join(F.broadcast(b)).select(F.lit("study").alias("region"), "i", "j", F.pow(F.col("v") - F.col("w"), 2).alias("d"))  # 625 rows
+    return centered_scatter(pairs).select("i", "j", tidy("scatter", 8).alias("scatter"))
+
+
 @query()
 def q_wishart_density(spark, d):
     """Log density of each region's scatter under equal variances; no SQL."""
