@@ -17,23 +17,50 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share. It goes when the driver ends.
 
     Where the setting is absent, a local session gets a temporary folder that goes at exit;
     any other session is refused, since its executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    local = not base
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gridkin-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridkin-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/gridkin-{uuid.uuid4().hex}"
+    if not local:
+        path, files = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+def _files(spark: SparkSession, folder: str):
+    """A Hadoop path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def removed(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for name in names:
+        path, files = _files(spark, f"{folder}/{name}")
+        files.delete(path, True)
+
+
+#: Rows and bytes that a Python worker gets at a time, so that long texts do not add up.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound what they get at a
+    time (where the session leaves Spark's own bound)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     home = str(Path(__file__).resolve().parents[2])
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:

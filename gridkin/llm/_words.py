@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
 #: UTF-8 bytes of text taken at a time; a longer text is taken alone.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Texts taken at a time.
 BLOCK_TEXTS = 4096
 
+#: Bytes over which a span's hash is a digest.
+DIGEST_OVER = 1024
+
 _ODD = 0x9E3779B97F4A7C15
+#: The lowest bytes of eight, for each number of bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def blocks(texts: list[bytes], size: int = BLOCK, count: int = BLOCK_TEXTS) -> Iterator[tuple[int, list[bytes]]]:
@@ -35,23 +40,6 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    base = 0xD1342543DE82EF95
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def spans(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; the last element must be False."""
     edge = np.diff(np.concatenate([[False], word]).astype(np.int8))
@@ -59,10 +47,18 @@ def spans(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: differences of a running polynomial."""
-    n = 1 << max(22, int(len(buf) - 1).bit_length())
-    up, down = _powers(n)
-    run = np.cumsum(_byte_values()[buf] * up[: len(buf)], dtype=np.uint64)
-    before = np.where(starts > 0, run[starts - 1], np.uint64(0))
-    h = (run[ends - 1] - before) * down[starts]
-    return mixed(h ^ (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+    """A 64-bit hash of the bytes of each span, eight at a time, each eight mixed into what came before;
+    that of a very long span is a digest's. Spans of one length up to eight bytes never collide."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    n = ends - starts
+    h = n.astype(np.uint64) * np.uint64(_ODD)
+    live = np.flatnonzero(n <= DIGEST_OVER)
+    at, left = starts[live], n[live]
+    while len(live):
+        h[live] = mixed(h[live] ^ (eights[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > DIGEST_OVER):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
