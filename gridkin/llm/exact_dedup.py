@@ -4,16 +4,18 @@ Texts are normalised by lower-casing A-Z. The 64-bit hash of a text is its key i
 leading bits of the key choose a directory slot, the slot names a bucket, and a bucket with more
 keys than its capacity is split in two, which doubles the directory when the bucket already uses
 all directory bits. Each bucket is a contiguous key range that one owner task processes: it chains
-the entries whose keys collide. Entries differ in the bytes of their text: the chains come from an
+the entries whose keys collide. Entries differ in the bytes of their text: they come from an
 aggregation whose grouping key is the whole normalised text, so that copies collapse before the
-shuffle, in the task that reads them, and a group of any size costs one row for each task.
+shuffle, in the task that reads them, and a group of any size costs one row for each task. An entry
+holds the size of its group and the row that stays; every row of the corpus reads them from there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridkin.llm._common import ascii_lower, literal_table, partitions, shared_dir, written
@@ -67,65 +69,66 @@ def build_directory(histogram: dict[int, int], capacity: int, max_depth: int = M
     return Directory(depth, tuple(slots), doublings)
 
 
-def build_index(rows: DataFrame, entries: DataFrame, folder: str, capacity: int) -> DataFrame:
+def build_index(entries: DataFrame, folder: str, capacity: int) -> DataFrame:
     """The index: bucket, key, chain (place among the entries of a key, from 1), sha, size,
     keep_uid, keep_id.
 
-    rows: key, norm, one for each row of the corpus. entries: uid, id, key, sha, the same rows
-    without their texts, as a written table.
+    entries: uid, id, key, norm, one for each row of the corpus, as a written table.
     """
-    spark = rows.sparkSession
-    compared = rows.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"))
-    compared = written(compared.select("key", F.sha2("norm", 256).alias("sha"), "n"), folder, "chains")
+    spark = entries.sparkSession
+    compared = entries.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("id", "uid")).alias("keep"))
+    compared = written(compared.select("key", F.sha2("norm", 256).alias("sha"), "size", "keep"), folder, "chains")
     bits = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
     seen = compared.groupBy(bits.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     directory = build_directory({r.slot: r.n for r in seen.collect()}, capacity)
     slots = literal_table(spark, list(enumerate(directory.slots)), [("slot", "int"), ("bucket", "int")])
-    slot = F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0)
     owned = (
-        compared.withColumn("slot", slot.cast("int"))
+        compared.withColumn("slot", _slot(directory))
         .join(F.broadcast(slots), "slot")  # 2 ** MAX_DEPTH rows at most
         .repartition(partitions(spark), "bucket")
     )
-    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha")))
-    best = entries.groupBy("key", "sha").agg(F.max(F.struct("id", "uid")).alias("keep"), F.count(F.lit(1)).alias("size"))
-    joined = chained.join(best, ["key", "sha"])
-    agree = F.when(F.col("n") != F.col("size"), F.raise_error(F.lit("texts of one digest differ in bytes"))).otherwise(F.col("size"))
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha"))
     return written(
-        joined.select("bucket", "key", "chain", "sha", agree.alias("size"), F.col("keep.uid").alias("keep_uid"), F.col("keep.id").alias("keep_id")),
+        owned.select("bucket", "key", chain.alias("chain"), "sha", "size", F.col("keep.uid").alias("keep_uid"), F.col("keep.id").alias("keep_id")),
         folder, "index",
     )
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
+def _slot(directory: Directory) -> Column:
+    return (F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0)).cast("int")
+
+
+def exact_dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, key: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
     """One row for each row of docs: its id, keep_id (the id of the row that stays), group_size, kept,
-    text_sha256 and bucket (of the index). Other columns of docs, whatever their names, are left alone.
+    text_sha256 and bucket and chain (of the index). Other columns of docs, whatever their names, are left alone.
 
     A null text counts as empty. Of rows with equal texts the one with the largest id stays; a null
-    id is smaller than any other, and of rows that tie one stays. An empty table gives no rows.
+    id is smaller than any other, and of rows that tie one stays. Texts of any length are compared
+    whole. An empty table gives no rows. key: a 64-bit hash of a text.
     """
-    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    folder = shared_dir(docs.sparkSession)
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select("id", "norm", F.xxhash64("norm").alias("key"))
-    entries = written(
-        keyed.select(F.monotonically_increasing_id().alias("uid"), "id", "key", F.sha2("norm", 256).alias("sha")), folder, "entries"
-    )
-    index = build_index(keyed.select("key", "norm"), entries, folder, capacity)
-    verdict = entries.join(index, ["key", "sha"]).select(
-        "uid", F.col("id").alias(id_col), "keep_id", F.col("size").alias("group_size"),
-        (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket",
+    entries = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
+    entries = written(entries.select(F.monotonically_increasing_id().alias("uid"), "id", "norm", key(F.col("norm")).alias("key")), folder, "entries")
+    index = build_index(entries, folder, capacity)
+    rows = entries.select("uid", "id", "key", F.sha2("norm", 256).alias("sha"))
+    return rows.join(index, ["key", "sha"]).select(
+        F.col("id").alias(id_col), "keep_id", F.col("size").alias("group_size"),
+        (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", "chain",
     )
-    return verdict.drop("uid")
 
 
 def kept_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated whole, one."""
+    """The rows of docs that stay, with all their columns, whatever these are called; of rows with one id
+    and one text, one."""
     stay = exact_dedup(docs, id_col=id_col, text_col=text_col, capacity=capacity)
-    one = stay.where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("_sha", sha).withColumn("_key", F.col(id_col))
-    joined = rows.join(one, rows["_key"].eqNullSafe(one["_id"]) & (rows["_sha"] == one["_sha"]), "left_semi")
+    one = stay.where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"), ascii_lower(F.coalesce(docs[text_col], F.lit(""))).alias("norm"))
+    own = own.withColumn("sha", F.sha2("norm", 256)).drop("norm")
+    joined = own.join(one, own["id"].eqNullSafe(one["id"]) & (own["sha"] == one["sha"]), "left_semi")
     again = stay.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
     if not again.isEmpty():  # rows repeated with their ids: one of them stays
-        joined = joined.dropDuplicates(["_key", "_sha"])
-    return joined.drop("_key", "_sha")
+        joined = joined.dropDuplicates(["id", "sha"])
+    return joined.select(*(F.col("row")[c].alias(c) for c in docs.columns))
