@@ -2,8 +2,9 @@
 
 Patterns give candidates and their places. Every candidate's value is hashed, and the hashes are
 aggregated over the corpus by the distinct repositories and owners that hold them: a value that many
-owners have is a copied example, one that a single owner has looks live. The weak kind, a long run
-of token characters that mixes cases and digits, becomes a span only where its value has one owner.
+owners have, or many repositories of one owner, is a copied example; one that a single owner has in
+few repositories looks live. The weak kind, a long run of token characters that mixes cases and
+digits, becomes a span only where its value looks live.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ WEAK = {"token": (r"[A-Za-z0-9+/_-]{24,}", 0, 24)}
 #: Hexadecimal runs shorter than this cannot pass; asking for them in the pattern finds the same
 #: matches, since a run is taken whole.
 FASTER = {"hex": r"[0-9a-f]{32,}", "access": r"AKIA[A-Z0-9]{12,}"}
-#: Owners that make a value a copied example.
-COPIED = 3
+#: Owners that make a value a copied example, and repositories of one owner that do.
+COPIED, COPIED_REPOSITORIES = 3, 20
+#: Matches whose places are added up one by one.
+PART = 256
 
 
 def matches_of(text: Column, kind: str, pattern: str, group: int) -> list[Column]:
@@ -38,26 +41,36 @@ def matches_of(text: Column, kind: str, pattern: str, group: int) -> list[Column
     return [whole.alias(f"{kind}_whole"), value.alias(f"{kind}_value"), F.split(text, rx, -1).alias(f"{kind}_between")]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def spans_of(kind: str, group: int, least: int) -> Column:
     """array<struct<start, stop, kind, value>> of the matches whose value is long enough; places in code points.
 
-    The text between matches and the matches themselves add up to the places.
+    The text between matches and the matches themselves add up to the places: within parts of PART
+    matches first, then over the parts, so that the work stays near the number of matches.
     """
     whole, between = F.col(f"{kind}_whole"), F.col(f"{kind}_between")
     value = F.col(f"{kind}_value") if group else whole
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-
-    def add(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(between, i))
-        stop = start + F.char_length(F.get(whole, i))
-        one = F.struct(start.alias("start"), stop.alias("stop"), F.get(value, i).alias("value"))
-        return F.struct(stop.alias("at"), F.array_append(acc["found"], one).alias("found"))
-
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    steps = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.aggregate(steps, zero, add, lambda a: a["found"])
+    each = F.zip_with(F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, w: F.struct(F.char_length(b).alias("gap"), F.char_length(w).alias("n"))), value, lambda x, v: F.struct(x["gap"], x["n"], v.alias("value")))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        stop = start + x["n"]
+        return F.struct(stop.alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))).alias("found"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("found"))
+    starts = F.sequence(F.lit(1), F.size(whole), F.lit(PART))
+    parts = _let(each, lambda all_: F.transform(starts, lambda i: F.aggregate(F.slice(all_, i, F.lit(PART)), zero, add)))
+    offset = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    offsets = lambda p: F.aggregate(p, offset, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found")))["found"]
+    moved = lambda x, o: F.transform(x["found"], lambda s: F.struct((s["start"] + o).alias("start"), (s["stop"] + o).alias("stop"), s["value"].alias("value")))
+    found = _let(parts, lambda p: F.flatten(F.zip_with(p, offsets(p), moved)))
     enough = F.filter(found, lambda s: F.char_length(s["value"]) >= least)
-    return F.transform(enough, lambda s: F.struct(s["start"], s["stop"], F.lit(kind).alias("kind"), s["value"]))
+    named = F.transform(enough, lambda s: F.struct(s["start"], s["stop"], F.lit(kind).alias("kind"), s["value"]))
+    return F.when(F.size(whole) > 0, named).otherwise(F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>"))
 
 
 def _listed(spans: Column) -> Column:
@@ -83,15 +96,16 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str = "source"
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source"
 ) -> DataFrame:
     """One row for each row of docs: id, base (array of the spans that the patterns give), added (of the
-    weak kind, owned by one owner), n_assign, n_access, n_hex, n_copied and n_live (base spans whose
-    value at least COPIED owners have, and one alone has), base_text and spans (kind:start:stop,
-    joined by commas: the base spans, and all).
+    weak kind, that look live), n_assign, n_access, n_hex, n_copied and n_live (base spans whose value at
+    least COPIED owners or COPIED_REPOSITORIES repositories have, and one owner alone has in fewer),
+    base_text and spans (kind:start:stop, joined by commas: the base spans, and all).
 
     A null text counts as empty; a null repository or owner counts as one; repeated rows have a row
-    each; an empty table gives none. Spans of different kinds may overlap; a weak span that overlaps
+    each and count as one repository; an empty table gives none. The work grows with the length of a
+    text, whatever number of matches it has. Where no column names repositories, a document is one. Spans of different kinds may overlap; a weak span that overlaps
     a base span is left out. Other columns are left alone.
     """
     folder = shared_dir(docs.sparkSession)
@@ -117,10 +131,12 @@ def scan_secrets(
     owned = ownership(each.select("digest", "repository", "owner"))
     known = each.join(owned, "digest")
     is_base = F.col("kind").isin(list(KINDS))
-    weak = F.when(~is_base & (F.col("owners") == 1), F.struct("start", "stop", "kind"))
+    copied = (F.col("owners") >= COPIED) | (F.col("repositories") >= COPIED_REPOSITORIES)
+    live = (F.col("owners") == 1) & ~copied
+    weak = F.when(~is_base & live, F.struct("start", "stop", "kind"))
     said = known.groupBy("uid").agg(
-        F.count_if(is_base & (F.col("owners") >= COPIED)).alias("n_copied"),
-        F.count_if(is_base & (F.col("owners") == 1)).alias("n_live"),
+        F.count_if(is_base & copied).alias("n_copied"),
+        F.count_if(is_base & live).alias("n_live"),
         F.collect_list(weak).alias("added"),  # the spans of one text
     )
     joined = found.join(said, "uid", "left")
