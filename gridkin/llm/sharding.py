@@ -2,17 +2,17 @@
 
 Records are ordered by (hash of the text, hash of the id). A sample, drawn with a chance in
 proportion to size, gives quantile boundaries; each range between two boundaries is then measured
-exactly, and an overfull one is subdivided with boundaries from a sample of its own rows. First
-boundaries lie between different texts, so that copies stay together; only a range that one text
-fills is cut between ids. Ranges are a small part of a shard: consecutive ones fill a shard up to
-its share, and those that would overfill it go, largest first, to the shards with most room.
+exactly, and an overfull one is subdivided with boundaries from a sample of its own rows.
+Boundaries lie between different texts, so that copies stay together; only a text whose copies
+outweigh a whole shard is cut between ids. Ranges are a small part of a shard: consecutive ones fill
+a shard up to its share, and those that would overfill it go, largest first, to the shards with most
+room.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,44 +44,47 @@ def range_of(key: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda a: a["lo"])
 
 
-def quantile_bounds(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
-    """Boundaries that cut the sorted (key, tie, weight) rows into parts of about equal weight.
+def quantile_bounds(sample: list[tuple[int, int, float]], part: float, split: set[int]) -> list[tuple[int, int]]:
+    """Boundaries that cut the sorted (key, tie, weight) rows into parts of about one weight.
 
-    A boundary stands before all rows of its key, unless the key weighs more than a part.
+    A boundary stands before all rows of its key, unless the key is one of split.
     """
-    total, seen, found = sum(w for _, _, w in sample), 0.0, set()
-    by_key: dict[int, float] = {}
-    for k, _, w in sample:
-        by_key[k] = by_key.get(k, 0.0) + w
-    due, before = 1, None
+    seen, found, due, before = 0.0, set(), part, None
     for k, t, w in sorted(sample):
-        heavy = by_key[k] > total / parts
-        if k != before and (heavy or (before is not None and by_key[before] > total / parts)):
+        if k != before and (k in split or before in split):
             found.add((k, LEAST))
-        if seen >= due * total / parts:
-            found.add((k, t if heavy else LEAST))
-            due = int(seen * parts / total) + 1
+        if seen >= due:
+            found.add((k, t if k in split else LEAST))
+            due = (int(seen / part) + 1) * part
         seen, before = seen + w, k
     return sorted(found)
 
 
 def deal(sizes: list[int], n_shards: int) -> list[int]:
-    """The shard of each range, in range order."""
-    share, filled, at, shard, left = sum(sizes) / n_shards, [0] * n_shards, [0] * len(sizes), 0, []
+    """The shard of each range, in range order: large ranges first, each to the emptiest shard; the others fill
+    the shards in turn, and what would overfill one goes where there is most room."""
+    share, filled, at = sum(sizes) / n_shards, [0] * n_shards, [0] * len(sizes)
+
+    def spread(ranges: list[int]) -> None:
+        room = [(x, s) for s, x in enumerate(filled)]
+        heapq.heapify(room)
+        for i in sorted(ranges, key=lambda i: (-sizes[i], i)):
+            x, s = heapq.heappop(room)
+            at[i], filled[s] = s, x + sizes[i]
+            heapq.heappush(room, (filled[s], s))
+
+    spread([i for i, size in enumerate(sizes) if size > share / 4])
+    shard, left = 0, []
     for i, size in enumerate(sizes):
+        if size > share / 4:
+            continue
         if filled[shard] + size > share:
             left.append(i)
-            if shard < n_shards - 1:
-                shard += 1
+            shard = min(shard + 1, n_shards - 1)
             continue
         filled[shard] += size
         at[i] = shard
-    room = [(x, s) for s, x in enumerate(filled)]
-    heapq.heapify(room)
-    for i in sorted(left, key=lambda i: (-sizes[i], i)):
-        x, s = heapq.heappop(room)
-        at[i] = s
-        heapq.heappush(room, (x + sizes[i], s))
+    spread(left)
     return at
 
 
@@ -99,24 +102,32 @@ def find_ranges(rows: DataFrame, n_shards: int, ranges_per_shard: int, rounds: i
         return [], []
     parts = n_shards * ranges_per_shard
     want = total / parts
-    drawn = _draw(rows, parts * OVERSAMPLE, total, 1).select("key", "tie", "weight").collect()
-    bounds = quantile_bounds([(r.key, r.tie, r.weight) for r in drawn], parts)
+    share = total / n_shards
+    drawn = [(r.key, r.tie, r.weight) for r in _draw(rows, parts * OVERSAMPLE, total, 1).select("key", "tie", "weight").collect()]
+    # a text that outweighs a shard, by its exact size, is the only kind that is parted from its copies
+    weighs: dict[int, float] = {}
+    for k, _, w in drawn:
+        weighs[k] = weighs.get(k, 0.0) + w
+    heavy = [k for k, w in weighs.items() if w > share / 2]  # 2 * n_shards, give or take the draw
+    sized = rows.where(F.col("key").isin(heavy)).groupBy("key").agg(F.sum("size").alias("size")).collect() if heavy else []
+    split = {r.key for r in sized if r["size"] > share}
+    bounds = quantile_bounds(drawn, want, split)
     for seed in range(2, 2 + rounds):
         ranged = rows.withColumn("range", range_of(F.col("key"), F.col("tie"), bounds))
         seen = {
             r.range: r
             for r in ranged.groupBy("range").agg(
-                F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
+                F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), (F.min("key") == F.max("key")).alias("one"), F.min("key").alias("key")
             ).collect()
         }
-        over = {i: r for i, r in seen.items() if r["size"] > 2 * want and r.n > 1}
+        over = {i: r for i, r in seen.items() if r["size"] > 2 * want and r.n > 1 and (not r.one or r.key in split)}
         if not over or seed == 1 + rounds:
             break
         sub = _draw(ranged.where(F.col("range").isin(list(over))), parts * OVERSAMPLE, total, seed)
         found: dict[int, list] = {i: [] for i in over}
         for r in sub.select("range", "key", "tie", "weight").collect():
             found[r.range].append((r.key, r.tie, r.weight))
-        more = {b for i, s in found.items() for b in quantile_bounds(s, math.ceil(over[i]["size"] / want))}
+        more = {b for i, s in found.items() for b in quantile_bounds(s, want, split)}
         if more <= set(bounds):
             break
         bounds = sorted({*bounds, *more})
@@ -128,7 +139,8 @@ def shard(
     docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 64
 ) -> DataFrame:
     """id, size (UTF-8 bytes of the text and RECORD_BYTES), text_crc32, shard (from 0), slot (place
-    in the shard, gapless from 0), for each row of docs. Sizes of shards are near equal.
+    in the shard, gapless from 0), for each row of docs. Sizes of shards are near equal; rows with one
+    text share a shard unless they outweigh one.
 
     A null text counts as empty; null ids sort together; repeated rows get a slot each; an empty
     table gives no rows. Other columns are left alone. The driver holds the boundaries and counts
