@@ -29,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CAP = 2
 #: Bins of the draw in which the threshold is sought.
 BINS = 1 << 16
+#: Fine bins of a coarse one.
+SPREAD = 1 << 8
 #: The sums of Newton's method count in these parts of a word.
 UNIT = 1 << 16
 #: Sources that a mix may have: their names and tilts are kept on the driver.
@@ -109,6 +111,14 @@ def newton(sized: DataFrame, tilts: dict[int, dict], steps: int = 60) -> None:
             t["tilt"] = step
 
 
+def _crossing(rows: DataFrame, place: str, need: DataFrame) -> list[tuple[int, int, int]]:
+    """(index, place, what is still needed there) where the running sum of w passes what is needed. need: i, need."""
+    upto = F.sum("w").over(Window.partitionBy("index").orderBy(place))
+    placed = rows.withColumn("upto", upto).join(F.broadcast(need), F.col("index") == F.col("i"))  # MAX_SOURCES rows at most
+    over = placed.where("upto > need and w > 0").groupBy("index").agg(F.min_by(F.struct(place, (F.col("need") - F.col("upto") + F.col("w")).alias("rest")), place).alias("c"))
+    return [(r["index"], int(r.c[0]), int(r.c[1])) for r in over.collect()]
+
+
 def fit_mix(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
     """One row for each source: source, source_size, target, tilt, scale, full, cut (bin of the
     threshold), last (the last place in that bin that takes a copy; -2 where none does), extra and
@@ -116,8 +126,10 @@ def fit_mix(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: f
 
     rows: source, size, u (see draw()), as a written table.
     """
-    spark = rows.sparkSession
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.col("size").cast("decimal(38,0)") * F.col("size")).alias("sq"))
+    spark, folder = rows.sparkSession, shared_dir(rows.sparkSession)
+    counted = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), folder, "counted")
+    n, size = F.col("n").cast("decimal(38,0)"), F.col("size")
+    sums = counted.groupBy("source").agg(F.sum(n * size).alias("size"), F.sum(n * size * size).alias("sq"))
     found = sums.orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -132,24 +144,23 @@ def fit_mix(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: f
         i: {"target": want[i], "scale": scale[i], "tilt": 0.0, "lo": -math.inf, "hi": math.inf}
         for i in range(len(found)) if not full[i] and want[i] > 0
     }
-    newton(keyed.where("size > 0").groupBy("index", "size").agg(F.count(F.lit(1)).alias("n")), tilts)
+    sized = counted.where("size > 0").join(F.broadcast(names), counted["source"].eqNullSafe(names["source"])).select("index", "size", "n")
+    newton(written(sized, folder, "sized"), tilts)
     base = literal_table(
         spark, [(r.source, i, sizes[i], want[i], tilts[i]["tilt"] if i in tilts else 0.0, scale[i], full[i]) for i, r in enumerate(found)], schema
     )
     rated = keyed.join(F.broadcast(base), "index").withColumn("b", bin_of(keyed["size"], keyed["u"], base))
     sure = (F.floor(rate(keyed["size"], base)) * keyed["size"]).cast("long")
-    bins = rated.groupBy("index", "b").agg(F.sum(keyed["size"]).alias("w"), F.sum(sure).alias("sure"))
-    # at most BINS rows for each source
-    every, upto = Window.partitionBy("index"), Window.partitionBy("index").orderBy("b")
-    placed = bins.select("index", "b", "w", F.sum("sure").over(every).alias("sure"), F.sum("w").over(upto).alias("upto"))
-    need = F.greatest(F.lit(0), F.round("target").cast("long") - F.col("sure"))
-    cuts = (
-        placed.join(F.broadcast(base.select("index", "target")), "index")
-        .where((F.col("upto") > need) & (F.col("w") > 0))
-        .groupBy("index")
-        .agg(F.min_by(F.struct("b", (need - F.col("upto") + F.col("w")).alias("rest"), "w"), "b").alias("c"))
-    )
-    cut = {r["index"]: (r.c.b, r.c.rest) for r in cuts.collect()}
+    bins = written(rated.groupBy("index", "b").agg(F.sum(keyed["size"]).alias("w"), F.sum(sure).alias("sure")), folder, "bins")
+    wanted = literal_table(spark, [(i, want[i]) for i in range(len(found))], [("i", "int"), ("target", "double")])
+    # the threshold's coarse bin first, then the bin within it: SPREAD rows of a source at most meet in one task
+    coarse = bins.groupBy("index", F.floor(F.col("b") / SPREAD).alias("c")).agg(F.sum("w").alias("w"), F.sum("sure").alias("sure"))
+    taken = coarse.groupBy("index").agg(F.sum("sure").alias("sure")).join(F.broadcast(wanted), F.col("index") == F.col("i"))
+    need = taken.select("i", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("sure")).alias("need"))
+    cuts = _crossing(coarse.select("index", "c", "w"), "c", need)
+    inside = literal_table(spark, cuts, [("i", "int"), ("at", "bigint"), ("need", "bigint")])
+    fine = bins.join(F.broadcast(inside), (F.col("index") == F.col("i")) & (F.floor(F.col("b") / SPREAD) == F.col("at"))).select("index", "b", "w")
+    cut = {i: (b, rest) for i, b, rest in _crossing(fine, "b", inside.select("i", "need"))}
     rated = rated.withColumn("place", place_of(keyed["size"], keyed["u"], base))
     edge = literal_table(spark, [(i, *c) for i, c in cut.items()], [("i", "int"), ("cut", "int"), ("rest", "bigint")])
     within = rated.join(F.broadcast(edge), (F.col("index") == F.col("i")) & (F.col("b") == F.col("cut")))  # one bin of each source
