@@ -138,16 +138,41 @@ def oracle_sql() -> dict[str, str]:
             WITH RECURSIVE rules(host, path, action) AS (
                 VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
                        ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+            ), own AS (
+                SELECT page_id, url, html, regexp_replace(url, '(?s)#.*$', '') AS bare,
+                       regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*') AS start FROM pages
+            ), nodes AS (
+                SELECT *, translate(start, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(bare, length(start) + 1) AS node FROM own
             ), tags AS (
-                SELECT url AS a, unnest([
-                    regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-                    regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)
-                ]) AS b FROM pages
+                SELECT url, node, unnest(list_concat(
+                    list_transform(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'),
+                                   lambda t: regexp_extract(t, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+                    list_transform(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'),
+                                   lambda t: regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1))
+                )) AS tag FROM nodes WHERE html IS NOT NULL AND url IS NOT NULL
+            ), parts AS (
+                SELECT node, regexp_replace(regexp_replace(tag, '(?i)&(amp|#38|#x26);', '&', 'g'), '(?s)#.*$', '') AS b,
+                       regexp_extract(url, '^([^:/?#]+:)//[^/?#]*', 1) AS scheme, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS site,
+                       regexp_extract(url, '(?s)^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path
+                FROM tags
+            ), paths AS (
+                SELECT *, regexp_extract(b, '(?s)\\?.*$') AS query, string_split(CASE WHEN b LIKE '/%' THEN '' ELSE '/' || regexp_extract(path, '(?s)^/(.*/)?', 1) END
+                       || regexp_extract(b, '(?s)^[^?]*'), '/') AS segments
+                FROM parts WHERE b <> ''
+            ), reduced AS (
+                SELECT *, list_reduce(list_prepend('', segments[2:]), lambda acc, x:
+                       CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END) AS short
+                FROM paths
             ), links AS (
-                SELECT a, CASE WHEN b LIKE '%://%' THEN b WHEN b LIKE '//%' THEN split_part(a, '//', 1) || b
-                    WHEN b LIKE '/%' THEN regexp_extract(a, '^[^:/?#]+://[^/?#]*') || b END AS b
-                FROM tags WHERE b <> '' AND a IS NOT NULL
-            ), pairs AS (SELECT a, b FROM links WHERE b IS NOT NULL UNION SELECT b, a FROM links WHERE b IS NOT NULL
+                SELECT node, CASE WHEN regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN b WHEN site = '' THEN NULL
+                    WHEN b LIKE '//%' THEN scheme || b WHEN b LIKE '?%' THEN site || path || b
+                    ELSE site || short || CASE WHEN segments[-1] IN ('.', '..') OR short = '' THEN '/' ELSE '' END || query END AS b
+                FROM reduced
+            ), ends AS (
+                SELECT node, b, regexp_extract(b, '(?s)^.*?://[^/?#]*') AS start FROM links WHERE b IS NOT NULL
+            ), edges AS (
+                SELECT node AS a, translate(start, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(b, length(start) + 1) AS b FROM ends
+            ), pairs AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
             ), reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
             ), urls AS (
                 SELECT DISTINCT url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
@@ -162,5 +187,5 @@ def oracle_sql() -> dict[str, str]:
                 SELECT a AS url, min(action) AS passed FROM reach JOIN judged j ON reach.b = j.url GROUP BY a
             )
             SELECT page_id, host, path, rule, coalesce(action, passed, 'allow') AS verdict
-            FROM pages JOIN judged j ON pages.url IS NOT DISTINCT FROM j.url LEFT JOIN passed p ON p.url = pages.url""",
+            FROM nodes JOIN judged j ON nodes.url IS NOT DISTINCT FROM j.url LEFT JOIN passed p ON p.url = nodes.node""",
     }
