@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridkin.llm._common import find_package, literal_table, shared_dir, written
@@ -27,7 +27,7 @@ FEATURES = 4096
 #: Labelled texts that training uses at most, shared by the languages.
 SAMPLE = 3000
 #: Texts and bytes whose features are held at a time.
-BLOCK_TEXTS, BLOCK_BYTES = 1024, 2_000_000
+BLOCK_TEXTS, BLOCK_BYTES = 512, 1_000_000
 UNKNOWN = "und"
 #: Families of closely related languages (ISO 639-1), a fixed value; any other language is a family of its own.
 FAMILIES = {
@@ -192,16 +192,10 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     return LanguageModel(machines(x, family), {f: machines(x[family == f], labels[family == f]) for f in set(family)})
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1).
-
-    A null text, and one without a letter, is UNKNOWN with score 0, as is every text if nothing could
-    be learned. Repeated rows get one answer each, an empty table gives no rows; a column of docs
-    that is called lang_pred or score gives way.
-    """
-    find_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed size for each two languages
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def said_of(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """struct<lang_pred, score> of a text column: the text is read whole, in blocks of bounded size."""
+    find_package(spark)
+    shared = spark.sparkContext.broadcast(model)  # weights of a fixed size for each two languages
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -213,5 +207,21 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
                 scores += score.tolist()
             yield pd.DataFrame({"lang_pred": langs, "score": pd.Series(scores, dtype=float)})
 
-    said: Column = F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col))
-    return docs.withColumn("_said", said).select(*kept, F.col("_said.lang_pred"), F.col("_said.score"))
+    return F.pandas_udf(run, "lang_pred string, score double")(text)
+
+
+def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score (0 to 1).
+
+    A null text, and one without a letter, is UNKNOWN with score 0, as is every text if nothing could
+    be learned. Texts that tie go to the language that sorts last. Repeated rows get one answer each,
+    an empty table gives no rows; a column of docs that is called lang_pred or score gives way.
+    """
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    both = docs.select(F.struct(*(docs[c] for c in kept)).alias("row"), said_of(docs.sparkSession, model, docs[text_col]).alias("said"))
+    return both.select(*(F.col("row")[c].alias(c) for c in kept), F.col("said.lang_pred"), F.col("said.score"))
+
+
+def in_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in some language, with their columns, whatever these are called."""
+    return docs.where(said_of(docs.sparkSession, model, docs[text_col])["lang_pred"] != UNKNOWN)
