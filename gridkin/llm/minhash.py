@@ -8,37 +8,34 @@ in some table with probability (1 - (1 - s ** WIDTH) ** GROUPS) ** 2: all but 1
 s = 0.8, and more above.
 
 Documents with one shingle set are one node. A bucket (the nodes with one key) links its members to
-its smallest one; links count after the full sets have been compared. Members that stay in another
-component than most of their bucket lead in later rounds, LEADERS in a bucket at first and GROWTH
-times as many in each round that follows (few buckets are left by then), until every pair of a
-bucket is either in one component or compared. A bucket of true copies of any size thus
-costs one pair a member, and no two members are left out.
+its smallest one, so that a bucket of true copies of any size costs one pair a member. What then
+still lies in several components of a bucket is open: for open nodes an exact filter gives the pairs
+across components that can be similar enough. In one order of all shingles, two sets of that
+similarity share one of the first n - ceil(0.8 n) + 1 of each; the order puts rare shingles first,
+and the sizes and the places of the shared shingle bound what two sets can have in common. So no
+two members of a bucket stay apart unless a comparison says so, and none are compared in vain
+because others of their bucket are copies. What is compared are the words of whole texts, not hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package, shared_dir, written
+from gridkin.llm._common import find_package, removed, shared_dir, written
 from gridkin.llm._graph import components
 from gridkin.llm._words import blocks, mixed, span_hashes, spans
 
 #: Hashes in each of the two collections, and minhashes in each hash.
 GROUPS, WIDTH = 12, 2
-#: Members of a bucket that lead in the first round; how many times more do in the next; and at most.
-LEADERS, GROWTH, MOST_LEADERS = 8, 8, 4096
-#: Pairs with fewer minhashes in common than this part are not compared in full: at a similarity of
-#: 0.8, 48 minhashes agree in less than half of the places once in a million pairs.
-LEAST_AGREEING = 0.5
-#: Members of a bucket are not compared with its later leaders if more of the 48 lowest bits of their
-#: minhashes differ: 4.8 do on average at a similarity of 0.8, and over 16 twice in a million pairs.
-MOST_BITS = 16
+#: Counters that order shingles by how common they are: a bound on what the driver holds.
+COUNTERS = 1 << 18
+#: Bits that tell rows that a join may need from others.
+BITS = 1 << 24
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +76,22 @@ def _per_text(h: np.ndarray, counts: np.ndarray, reduce: np.ufunc) -> np.ndarray
     return out
 
 
+_RNG = np.random.default_rng(41)
+#: An odd factor and a summand for each minhash: linear permutations of the 64-bit hashes, which are mixed already.
+_FACTORS = _RNG.integers(0, 1 << 64, 2 * GROUPS * WIDTH, np.uint64) | np.uint64(1)
+_SUMMANDS = _RNG.integers(0, 1 << 64, 2 * GROUPS * WIDTH, np.uint64)
+
+
+def minhashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row of 32-bit minhashes for each text."""
+    out, space = np.zeros((len(counts), len(_FACTORS)), np.uint32), np.empty_like(h)
+    for p, (factor, summand) in enumerate(zip(_FACTORS, _SUMMANDS, strict=True)):
+        np.multiply(h, factor, out=space)
+        space += summand
+        out[:, p] = _per_text(space, counts, np.minimum) >> np.uint64(32)
+    return out
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,45 +99,70 @@ def _signatures(width: int):
             for at, some in blocks(texts):
                 h, counts = shingle_sets(some, width)
                 part = batch.iloc[at : at + len(some)]
-                mins = np.stack(
-                    [_per_text(mixed(h, 0xA0761D6478BD642F * (p + 1) % (1 << 64)), counts, np.minimum) >> np.uint64(32) for p in range(2 * GROUPS * WIDTH)], 1
-                )
                 yield pd.DataFrame({
                     "id": part["id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n": counts.astype(np.int64),
                     "s1": _per_text(mixed(h, 0x1D8E4E27C47D124F), counts, np.add).view(np.int64),
                     "s2": _per_text(mixed(h, 0x60BEE2BEE120FC15), counts, np.add).view(np.int64),
-                    "mins": list(mins.astype(np.uint32).view(np.int32)),
+                    "mins": list(minhashes(h, counts).view(np.int32)),
                 })
 
     return run
 
 
-def _sets(width: int):
+def plain_set(text: str, width: int) -> frozenset[tuple[bytes, ...]]:
+    """The shingles of a text, as words."""
+    words = text.encode().lower().split()  # of bytes: A-Z only, ASCII white space only
+    return frozenset(zip(*(words[i:] for i in range(width)))) if len(words) > width else frozenset([tuple(words)])
+
+
+def _verify(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"]]
-            for at, some in blocks(texts):
-                h, counts = shingle_sets(some, width)
-                ends = np.cumsum(counts)
-                yield pd.DataFrame({
-                    "node": batch["node"].to_numpy()[at : at + len(some)],
-                    "items": [h[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)],
-                })
+            linked, at, held = [], None, frozenset()
+            for b, x, y in zip(batch["b"], batch["x"], batch["y"], strict=True):
+                if b != at:
+                    at, held = b, plain_set(y, width)
+                own = plain_set(x, width)
+                common = len(own & held)
+                linked.append(100 * common >= percent * (len(own) + len(held) - common))
+            yield batch.loc[np.array(linked, bool), ["a", "b"]]
 
     return run
 
 
-def _verify(percent: int):
+def _hashed(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Parts of batches with the shingle hashes of their texts, as shingle_sets() gives them."""
+    for batch in batches:
+        for at, some in blocks([t.encode() for t in batch["text"]]):
+            yield batch.iloc[at : at + len(some)], *shingle_sets(some, width)
+
+
+def _prefixes(width: int, percent: int, common):
+    """The first shingles of each set in the order of common counters, then of the hashes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.loc[np.array(linked, bool), ["a", "b"]]
+        for part, h, n in _hashed(batches, width):
+            seen, of = common.value[(h % np.uint64(COUNTERS)).astype(np.int64)], np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, seen, of))
+            h, seen = h[order], seen[order]
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            # a shingle that one set has is nobody else's
+            at = np.flatnonzero((place < (n + (-percent * n // 100) + 1)[of]) & (seen > 1))
+            yield pd.DataFrame({
+                "token": h[at].view(np.int64), "node": part["node"].to_numpy()[of[at]], "n": n[of[at]], "place": place[at],
+                "component": part["component"].to_numpy()[of[at]],
+            })
+
+    return run
+
+
+def _counters(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for _, h, _ in _hashed(batches, width):
+            counts += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        own = np.flatnonzero(counts)
+        yield pd.DataFrame({"counter": own, "n": counts[own]})
 
     return run
 
@@ -151,65 +189,63 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return sides.select("node", F.explode(pairs).alias("key"))
 
 
-def _sketch() -> Column:
-    """The lowest bits of the minhashes, as one number."""
-    return F.aggregate("mins", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.cast("long").bitwiseAND(F.lit(1).cast("long"))))
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, word by word."""
+    x, y = (texts.select(F.col("node").alias(s), F.col("text").alias(c)) for s, c in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInPandas(_verify(width, percent), "a bigint, b bigint")
 
 
-def _similar_enough(percent: int) -> Column:
-    """What a pair must meet before its sets are compared: sizes that allow the similarity, and minhashes."""
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    agree = F.size(F.filter(F.zip_with("mins_a", "mins_b", lambda x, y: x == y), lambda z: z))
-    return sizes & (agree >= LEAST_AGREEING * 2 * GROUPS * WIDTH)
+def _among(keys: DataFrame, key: str):
+    """Whether a number may be among those of a column: a bitmap of BITS bits goes to the tasks, so that most rows
+    that no join would keep do not move."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))"))
+    words = keys.select(place.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(mask.alias("mask")).toArrow()  # BITS / 64 rows at most
+    bitmap = np.zeros(BITS // 64, np.uint64)
+    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
 
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for bits in batches:
+            at = bits.to_numpy(np.int64)
+            yield pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("mins").alias(f"mins_{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_similar_enough(percent)).select("a", "b")
-    x, y = (sets.select(F.col("node").alias(s), F.col("items").alias(c)) for s, c in (("a", "x"), ("b", "y")))
-    return near.join(x, "a").join(y, "b").mapInPandas(_verify(percent), "a bigint, b bigint")
+    return lambda column: F.pandas_udf(held, "boolean")(F.pmod(F.xxhash64(column), F.lit(BITS)))
 
 
 def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _rest(keys: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, folder: str) -> DataFrame:
-    """node, component, once every two members of a bucket are in one component or compared."""
-    found = components(links, folder, "first")
-    traits = nodes.select("node", "n", _sketch().alias("sketch"))
-    members = keys.join(traits, "node").select("key", "node", "n", "sketch", F.lit(False).alias("led"))
-    for i in count(1):
-        named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-        split = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        members = written(named.join(split.where("parts > 1").select("key", "main"), "key"), folder, f"split-{i}")
-        # two members of different components are not both of the main one
-        able = members.where("not led and component <> main")
-        many = min(MOST_LEADERS, LEADERS * GROWTH ** (i - 1))
-        leaders = written(able.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(many)).alias("g")).agg(F.min("node").alias("leader")), folder, f"leaders-{i}")
-        if leaders.isEmpty():
-            return found
-        members = members.join(leaders.select("key").distinct(), "key", "left_semi")  # the others are done
-        own = members.select("key", F.col("node").alias("leader"), F.col("component").alias("own"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-        sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))) <= MOST_BITS
-        met = members.join(leaders.join(own, ["key", "leader"]), "key").where((F.col("component") != F.col("own")) & sizes & near)
-        new = written(_linked(met.select(*_pair("node", "leader")).distinct(), nodes, sets, percent), folder, f"links-{i}")
-        marks = leaders.select("key", F.col("leader").alias("node"), F.lit(True).alias("now"))
-        members = members.join(marks, ["key", "node"], "left").select("key", "node", "n", "sketch", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        if not new.isEmpty():
-            links = links.union(new)
-            found = components(links, folder, f"round-{i}")
+def _open_pairs(keys: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """The pairs that can be linked among nodes of buckets that hold several components, across those."""
+    named = keys.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("key")
+    rest = named.join(split, "key", "left_semi").select("node", "component").distinct()
+    open_ = written(rest.join(texts, "node"), folder, "open")
+    counted = open_.mapInPandas(_counters(width), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+    table = counted.toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table["counter"].to_numpy()] = table["n"].to_numpy()
+    common = open_.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    schema = "token bigint, node bigint, n bigint, place bigint, component bigint"
+    first = written(open_.mapInPandas(_prefixes(width, percent, common), schema), folder, "first")
+    common.unpersist()
+    met = first.groupBy("token").agg((F.min("component") != F.max("component")).alias("met")).where("met").select("token")
+    first = first.join(met, "token", "left_semi")
+    x, y = (first.select(*(F.col(c).alias(c + s) for c in ("token", "node", "n", "place", "component"))) for s in "xy")
+    least = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))  # of shared shingles
+    can = F.lit(1) + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) - 1 >= least  # itself and what follows it
+    across = (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") > F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & can
+    return x.join(y, across).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
 
 
 def distinct_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stay, with all their columns: those with the smallest id of their component,
     those without words, and those with a null id. Rows that share an id stay together."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.struct(F.col(id_col)).alias("gone")).distinct()
+    return docs.join(gone, F.struct(docs[id_col]) == gone["gone"], "left_anti")
 
 
 def near_duplicates(
@@ -239,16 +275,30 @@ def near_duplicates(
     keys = table_keys(nodes)
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     keys = written(keys.join(shared, "key").select("key", "node", "leader"), folder, "buckets")
-    wanted = nodes.join(keys.select("node").distinct(), "node", "left_semi")
+    wanted = nodes.drop("mins").join(keys.select("node").distinct(), "node", "left_semi")
     nodes = written(wanted, folder, "nodes")
     rep = nodes.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    texts = rows.join(rep, (rows["text_key"] == rep["_key"]) & rows["id"].eqNullSafe(rep["_id"])).select("node", "text")
-    sets = texts.mapInPandas(_sets(width), "node bigint, items binary").dropDuplicates(["node"])
-    sets = written(sets, folder, "sets")
-
-    pairs = keys.where("node <> leader").select(*_pair("node", "leader")).distinct()
-    links = written(_linked(pairs, nodes, sets, percent), folder, "links-0")
-    found = _rest(keys, nodes, sets, links, percent, folder)
+    some = rows.where(_among(rep, "_key")(F.col("text_key")))
+    texts = some.join(rep, (some["text_key"] == rep["_key"]) & some["id"].eqNullSafe(rep["_id"])).select("node", "text")
+    texts = written(texts.dropDuplicates(["node"]), folder, "texts")
+
+    size = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"))
+    pairs = keys.where("node <> leader").select(*_pair("node", "leader")).distinct().join(size("a"), "a").join(size("b"), "b")
+    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    pairs = written(pairs, folder, "pairs")
+    once = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    links = written(_linked(once, texts, width, percent), folder, "links")
+    found = components(links, folder, "first")
+    # copies are together now, so that their other leaders need no comparison
+    of = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    named = pairs.join(once.select("a", F.col("b").alias("once")), "a").where("b <> once").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    links = links.union(written(_linked(apart, texts, width, percent), folder, "others"))
+    found = components(links, folder, "second")
+    more = written(_linked(_open_pairs(keys, texts, found, width, percent, folder), texts, width, percent), folder, "more")
+    if not more.isEmpty():
+        found = components(links.union(more), folder, "all")
+    removed(docs.sparkSession, folder, "buckets", "nodes", "texts", "open", "first", "pairs", "links", "others", "more")
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = named.join(lows, "component").select("s1", "s2", "component_id")
