@@ -86,7 +86,11 @@ def align_observations(observations: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def select_pairs(observations: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The observations whose pair wanted names, either way round. wanted: region, species, left, right."""
+    """The observations whose pair wanted names, either way round; ValueError for a pair that was not observed.
+    wanted: region, species, left, right."""
+    lost = missing_pairs(observations, wanted).limit(5).collect()
+    if lost:
+        raise ValueError("not observed: " + ", ".join(f"{r.region} {r.left}-{r.right}" for r in lost))
     a = observations.withColumn("_p", canonical_pair(F.col("left"), F.col("right")))
     b = wanted.select("region", "species", canonical_pair(F.col("left"), F.col("right")).alias("_q"))
     return a.join(b, group_match(a, b) & (a["_p"] == b["_q"]), "left_semi").drop("_p")
@@ -110,6 +114,15 @@ def of_species(units: DataFrame, species: str | None) -> DataFrame:
     return units.where(F.col("species").eqNullSafe(F.lit(species)))
 
 
+def species_units(units: DataFrame, species: str | None) -> DataFrame:
+    """The units of one species; ValueError if a region has fewer than two of them."""
+    own = of_species(units, species)
+    few = own.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n < 2").limit(5).collect()
+    if few or own.isEmpty():
+        raise ValueError(f"species {species!r} has fewer than two units" + "".join(f" in region {r.region!r}" for r in few))
+    return own
+
+
 def cell_edges(ticks: DataFrame) -> DataFrame:
     """Intervals in which points belong to cells: region, dim, idx, d, lo, hi, last (index), tol.
 
@@ -134,27 +147,35 @@ def snap_points(points: DataFrame, ticks: DataFrame) -> DataFrame:
     """points with row and col of the raster cell that they lie in, null outside the raster.
 
     points: region, unit, x (along columns), y (along rows). On a shared edge the larger index wins;
-    the outer edges have a tolerance of a millionth of the smallest cell. Intervals of an axis are as
-    few as its cells: they are joined by region and interval.
+    the outer edges have a tolerance of a millionth of the smallest cell. An axis comes to its region's
+    points as one sorted array, in which each point looks its cell up by halving.
     """
     edges = cell_edges(ticks)
+    axis = edges.groupBy("region", "dim").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "idx"))).alias("los"), F.max("hi").alias("end"), F.first("tol").alias("tol"), F.first("d").alias("d")
+    )  # an array of one raster side
     out = points
     for dim, value, name in (("row", "y", "row"), ("column", "x", "col")):
-        e = edges.where(F.col("dim") == dim).select(F.col("region").alias("_r"), F.col("idx").alias(name), "d", "lo", "hi", "last", "tol")
-        v = out[value] * e["d"]
-        low = v >= e["lo"] - F.when(e[name] == 0, e["tol"]).otherwise(0.0)
-        high = (v < e["hi"]) | ((e[name] == e["last"]) & (v <= e["hi"] + e["tol"]))
-        out = out.join(e, (out["region"] == e["_r"]) & low & high, "left").drop("_r", "d", "lo", "hi", "last", "tol")
+        own = axis.where(F.col("dim") == dim).select(F.col("region").alias("_r"), *(F.col(c).alias(f"_{c}") for c in ("los", "end", "tol", "d")))
+        out = out.join(own, out["region"] == own["_r"], "left")
+        v = F.col(value) * F.col("_d")
+        inside = (v >= F.get("_los", F.lit(0))["lo"] - F.col("_tol")) & (v <= F.col("_end") + F.col("_tol"))
+        place = F.greatest(F.lit(0), _places_at_most(F.col("_los"), v) - 1)
+        out = out.withColumn(name, F.when(inside, F.get("_los", place)["idx"])).drop("_r", "_los", "_end", "_tol", "_d")
     return out
 
 
-def regular_axis_index(value: Column, first: Column, step: Column, n: Column) -> Column:
-    """Index on an axis of evenly spaced rising centers, by arithmetic instead of a join; null outside."""
-    idx = F.floor((value - (first - step / 2)) / step).cast("int")
-    edge = 1e-6 * F.abs(step)
-    at_end = (idx == n) & (value <= first + step * (n - 0.5) + edge)
-    at_start = (idx == -1) & (value >= first - step / 2 - edge)
-    return F.when((idx >= 0) & (idx < n), idx).when(at_end, n - 1).when(at_start, F.lit(0))
+def _places_at_most(los: Column, v: Column) -> Column:
+    """How many of a sorted array's structs have lo at or below v: a binary search."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["low"] + a["high"], 1)
+        above = F.struct((mid + 1).alias("low"), a["high"].alias("high"))
+        below = F.struct(a["low"].alias("low"), mid.alias("high"))
+        return F.when(a["low"] >= a["high"], a).when(F.get(los, mid)["lo"] <= v, above).otherwise(below)
+
+    start = F.struct(F.lit(0).alias("low"), F.size(los).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda a: a["low"])
 
 
 def adjacency(vertices: DataFrame, value: str = "g") -> DataFrame:
@@ -185,9 +206,12 @@ def unmatched_regions(regions: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def calibrated(pairs: DataFrame, calibrations: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs with columns of the calibration of their region and species; pairs without one are dropped."""
+    """pairs with columns of the calibration of their region and species; a group without one fails the job by name."""
     own = calibrations.select(F.col("region").alias("_r"), F.col("species").alias("_s"), *columns)
-    return pairs.join(own, (pairs["region"] == own["_r"]) & pairs["species"].eqNullSafe(own["_s"])).drop("_r", "_s")
+    joined = pairs.join(own, (pairs["region"] == own["_r"]) & pairs["species"].eqNullSafe(own["_s"]), "left")
+    say = F.concat(F.lit("no calibration for region "), F.col("region"), F.lit(", species "), F.coalesce("species", F.lit("without a name")))
+    checked = F.when(F.col("_r").isNotNull(), F.col(columns[0])).otherwise(F.raise_error(say).cast(own.schema[columns[0]].dataType))
+    return joined.withColumn(columns[0], checked).drop("_r", "_s")
 
 
 def pair_effects(pairs: DataFrame, effects: DataFrame, unit_variance: str | float = 0.0) -> DataFrame:
@@ -202,3 +226,12 @@ def pair_effects(pairs: DataFrame, effects: DataFrame, unit_variance: str | floa
 def first_seen(labels: DataFrame, order: str = "ord", label: str = "label") -> DataFrame:
     """The distinct labels with the first place at which each stands."""
     return labels.groupBy(label).agg(F.min(order).alias(order))
+
+
+def folds(labels: DataFrame, k: int, seed: int = 0, label: str = "label") -> DataFrame:
+    """labels with fold, from 0 to k - 1: near equal parts of the distinct labels in an order drawn by the seed."""
+    if k < 2:
+        raise ValueError("two folds are needed")
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string")))
+    by = Window.orderBy(drawn, label)  # the labels of a study: the units of one region or all
+    return labels.select(label).distinct().withColumn("fold", F.ntile(k).over(by) - 1)

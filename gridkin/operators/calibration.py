@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,14 +12,23 @@ from pyspark.sql import functions as F
 
 from gridkin.functions.targets import TargetSpec
 from gridkin.operators.alignment import calibrated, join_groups, pair_effects, shared_pairs, with_endpoints
-from gridkin.operators.mlpe import Settings, condition, fit_mlpe
-from gridkin.operators.models import DistanceModel
+from gridkin.operators.mlpe import Settings, calibration_pairs, condition, fit_mlpe, with_pairs
+from gridkin.operators.models import DistanceModel, ModelError
 
 
 class PredictionError(ValueError):
     """A query that cannot be answered."""
 
 
+def refuse_individuals(units: DataFrame) -> None:
+    """Raise PredictionError where a region's units are individuals (column individual_based): population effects
+    are of populations."""
+    if "individual_based" in units.columns:
+        found = units.where("individual_based").select("region").distinct().limit(5).collect()
+        if found:
+            raise PredictionError("population effects need populations; individuals in " + ", ".join(str(r.region) for r in found))
+
+
 def direct(distances: DataFrame, target: TargetSpec) -> DataFrame:
     """Distances read as values on the model scale: region, species, left, right, value."""
     return distances.select("region", "species", "left", "right", target.inverse(F.col("distance")).alias("value"))
@@ -114,6 +124,57 @@ def as_matrix(predictions: DataFrame, units: DataFrame, value: str = "value") ->
     return grid.join(both, on, "left").select("region", "species", "left", "right", F.coalesce("_v", F.lit(float("nan"))).alias(value))
 
 
+class Head(ABC):
+    """What turns a model's distances into values. predict() gets distances (region, species, left, right, distance)
+    and, where effects() is true, may be asked for known effects or given support (distances with value)."""
+
+    name: str
+
+    @abstractmethod
+    def check(self, target: TargetSpec) -> None:
+        """Raise PredictionError for targets that the head is not for."""
+
+    def check_units(self, units: DataFrame) -> None:
+        """Raise PredictionError for units that the head is not for."""
+
+    @abstractmethod
+    def predict(self, distances: DataFrame, target: TargetSpec, *, known_effects: bool = False, support: DataFrame | None = None) -> DataFrame:
+        """region, species, left, right, value and what else the head knows."""
+
+
+@dataclass(frozen=True)
+class DirectHead(Head):
+    name: str = "direct"
+
+    def check(self, target: TargetSpec) -> None:
+        return None
+
+    def predict(self, distances: DataFrame, target: TargetSpec, *, known_effects: bool = False, support: DataFrame | None = None) -> DataFrame:
+        if known_effects or support is not None:
+            raise PredictionError("the direct head has no unit effects")
+        return direct(distances, target)
+
+
+@dataclass(frozen=True)
+class MLPEHead(Head):
+    """calibrations: see mlpe.CALIBRATION; with pair_names, support may not repeat the pairs named there."""
+
+    calibrations: DataFrame
+    name: str = "mlpe"
+
+    def check(self, target: TargetSpec) -> None:
+        if target.kind != "dissimilarity":
+            raise PredictionError("population effects are for dissimilarities")
+
+    def check_units(self, units: DataFrame) -> None:
+        refuse_individuals(units)
+
+    def predict(self, distances: DataFrame, target: TargetSpec, *, known_effects: bool = False, support: DataFrame | None = None) -> DataFrame:
+        if support is not None:
+            return given_support(distances, support, self.calibrations, target, calibration_pairs(self.calibrations))
+        return (with_effects if known_effects else marginal)(distances, self.calibrations, target)
+
+
 @dataclass(frozen=True)
 class GeneticsModel:
     """A distance model and what turns its distances into measured values.
@@ -127,32 +188,44 @@ class GeneticsModel:
     calibrations: DataFrame | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
-        if self.calibrations is not None and self.target.kind != "dissimilarity":
-            raise PredictionError("population effects are for dissimilarities")
+        self.head.check(self.target)
 
-    def check_features(self, names: list[str]) -> None:
+    @property
+    def head(self) -> Head:
+        return DirectHead() if self.calibrations is None else MLPEHead(self.calibrations)
+
+    def check_features(self, names: list[str] | tuple[str, ...]) -> None:
         if self.features and tuple(names) != self.features:
-            raise PredictionError(f"the raster's features are {names}; the model was made for {list(self.features)}")
+            raise PredictionError(f"the raster's features are {list(names)}; the model was made for {list(self.features)}")
 
     def predict(
-        self, cells: DataFrame, units: DataFrame, query: DataFrame | None = None, *, known_effects: bool = False, support: DataFrame | None = None
-    ) -> DataFrame:
-        """Values for the pairs of query (see unit_pairs()), or for all pairs.
-
-        support: aligned observations (see align_observations()) that update the unit effects first.
+        self, cells: DataFrame, units: DataFrame, query: DataFrame | dict | list | tuple | None = None, *, known_effects: bool = False,
+        support: DataFrame | None = None, features: list[str] | tuple[str, ...] | None = None,
+    ) -> DataFrame:
+        """Values for the pairs of query (see DistanceModel.resolved()), or for all pairs.
+
+        support: aligned observations (see align_observations()) that update the unit effects first; of the species
+        that are asked for, no more and no fewer. features: names of the raster's features, held against the
+        model's. Patches must fill the rasters; unknown units and species are refused.
         """
         if support is not None and query is None:
             raise PredictionError("support needs an explicit query")
-        d = self.distance.distances(cells, units, query)
-        if self.calibrations is None:
-            if known_effects or support is not None:
-                raise PredictionError("the direct head has no unit effects")
-            return direct(d, self.target)
-        if support is not None:
-            s = self.distance.distances(cells, units, support)
-            valued = join_groups(s, support.select("region", "species", "left", "right", "value"), ("left", "right"))
-            return given_support(d, valued, self.calibrations, self.target)
-        return (with_effects if known_effects else marginal)(d, self.calibrations, self.target)
+        if features is not None:
+            self.check_features(features)
+        self.head.check_units(units)
+        self.distance.check_patches(cells)
+        asked = self.distance.resolved(units, query)
+        d = self.distance.distances(cells, units, asked)
+        if support is None:
+            return self.head.predict(d, self.target, known_effects=known_effects)
+        given = self.distance.resolved(units, support.select("region", "species", "left", "right"))
+        some = lambda pairs: {r.species for r in pairs.select("species").distinct().collect()}  # noqa: E731  a model's species
+        if some(given) != some(asked):
+            raise PredictionError("support and query name different species")
+        s = self.distance.distances(cells, units, given)
+        named = support if self.distance.species == (None,) else support.withColumn("species", F.coalesce("species", F.lit(self.distance.species[0] if len(self.distance.species) == 1 else None)))
+        valued = join_groups(s, named.select("region", "species", "left", "right", "value"), ("left", "right"))
+        return self.head.predict(d, self.target, known_effects=known_effects, support=valued)
 
 
 def fit_head(
@@ -164,10 +237,11 @@ def fit_head(
         return GeneticsModel(distance, target, features)
     if loss != "mlpe":
         raise ValueError("loss must be log1p or mlpe")
+    refuse_individuals(units)
     d = distance.distances(cells, units, observations)
     valued = join_groups(d, observations.select("region", "species", "left", "right", "value"), ("left", "right"))
     pairs = valued.select("region", "species", "left", "right", "distance", target.forward(F.col("value")).alias("target"))
-    return GeneticsModel(distance, target, features, fit_mlpe(pairs, settings, max_iterations))
+    return GeneticsModel(distance, target, features, with_pairs(fit_mlpe(pairs, settings, max_iterations), pairs))
 
 
 @dataclass(frozen=True)
@@ -183,10 +257,14 @@ class Ensemble:
             raise PredictionError("members differ in target, features or species")
 
     def member_predictions(self, cells: DataFrame, units: DataFrame, query: DataFrame | None = None, **how) -> DataFrame:
-        """Predictions of each member, with its number."""
+        """Predictions of each member, with its number; what a member refuses is said with its number."""
         out = None
         for i, m in enumerate(self.members):
-            part = m.predict(cells, units, query, **how).withColumn("member", F.lit(i))
+            try:
+                part = m.predict(cells, units, query, **how).withColumn("member", F.lit(i))
+            except (PredictionError, ModelError) as e:
+                e.add_note(f"in member {i}")
+                raise
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
@@ -201,6 +279,18 @@ def member_mean(predictions: DataFrame, members: int) -> DataFrame:
     return predictions.groupBy(*keys).agg(F.sum(F.col("value") / F.lit(members)).alias("value"), F.stddev_pop("value").alias("spread"))
 
 
+def member_quantiles(values: DataFrame, by: list[str], value: str = "conductance") -> DataFrame:
+    """by, median, iqr (third less first quartile) of the members' values, by linear interpolation."""
+    p = lambda q: F.percentile(value, F.lit(q))
+    return values.groupBy(*by).agg(p(0.5).alias("median"), (p(0.75) - p(0.25)).alias("iqr"))
+
+
+def score_summary(scored: DataFrame) -> DataFrame:
+    """score, mean, deviation (of the sample) of scores()' columns over folds."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("score"), F.col(n).alias("v")) for n in ("pearson_r", "r2", "rmse"))))
+    return scored.select(each.alias("e")).groupBy(F.col("e.score").alias("score")).agg(F.avg("e.v").alias("mean"), F.stddev_samp("e.v").alias("deviation"))
+
+
 def scores(predictions: DataFrame, by: list[str]) -> DataFrame:
     """Pearson r, predictive R squared and root mean squared error. predictions: by, observed, predicted."""
     base = predictions.groupBy(*by).agg(F.avg("observed").alias("_mean"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridkin.operators.alignment import join_groups
 
-#: Shares of the response variance that start as unit variance.
+#: Shares of the response variance that start as unit variance. Fixed values.
 STARTS = (0.01, 0.1, 0.25, 0.5, 0.8, 0.998, 0.9998)
 #: Part by which rounding may move the factor.
 ROUNDOFF = 0.01
@@ -224,8 +224,8 @@ def record(g: Group, fit: Likelihood, u: float, e: float, jitter: float, steps:
     cov = u * fit.inverse
     return {
         "distance_center": center, "distance_scale": scale, "intercept": float(fit.beta[0]), "slope": float(fit.beta[1]),
-        "unit_variance": u, "residual_variance": e, "jitter": jitter, "effect_mean": fit.effects.tolist(),
-        "effect_covariance": ((cov + cov.T) / 2).tolist(), "ml_log_likelihood": -fit.nll, "pairs": len(g.distance),
+        "unit_variance": float(u), "residual_variance": float(e), "jitter": jitter, "effect_mean": fit.effects.tolist(),
+        "effect_covariance": ((cov + cov.T) / 2).tolist(), "ml_log_likelihood": -float(fit.nll), "pairs": len(g.distance),
         "iterations": steps, "message": "stationary" if converged else "not searched", "converged": converged,
     }
 
@@ -257,6 +257,19 @@ def fit_mlpe(pairs: DataFrame, settings: Settings | None = None, max_iterations:
     return own.groupBy("region", "species").applyInPandas(run, CALIBRATION)
 
 
+def with_pairs(calibrations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """calibrations with pair_names: the pairs (left, right) of the group that they were fitted to."""
+    names = pairs.groupBy("region", "species").agg(F.sort_array(F.collect_list(F.struct("left", "right"))).alias("pair_names"))  # of one group
+    return join_groups(calibrations, names, how="left")
+
+
+def calibration_pairs(calibrations: DataFrame) -> DataFrame | None:
+    """region, species, left, right of the pairs that calibrations were fitted to; None where they do not say."""
+    if "pair_names" not in calibrations.columns:
+        return None
+    return calibrations.select("region", "species", F.inline("pair_names"))
+
+
 def nll_at(pairs: DataFrame, unit_variance: float, noise: float) -> DataFrame:
     """region, species, nll, intercept, slope, sum_w, sum_wx at given variances, for any set of pairs. The
     weights w are orthogonal to the design."""

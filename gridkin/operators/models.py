@@ -17,8 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridkin.functions import columns as C
-from gridkin.operators.alignment import terminals, unit_pairs, unit_vertices
-from gridkin.operators.resistance import Solver, pair_resistances, resistances
+from gridkin.operators.alignment import terminals, unit_pairs, unit_vertices, unknown_units, with_endpoints
+from gridkin.operators.resistance import Solved, Solver, method_of, pair_resistances, resistances, solver_of
+from gridkin.operators.tape import Node, Tape, flat, rebuilt
+
+
+Params = dict[str, np.ndarray]
+#: From the gradient by each distance to that by each parameter.
+Back = Callable[[np.ndarray], Params]
 
 
 class ModelError(ValueError):
@@ -59,6 +65,17 @@ def patches(cells: DataFrame, patch_size: int) -> DataFrame:
     return cells.groupBy("region", row.alias("pr"), col.alias("pc")).agg(F.sort_array(F.collect_list(own)).alias("cells")).withColumnsRenamed({"pr": "row", "pc": "col"})
 
 
+def flat_patches(cells: DataFrame, patch_size: int) -> DataFrame:
+    """region, row, col, features: the features of a patch's cells, cell by cell in row-major order."""
+    own = patches(cells, patch_size)
+    return own.select("region", "row", "col", F.flatten(F.transform("cells", lambda c: c["features"])).alias("features"))
+
+
+def region_shapes(cells: DataFrame) -> DataFrame:
+    """region, n_rows, n_cols."""
+    return cells.groupBy("region").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+
+
 @dataclass(frozen=True)
 class DistanceModel(ABC):
     """species: names, in the order of their parameters; one None for a species without a name."""
@@ -85,12 +102,68 @@ class DistanceModel(ABC):
     @abstractmethod
     def pair_distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame: ...
 
+    def params(self) -> Params:
+        """What training changes and a saved model holds."""
+        raise ModelError(f"a {type(self).__name__} has no parameters")
+
+    def with_params(self, p: Params) -> DistanceModel:
+        raise ModelError(f"a {type(self).__name__} has no parameters")
+
+    def grid(self, cells: DataFrame) -> DataFrame:
+        """region, row, col, features: what the model sees of each vertex."""
+        raise ModelError(f"a {type(self).__name__} cannot be trained")
+
+    def kernel(self, p: Params, s: int, shape: tuple[int, int], x: np.ndarray, left: np.ndarray, right: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, Back]:
+        """Distances of pairs of vertices (flat places) for species s, and the pull-back of their gradient. x: grid()'s
+        features, row by row; seed: of an update in training, for what is drawn there."""
+        raise ModelError(f"a {type(self).__name__} cannot be trained")
+
+    def check_patches(self, cells: DataFrame) -> None:
+        """Raise ModelError if patches do not fill a region's raster."""
+        if self.patch_size > 1:
+            bad = indivisible(region_shapes(cells), self.patch_size).limit(5).collect()
+            if bad:
+                raise ModelError("; ".join(r.message for r in bad))
+
+    def resolved(self, units: DataFrame, query: DataFrame | dict | list | tuple | None) -> DataFrame:
+        """The pairs of a query: a table of pairs, as it is; a species' name -> pairs or None (all); a list of
+        species (all pairs of each); or None (all pairs). Unknown species and units raise ModelError."""
+        own = self.known(units)
+        if query is None:
+            return unit_pairs(own)
+        if not isinstance(query, DataFrame):
+            wanted = dict(query) if isinstance(query, dict) else dict.fromkeys(query)
+            foreign = [s for s in wanted if s not in self.species]
+            if foreign or not wanted:
+                raise ModelError(f"the model knows no species {foreign}" if foreign else "a query names a species")
+            out = None
+            for name, pairs in wanted.items():
+                of = own.where(F.col("species").eqNullSafe(F.lit(name)))
+                part = (unit_pairs(of) if pairs is None else pairs.withColumn("species", F.lit(name).cast("string"))).select("region", "species", "left", "right")
+                out = part if out is None else out.unionByName(part)
+            query = out
+        named = query if self.species == (None,) else query.withColumn("species", F.coalesce("species", F.lit(self.species[0] if len(self.species) == 1 else None)))
+        if self.species != (None,):
+            foreign = named.where(F.col("species").isNull() | ~F.col("species").isin(list(self.species))).select("species").distinct().limit(5).collect()
+            if foreign:
+                raise ModelError(f"the model knows no species {[r.species for r in foreign]}")
+        lost = unknown_units(named, own).limit(5).collect()
+        if lost:
+            raise ModelError("no such units: " + ", ".join(f"{r.region} {r.unit}" for r in lost))
+        return named if "left_row" in named.columns else with_places(named, own)
+
     def distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         """region, species, left, right, distance: of the pairs asked for, or of all pairs of units."""
         own = self.known(units)
         return self.pair_distances(cells, own, unit_pairs(own) if pairs is None else pairs)
 
 
+def with_places(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """pairs (region, species, left, right) with the cells of both units."""
+    own = units.select("region", "species", "unit", "row", "col")
+    return with_endpoints(pairs.select("region", "species", "left", "right"), own, ["row", "col"])
+
+
 @dataclass(frozen=True)
 class StraightLine(DistanceModel):
     """slope * straight-line distance + intercept, in vertex spacings, for each species; features are left alone."""
@@ -98,6 +171,26 @@ class StraightLine(DistanceModel):
     slope: tuple[float, ...] = (1.0,)
     intercept: tuple[float, ...] = (0.0,)
 
+    def params(self) -> Params:
+        return {"slope": np.array(self.slope, float), "intercept": np.array(self.intercept, float)}
+
+    def with_params(self, p: Params) -> StraightLine:
+        return replace(self, slope=tuple(p["slope"].tolist()), intercept=tuple(p["intercept"].tolist()))
+
+    def grid(self, cells: DataFrame) -> DataFrame:
+        row, col = C.patch_of(F.col("row"), self.patch_size), C.patch_of(F.col("col"), self.patch_size)
+        return cells.select("region", row.alias("row"), col.alias("col")).distinct().withColumn("features", F.array(F.lit(0.0)))
+
+    def kernel(self, p: Params, s: int, shape: tuple[int, int], x: np.ndarray, left: np.ndarray, right: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, Back]:
+        line = np.hypot(*((a - b).astype(float) for a, b in zip(np.divmod(left, shape[1]), np.divmod(right, shape[1]), strict=True)))
+
+        def back(g: np.ndarray) -> Params:
+            out = {k: np.zeros_like(v) for k, v in p.items()}
+            out["slope"][s], out["intercept"][s] = g @ line, g.sum()
+            return out
+
+        return p["slope"][s] * line + p["intercept"][s], back
+
     def pair_distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
         s = self.patch_size
         d = lambda a, b: C.patch_of(F.col(a), s) - C.patch_of(F.col(b), s)
@@ -116,6 +209,28 @@ class ResistanceModel(DistanceModel):
     def conductance(self, cells: DataFrame) -> DataFrame:
         """region, species, row, col, conductance."""
 
+    def local(self, p: Params, s: int, x: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, Back]:
+        """Conductances of the vertices of grid() for species s, and the pull-back of their gradient."""
+        raise ModelError(f"a {type(self).__name__} cannot be trained")
+
+    def kernel(self, p: Params, s: int, shape: tuple[int, int], x: np.ndarray, left: np.ndarray, right: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, Back]:
+        c, back = self.local(p, s, x, seed)
+        surface = c.reshape(shape)
+        ends, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+        i, j = at[: len(left)], at[len(left) :]
+        solved: list[Solved] = []
+
+        def once() -> Solved:
+            if not solved:
+                solved.append(Solved(surface, ends, method_of(self.solver, surface)))
+            return solved[0]
+
+        if callable(self.solver) or self.solver == "dense":
+            r = solver_of(self.solver)(surface, np.stack(np.divmod(ends, shape[1]), 1))
+        else:
+            r = once().resistances()
+        return r[i, j], lambda g: back(once().gradient(i, j, g).ravel())
+
     def pair_distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
         surface, out = self.conductance(cells), None
         s = self.patch_size
@@ -186,7 +301,10 @@ class LogLinear(ResistanceModel):
     def with_params(self, p: dict[str, np.ndarray]) -> LogLinear:
         return replace(self, beta=tuple(map(tuple, p["beta"].tolist())), bias=tuple(p["bias"].tolist()))
 
-    def local(self, p: dict[str, np.ndarray], s: int, x: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], dict[str, np.ndarray]]]:
+    def grid(self, cells: DataFrame) -> DataFrame:
+        return patch_means(cells, self.patch_size, len(self.beta[0]))
+
+    def local(self, p: Params, s: int, x: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, Back]:
         """Conductances of patches x (patches, features) for species s, and the pull-back of their gradient."""
         top, c = np.log(self.highest - self.lowest), C.CAP_WIDTH
         eta = x @ p["beta"][s] + p["bias"][s]
@@ -232,6 +350,39 @@ class NetworkConductance(ResistanceModel):
     head: tuple[tuple[float, ...], ...] = ((),)
     bias: tuple[float, ...] = (0.0,)
     lowest: float = 1e-6
+    #: Part of the latent channels that an update leaves out.
+    dropout: float = 0.0
+
+    def params(self) -> Params:
+        own = {"head": np.array(self.head, float), "bias": np.array(self.bias, float)}
+        return own | {k: v.astype(float) for k, v in flat(self.encoder.layers, "encoder").items()}
+
+    def with_params(self, p: Params) -> NetworkConductance:
+        layers = rebuilt(self.encoder.layers, "encoder", lambda k: np.asarray(p[k], np.float32))
+        return replace(self, encoder=replace(self.encoder, layers=layers), head=tuple(map(tuple, p["head"].tolist())), bias=tuple(p["bias"].tolist()))
+
+    def grid(self, cells: DataFrame) -> DataFrame:
+        return flat_patches(cells, self.patch_size)
+
+    def local(self, p: Params, s: int, x: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, Back]:
+        from gridkin.operators.networks import dropout_mask
+
+        nodes = {k: Node(np.asarray(v, float)) for k, v in p.items() if k.startswith("encoder")}
+        layers = rebuilt(self.encoder.layers, "encoder", lambda k: nodes[k])
+        batch = x.reshape(len(x), self.patch_size, self.patch_size, -1).transpose(0, 3, 1, 2)
+        out = self.encoder.run(Tape, layers, Node(batch))
+        if self.dropout and seed is not None:
+            out = Tape.scaled(out, dropout_mask(out.shape, self.dropout, seed))
+        z = out.value @ p["head"][s] + p["bias"][s]
+
+        def back(g: np.ndarray) -> Params:
+            by_z = g / (1 + np.exp(-np.clip(z, -700, 700)))
+            out.backward(by_z[:, None] * p["head"][s])
+            found = {k: nodes[k].grad if k in nodes and nodes[k].grad is not None else np.zeros_like(v) for k, v in p.items()}
+            found["head"][s], found["bias"][s] = out.value.T @ by_z, by_z.sum()
+            return found
+
+        return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) + self.lowest, back
 
     def conductance(self, cells: DataFrame) -> DataFrame:
         size, encode, head, names = self.patch_size, self.encoder, self.head, self.species

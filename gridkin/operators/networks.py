@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -11,47 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridkin.operators.alignment import unit_vertices
-from gridkin.operators.models import EmbeddingModel, patches
-
-
-def conv3(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """3 x 3 convolution with a border of zeros. x: (n, in, h, w); w: (out, in, 3, 3)."""
-    n, c, h, k = x.shape
-    p = np.pad(x, ((0, 0), (0, 0), (1, 1), (1, 1)))
-    cols = np.stack([p[:, :, i : i + h, j : j + k] for i in range(3) for j in range(3)], 2)
-    return np.einsum("ocq,ncqhw->nohw", w.reshape(len(w), c, 9), cols, optimize=True) + b[:, None, None]
-
-
-def conv1(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("oc,nchw->nohw", w, x, optimize=True) + b[:, None, None]
-
-
-def up2(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Transposed 2 x 2 convolution with stride 2. w: (in, out, 2, 2)."""
-    y = np.einsum("nchw,coij->nohiwj", x, w, optimize=True)
-    n, o, h, _, k, _ = y.shape
-    return y.reshape(n, o, 2 * h, 2 * k) + b[:, None, None]
-
-
-def group_norm(x: np.ndarray, groups: int, scale: np.ndarray, shift: np.ndarray, eps: float = 1e-5) -> np.ndarray:
-    n, c, h, w = x.shape
-    g = x.reshape(n, groups, -1)
-    g = (g - g.mean(2, keepdims=True)) / np.sqrt(g.var(2, keepdims=True) + eps)
-    return g.reshape(n, c, h, w) * scale[:, None, None] + shift[:, None, None]
-
-
-def pool2(x: np.ndarray) -> np.ndarray:
-    """Maximum over 2 x 2 cells; an odd last row or column is left out."""
-    n, c, h, w = x.shape
-    return x[:, :, : h // 2 * 2, : w // 2 * 2].reshape(n, c, h // 2, 2, w // 2, 2).max((3, 5))
-
-
-def relu(x: np.ndarray) -> np.ndarray:
-    return np.maximum(x, 0)
-
-
-def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + np.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x**3)))
+from gridkin.operators.models import EmbeddingModel, Params, flat_patches, patches
+from gridkin.operators.tape import Node, Plain, Tape, flat, rebuilt
 
 
 def _layer(rng: np.random.Generator, out: int, into: int, *kernel: int) -> dict[str, np.ndarray]:
@@ -87,13 +48,17 @@ class ResNet9:
         return cls((block(a, features), block(a, a), block(a, a), block(b, a), block(b, b), block(b, b), block(c, b)))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.run(Plain, self.layers, x)
+
+    def run(self, ops, layers: tuple, x):
+        """ops: Plain over arrays, or Tape over nodes."""
         if min(x.shape[2:]) < 4:
             raise ValueError("patches need 4 cells a side")
-        stage = lambda x, p: relu(group_norm(conv3(x, p["w"], p["b"]), self.groups, p["scale"], p["shift"]))
-        for conv, one, two in (self.layers[:3], self.layers[3:6]):
-            x = pool2(stage(x, conv))
-            x = x + stage(stage(x, one), two)
-        return stage(x, self.layers[6]).mean((2, 3))
+        stage = lambda x, p: ops.relu(ops.group_norm(ops.conv3(x, p["w"], p["b"]), self.groups, p["scale"], p["shift"]))
+        for conv, one, two in (layers[:3], layers[3:6]):
+            x = ops.pool2(stage(x, conv))
+            x = ops.add(x, stage(stage(x, one), two))
+        return ops.mean(stage(x, layers[6]))
 
 
 @dataclass(frozen=True)
@@ -115,22 +80,24 @@ class UNet:
         })
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        p = self.layers
-        stage = lambda x, q: gelu(group_norm(conv3(x, q["w"], q["b"]), math.gcd(8, len(q["scale"])), q["scale"], q["shift"]))
+        return self.run(Plain, self.layers, x)
+
+    def run(self, ops, p: dict, x):
+        """ops: Plain over arrays, or Tape over nodes."""
+        width = lambda q: (q["scale"].shape)[0]
+        stage = lambda x, q: ops.gelu(ops.group_norm(ops.conv3(x, q["w"], q["b"]), math.gcd(8, width(q)), q["scale"], q["shift"]))
         e = p["embed"]
-        x = gelu(group_norm(conv1(x, e["w"], e["b"]), math.gcd(8, len(e["scale"])), e["scale"], e["shift"]))
+        x = ops.gelu(ops.group_norm(ops.conv1(x, e["w"], e["b"]), math.gcd(8, width(e)), e["scale"], e["shift"]))
         skips = []
         for q in p["down"]:
             x = stage(x, q)
             skips.append(x)
-            x = pool2(x) if min(x.shape[2:]) > 1 else x
+            x = ops.pool2(x) if min(x.shape[2:]) > 1 else x
         x = stage(x, p["middle"])
         for up, merge, skip in zip(p["up"], p["merge"], reversed(skips), strict=True):
-            x = up2(x, up["w"], up["b"])
-            h, w = skip.shape[2:]
-            x = np.pad(x[:, :, :h, :w], ((0, 0), (0, 0), (0, max(0, h - x.shape[2])), (0, max(0, w - x.shape[3]))))
-            x = stage(np.concatenate([skip, x], 1), merge)
-        return conv1(x, p["head"]["w"], p["head"]["b"])
+            x = ops.fitted(ops.up2(x, up["w"], up["b"]), skip)
+            x = stage(ops.beside(skip, x), merge)
+        return ops.conv1(x, p["head"]["w"], p["head"]["b"])
 
 
 @dataclass(frozen=True)
@@ -139,6 +106,34 @@ class UNetEmbedding(EmbeddingModel):
 
     network: UNet | None = None
 
+    def params(self) -> Params:
+        return {k: v.astype(float) for k, v in flat(self.network.layers, "network").items()}
+
+    def with_params(self, p: Params) -> UNetEmbedding:
+        return replace(self, network=replace(self.network, layers=rebuilt(self.network.layers, "network", lambda k: np.asarray(p[k], np.float32))))
+
+    def grid(self, cells: DataFrame) -> DataFrame:
+        return flat_patches(cells, self.patch_size)
+
+    def kernel(self, p: Params, s: int, shape: tuple[int, int], x: np.ndarray, left: np.ndarray, right: np.ndarray, seed: int | None = None):
+        nodes = {k: Node(np.asarray(v, float)) for k, v in p.items() if k.startswith("network")}
+        layers = rebuilt(self.network.layers, "network", lambda k: nodes[k])
+        out = self.network.run(Tape, layers, Node(x.T.reshape(1, -1, *shape)))
+        width = out.shape[1] // len(self.species)
+        part = slice(s * width, (s + 1) * width)
+        vectors = out.value[0, part].reshape(width, -1)
+        step = vectors[:, left] - vectors[:, right]
+
+        def back(by_distance: np.ndarray) -> Params:
+            by = 2 * step * by_distance
+            g = np.zeros_like(out.value).reshape(out.shape[1], -1)
+            for k in range(width):
+                g[s * width + k] = np.bincount(left, by[k], minlength=g.shape[1]) - np.bincount(right, by[k], minlength=g.shape[1])
+            out.backward(g.reshape(out.shape))
+            return {k: nodes[k].grad if k in nodes and nodes[k].grad is not None else np.zeros_like(v) for k, v in p.items()}
+
+        return (step**2).sum(0), back
+
     def embedding(self, cells: DataFrame, units: DataFrame) -> DataFrame:
         net, size, names = self.network, self.patch_size, self.species
 
@@ -160,12 +155,12 @@ class UNetEmbedding(EmbeddingModel):
         return own.groupBy("region").cogroup(at.groupBy("region")).applyInPandas(run, "region string, species string, unit string, vector array<double>")
 
 
-def dropout(x: np.ndarray, rate: float, seed: int, train: bool) -> np.ndarray:
-    """x with a part of its channels at 0 and the rest scaled up; as it is outside training."""
-    if not train or rate == 0:
-        return x
-    keep = np.random.default_rng(seed).random(x.shape[:2]) >= rate
-    return x * (keep / (1 - rate))[..., None, None]
+def dropout_mask(shape: tuple[int, int], rate: float, seed: int | None) -> np.ndarray:
+    """What a layer's channels are multiplied by: a part at 0 and the rest scaled up, drawn by the seed of an
+    update; all ones outside training (no seed)."""
+    if seed is None or rate == 0:
+        return np.ones(shape)
+    return (np.random.default_rng(seed).random(shape) >= rate) / (1 - rate)
 
 
 def latent_values(cells: DataFrame, patch_size: int, encoder) -> DataFrame:

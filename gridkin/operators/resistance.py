@@ -76,20 +76,6 @@ def potentials(surface: np.ndarray, sources: np.ndarray) -> np.ndarray:
     return v.reshape(rows * cols, -1)
 
 
-def block_solver(surface: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Resistances by block elimination; 0 on the diagonal and between terminals of one vertex."""
-    surface, nodes = np.asarray(surface, float), np.asarray(nodes, np.int64)
-    check_surface(surface, nodes)
-    flat, back = np.unique(nodes[:, 0] * surface.shape[1] + nodes[:, 1], return_inverse=True)
-    sources = np.zeros((surface.size, len(flat)))
-    sources[flat, np.arange(len(flat))] = 1.0
-    sources[-1] -= 1.0  # to the ground
-    v = potentials(surface, sources)[flat]
-    r = np.diag(v)[:, None] + np.diag(v)[None, :] - v - v.T
-    np.fill_diagonal(r, 0.0)
-    return np.maximum((r + r.T) / 2, 0.0)[np.ix_(back, back)]
-
-
 def dense_solver(surface: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Resistances by the pseudo-inverse of the whole Laplacian, for small surfaces."""
     surface, nodes = np.asarray(surface, float), np.asarray(nodes, np.int64)
@@ -108,12 +94,115 @@ def dense_solver(surface: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return np.where(flat[:, None] == flat[None, :], 0.0, (r + r.T) / 2)
 
 
-SOLVERS: dict[str, Solver] = {"block": block_solver, "dense": dense_solver}
+def laplacian(surface: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The Laplacian of the grid times columns v (vertices, k), without the matrix."""
+    x = v.reshape(*surface.shape, -1)
+    right, down = edge_conductances(surface)
+    out = np.zeros_like(x)
+    step = right[..., None] * (x[:, :-1] - x[:, 1:])
+    out[:, :-1] += step
+    out[:, 1:] -= step
+    step = down[..., None] * (x[:-1] - x[1:])
+    out[:-1] += step
+    out[1:] -= step
+    return out.reshape(len(v), -1)
+
+
+def cg_potentials(surface: np.ndarray, sources: np.ndarray, tolerance: float = 1e-11, most: int | None = None) -> np.ndarray:
+    """potentials() by conjugate gradients, scaled by degree: memory in proportion to the vertices, whatever the
+    raster's sides. Sources that do not add up to 0 drain at the last vertex."""
+    surface = np.asarray(surface, float)
+    b = sources.astype(float).copy()
+    b[-1] -= b.sum(0)
+    right, down = edge_conductances(surface)
+    degree = np.zeros_like(surface)
+    for part, edge in ((degree[:, 1:], right), (degree[:, :-1], right), (degree[1:], down), (degree[:-1], down)):
+        part += edge
+    scale = degree.reshape(-1, 1)
+    x, r = np.zeros_like(b), b.copy()
+    z = r / scale
+    p, rz = z.copy(), (r * z).sum(0)
+    goal = tolerance * np.maximum(np.sqrt((b * b).sum(0)), 1e-300)
+    for _ in range(most or 20 * len(b)):
+        if (np.sqrt((r * r).sum(0)) <= goal).all():
+            break
+        q = laplacian(surface, p)
+        pq = (p * q).sum(0)
+        step = np.where(pq > 0, rz / np.where(pq > 0, pq, 1.0), 0.0)
+        x += step * p
+        r -= step * q
+        z = r / scale
+        new = (r * z).sum(0)
+        p = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1.0), 0.0) * p
+        rz = new
+    else:
+        raise ResistanceError("conjugate gradients did not settle")
+    return x - x[-1]
+
+
+class Solved:
+    """Potentials of a surface for its terminals, from one solve: resistances and their gradient both read them."""
+
+    def __init__(self, surface: np.ndarray, ends: np.ndarray, method: Callable[[np.ndarray, np.ndarray], np.ndarray] = potentials):
+        """ends: distinct vertices, as places in the flat surface."""
+        self.surface, self.ends = np.asarray(surface, float), np.asarray(ends, np.int64)
+        check_surface(self.surface, np.stack(np.divmod(self.ends, self.surface.shape[1]), 1))
+        sources = np.zeros((self.surface.size, len(self.ends)))
+        sources[self.ends, np.arange(len(self.ends))] = 1.0
+        sources[-1] -= 1.0  # to the ground
+        self.v = method(self.surface, sources)
+
+    def resistances(self) -> np.ndarray:
+        v = self.v[self.ends]
+        r = np.diag(v)[:, None] + np.diag(v)[None, :] - v - v.T
+        np.fill_diagonal(r, 0.0)
+        return np.maximum((r + r.T) / 2, 0.0)
+
+    def gradient(self, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """By each conductance, of sum(weight * resistance(left, right)); left and right: places among the ends.
+
+        d R / d g of an edge is minus the squared difference of the pair's potentials at its ends; over all
+        pairs that is a quadratic form in the terminals' potentials, whose matrix is a graph Laplacian of the weights.
+        """
+        n = len(self.ends)
+        w = np.zeros((n, n))
+        np.add.at(w, (left, right), weight)
+        w = w + w.T
+        form = np.diag(w.sum(1)) - w
+        v = self.v.reshape(*self.surface.shape, n)
+        g = np.zeros_like(self.surface)
+        for step, one, two in ((v[:, 1:] - v[:, :-1], g[:, 1:], g[:, :-1]), (v[1:] - v[:-1], g[1:], g[:-1])):
+            by_edge = -((step @ form) * step).sum(2) / 2
+            one += by_edge
+            two += by_edge
+        return g
+
+
+def _solver(method: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Solver:
+    def solve(surface: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        surface, nodes = np.asarray(surface, float), np.asarray(nodes, np.int64)
+        check_surface(surface, nodes)
+        flat, back = np.unique(nodes[:, 0] * surface.shape[1] + nodes[:, 1], return_inverse=True)
+        return Solved(surface, flat, method).resistances()[np.ix_(back, back)]
+
+    return solve
+
+
+block_solver = _solver(potentials)
+cg_solver = _solver(cg_potentials)
+#: Terminals alone are solved for: block by elimination over raster rows, cg without a matrix, dense by a pseudo-inverse.
+SOLVERS: dict[str, Solver] = {"block": block_solver, "cg": cg_solver, "dense": dense_solver}
+#: Shorter side of a raster over which the blocks of the default solver would be too large for a task.
+LARGE_SIDE = 1500
+
+
+def default_solver(surface: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    return (cg_solver if min(np.shape(surface)) > LARGE_SIDE else block_solver)(surface, nodes)
 
 
 def solver_of(solver: str | Solver | None) -> Solver:
     if solver is None:
-        return block_solver
+        return default_solver
     if callable(solver):
         return solver
     if solver not in SOLVERS:
@@ -121,24 +210,38 @@ def solver_of(solver: str | Solver | None) -> Solver:
     return SOLVERS[solver]
 
 
+def method_of(solver: str | Solver | None, surface: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """How potentials are found where gradients are wanted."""
+    return cg_potentials if solver == "cg" or (solver is None and min(surface.shape) > LARGE_SIDE) else potentials
+
+
 def adjoint(surface: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Gradient by each conductance of sum(weight * resistance(left, right)), pair by pair.
+    """Gradient by each conductance of sum(weight * resistance(left, right)); left and right: flat vertices."""
+    ends, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    return Solved(surface, ends).gradient(at[: len(left)], at[len(left) :], weight)
+
+
+def unit_resistances(shapes: DataFrame, terminals: DataFrame, solver: str | Solver | None = None) -> DataFrame:
+    """region, r1, c1, r2, c2, resistance at a conductance of 1 everywhere. shapes: region, n_rows, n_cols.
 
-    Per pair, d R / d g of an edge is minus the squared difference of the potentials at its ends.
+    Regions of one shape with the same terminals have the same answer; it is solved once in a task.
     """
-    sources = np.zeros((surface.size, len(left)))
-    at = np.arange(len(left))
-    np.add.at(sources, (left, at), 1.0)
-    np.add.at(sources, (right, at), -1.0)
-    v = potentials(surface, sources).reshape(*surface.shape, -1)
-    by_right = -(((v[:, 1:] - v[:, :-1]) ** 2) @ weight) / 2
-    by_down = -(((v[1:] - v[:-1]) ** 2) @ weight) / 2
-    g = np.zeros_like(surface)
-    g[:, 1:] += by_right
-    g[:, :-1] += by_right
-    g[1:] += by_down
-    g[:-1] += by_down
-    return g
+    solve, names = solver_of(solver), ["region", "r1", "c1", "r2", "c2", "resistance"]
+    nodes = terminals.select("region", F.array("vr", "vc").alias("at")).groupBy("region").agg(F.sort_array(F.collect_set("at")).alias("at"))  # a raster's
+
+    def run(batches):
+        known: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for region, rows, cols, at in zip(batch["region"], batch["n_rows"], batch["n_cols"], batch["at"], strict=True):
+                at = np.stack([np.asarray(x, np.int64) for x in at])
+                key = (int(rows), int(cols), at.tobytes())
+                if key not in known:
+                    known = {key: solve(np.ones((int(rows), int(cols))), at)}  # the last one alone is kept
+                i, j = np.triu_indices(len(at), 1)
+                yield pd.DataFrame(dict(zip(names, ([region] * len(i), at[i, 0], at[i, 1], at[j, 0], at[j, 1], known[key][i, j]), strict=True)))
+
+    sorted_ = shapes.join(nodes, "region").repartition("n_rows", "n_cols").sortWithinPartitions("n_rows", "n_cols", "at")
+    return sorted_.mapInPandas(run, "region string, r1 int, c1 int, r2 int, c2 int, resistance double")
 
 
 def resistances(vertices: DataFrame, terminals: DataFrame, *, value: str = "conductance", solver: str | Solver | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Training resistance models: a driver loop over distributed gradients.
+"""Training distance models: a driver loop over distributed gradients.
 
 The landscape and pairs of a region are packed into one row and kept; each update sends the
-parameters to the regions, whose kernels return loss and gradient summed by task. Derivatives are
-analytic: resistance by the potentials between a pair's ends, the likelihood by its weights.
+parameters to the regions, whose kernels return loss and gradient summed by task. The driver holds
+parameters, and a few numbers for each region and species; rasters and pairs stay where they are.
+Models and losses bring their own derivatives (see models.DistanceModel.kernel, losses.Loss).
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from gridkin.functions.targets import TargetSpec
 from gridkin.operators import mlpe
-from gridkin.operators.models import LogLinear, ModelError, patch_means
-from gridkin.operators.resistance import adjoint, solver_of
+from gridkin.operators.alignment import unmatched_regions
+from gridkin.operators.calibration import GeneticsModel, refuse_individuals
+from gridkin.operators.losses import LOSSES, Loss, loss_of, start_variances
+from gridkin.operators.models import DistanceModel, LogLinear, ModelError
+from gridkin.operators.resistance import unit_resistances
 
 Params = dict[str, np.ndarray]
 #: Value and gradient of a penalty on the parameters.
@@ -31,6 +35,8 @@ class Adam:
     """Adam, or AdamW with a weight decay."""
 
     def __init__(self, rate: float = 1e-3, decay: float = 0.0, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8):
+        if not (rate > 0 and math.isfinite(rate) and decay >= 0 and 0 <= b1 < 1 and 0 <= b2 < 1 and eps > 0):
+            raise ValueError("rate and eps must be above 0, decay 0 or more, and b1 and b2 from 0 to below 1")
         self.rate, self.decay, self.b1, self.b2, self.eps = rate, decay, b1, b2, eps
 
     def start(self, p: Params) -> dict:
@@ -51,6 +57,8 @@ class Descent:
     """Gradient descent with a fixed rate."""
 
     def __init__(self, rate: float = 1e-2):
+        if not (rate > 0 and math.isfinite(rate)):
+            raise ValueError("rate must be above 0")
         self.rate = rate
 
     def start(self, p: Params) -> dict:
@@ -64,6 +72,8 @@ class LBFGS:
     """Limited-memory quasi-Newton steps with a backtracking line search on the same sample."""
 
     def __init__(self, memory: int = 8, halvings: int = 20):
+        if memory < 1 or halvings < 1:
+            raise ValueError("memory and halvings must be 1 or more")
         self.memory, self.halvings = memory, halvings
 
     def start(self, p: Params) -> dict:
@@ -101,15 +111,33 @@ class LBFGS:
         return p, {"pairs": [], "last": None}
 
 
-def ridge(centers: dict[str, float], deviations: dict[str, float]) -> Penalty:
-    """Sum of (value - center) ** 2 / (2 deviation ** 2) over the named parameters."""
-    if any(s <= 0 or not math.isfinite(s) for s in deviations.values()):
+Selector = Callable[[str], bool]
+
+
+def ridge(centers: dict[str, float], deviations: dict[str, float] | float, where: str | tuple[str, ...] | Selector | None = None) -> Penalty:
+    """Sum of (value - center) ** 2 / (2 deviation ** 2) over parameters.
+
+    deviations: by name, or one for all that where names: a name, several, or a function of the name; a
+    name stands for every parameter that begins with it and a dot, too.
+    """
+    if isinstance(deviations, dict):
+        by_name = dict(deviations)
+        chosen: Selector = by_name.__contains__
+    else:
+        names = (where,) if isinstance(where, str) else where
+        chosen = names if callable(names) else (lambda k: names is None or any(k == n or k.startswith(f"{n}.") for n in names))
+        by_name = {}
+    every = list(by_name.values()) or [deviations]
+    if any(s <= 0 or not math.isfinite(s) for s in every):
         raise ValueError("deviations must be finite and above 0")
 
     def penalty(p: Params) -> tuple[float, Params]:
-        off = {k: p[k] - centers.get(k, 0.0) for k in deviations}
-        value = sum(float((o**2).sum()) / (2 * deviations[k] ** 2) for k, o in off.items())
-        return value, {k: off[k] / deviations[k] ** 2 if k in off else np.zeros_like(v) for k, v in p.items()}
+        own = {k: by_name.get(k, deviations if not by_name else None) for k in p if chosen(k) and not k.startswith("variance|")}
+        if not own:
+            raise ValueError("the penalty is on no parameter")
+        off = {k: p[k] - centers.get(k, 0.0) for k in own}
+        value = sum(float((o**2).sum()) / (2 * own[k] ** 2) for k, o in off.items())
+        return value, {k: off[k] / own[k] ** 2 if k in off else np.zeros_like(v) for k, v in p.items()}
 
     return penalty
 
@@ -129,8 +157,8 @@ class TrainingConfig:
     penalty: Penalty | None = None
 
     def __post_init__(self) -> None:
-        if self.loss not in ("log1p", "mlpe"):
-            raise ValueError("loss must be log1p or mlpe")
+        if self.loss not in LOSSES:
+            raise ValueError(f"loss must be one of {', '.join(LOSSES)}")
         if self.steps < 0 or self.eval_every < 1 or not 0 <= self.seed < 2**32 or not self.tolerance >= 0:
             raise ValueError("steps and tolerance must be 0 or more, eval_every 1 or more, seed below 2 ** 32")
         if any(b is not None and b < 1 for b in (self.region_batch, self.species_batch)):
@@ -149,83 +177,131 @@ class TrainingState:
     history: tuple
     best: tuple[float, int, Params] | None
     converged: bool = False
+    #: (region, species, calibration) of each group at the best parameters, for losses whose head has any.
+    records: tuple = ()
 
 
 def loss_weights(groups: DataFrame) -> DataFrame:
     """groups (region, species) with weight: 1 / (species in all * regions of the species)."""
     per = groups.groupBy(F.col("species").alias("_s")).agg(F.count(F.lit(1)).alias("_regions"))
-    total = groups.agg(F.count_distinct(F.coalesce("species", F.lit(""))).alias("_species"))
+    total = groups.agg(F.count_distinct(F.struct("species")).alias("_species"))  # a missing name counts as one of its own
     joined = groups.join(per, groups["species"].eqNullSafe(per["_s"])).join(F.broadcast(total))  # total: one row
     return joined.select("region", "species", (1.0 / (F.col("_species") * F.col("_regions"))).alias("weight"))
 
 
-def pack(cells: DataFrame, pairs: DataFrame, model: LogLinear, target: TargetSpec) -> DataFrame:
-    """A row for each region: region, payload (patch features, and left, right and target of each species' pairs).
+def group_losses(pairs: DataFrame, target: TargetSpec) -> DataFrame:
+    """region, species, pairs, loss: the log1p loss of each group. pairs: region, species, distance, value."""
+    off = F.log1p("distance") - F.log1p(target.forward(F.col("value")))
+    return pairs.groupBy("region", "species").agg(F.count(F.lit(1)).alias("pairs"), F.avg(off * off).alias("loss"))
+
+
+def history_rows(losses: DataFrame) -> DataFrame:
+    """scope, key, loss: the weighted total (all), and the means of regions over species and of species over
+    regions. losses: region, species, loss."""
+    from gridkin.operators.alignment import join_groups
+
+    total = join_groups(losses, loss_weights(losses.select("region", "species"))).agg(F.sum(F.col("weight") * F.col("loss")).alias("loss"))
+    mean = lambda key: losses.groupBy(F.col(key).alias("key")).agg(F.avg("loss").alias("loss")).select(F.lit(key).alias("scope"), "key", "loss")
+    return total.select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("key"), "loss").unionByName(mean("region")).unionByName(mean("species").where("key is not null"))
+
+
+def selected_steps(history: DataFrame) -> DataFrame:
+    """run, step, loss: the first step with the lowest loss of each run."""
+    return history.groupBy("run").agg(F.min(F.struct("loss", "step")).alias("best")).select("run", "best.step", "best.loss")
+
+
+def group_starts(pairs: DataFrame, target: TargetSpec) -> DataFrame:
+    """region, species, unit, residual: the variances that a group of the MLPE loss starts with."""
+    v = F.var_samp(target.forward(F.col("value")))
+    one, two = start_variances(1.0)
+    return pairs.groupBy("region", "species").agg(F.greatest(v * float(one), F.lit(1e-9)).alias("unit"), F.greatest(v * float(two), F.lit(1e-9)).alias("residual"))
 
-    pairs: aligned observations (see align_observations()).
+
+def pack(cells: DataFrame, pairs: DataFrame, model: DistanceModel, target: TargetSpec, units: DataFrame | None = None) -> DataFrame:
+    """A row for each region: region, payload (grid features, and left, right and target of each species' pairs).
+
+    pairs: aligned observations (see align_observations()). units: those that a calibration lists, in
+    unit order; the units of the pairs where none are given.
     """
     s = model.patch_size
-    means = patch_means(cells, s, len(model.beta[0]))
-    named = pairs if model.species == (None,) else pairs.withColumn("species", F.coalesce("species", F.lit(model.species[0])))
+    named = pairs if model.species == (None,) else pairs.withColumn("species", F.coalesce("species", F.lit(model.species[0] if len(model.species) == 1 else None)))
     own = named.select("region", "species", "left", "right", target.forward(F.col("value")).alias("target"), *(
         F.floor(F.col(f"{side}_{k}") / s).cast("int").alias(f"{side}_{k}") for side in ("left", "right") for k in ("row", "col")
     ))
+    if units is not None:
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("unit_ord", "unit"))), lambda u: u["unit"])  # units of a group
+        by = model.known(units).groupBy(F.col("region").alias("_r"), F.col("species").alias("_s")).agg(listed.alias("units"))
+        own = own.join(by, (own["region"] == by["_r"]) & own["species"].eqNullSafe(by["_s"]), "left").drop("_r", "_s")
+    else:
+        own = own.withColumn("units", F.lit(None).cast("array<string>"))
     species = model.species
 
     def run(key: tuple, grid: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(grid) or not len(rows):
             raise ModelError(f"region {key[0]!r} has a raster or pairs, not both")
         shape = int(grid["row"].max()) + 1, int(grid["col"].max()) + 1
+        if len(grid) != shape[0] * shape[1]:
+            raise ModelError(f"region {key[0]!r}: the raster is not complete")
         x = np.zeros((shape[0] * shape[1], len(grid["features"].iloc[0])))
         x[grid["row"] * shape[1] + grid["col"]] = np.stack(grid["features"].to_numpy())
         parts = {}
         for name, of in rows.groupby("species", dropna=False):
             name = None if name is None or name != name else name
+            if name not in species:
+                raise ModelError(f"region {key[0]!r}: the model knows no species {name!r}")
             of = of.sort_values(["left", "right"])
             at = {side: (of[f"{side}_row"] * shape[1] + of[f"{side}_col"]).to_numpy(np.int64) for side in ("left", "right")}
-            ids = list(dict.fromkeys([*of["left"], *of["right"]]))
+            given = of["units"].iloc[0]
+            ids = list(dict.fromkeys([*of["left"], *of["right"]])) if given is None else list(given)
             index = {u: i for i, u in enumerate(ids)}
-            parts[species.index(name)] = (at["left"], at["right"], of["target"].to_numpy(float), of["left"].map(index).to_numpy(), of["right"].map(index).to_numpy(), len(ids))
+            i, j = (of[k].map(index).to_numpy(np.int64) for k in ("left", "right"))
+            parts[species.index(name)] = (at["left"], at["right"], of["target"].to_numpy(float), i, j, ids)
         return pd.DataFrame({"region": [key[0]], "payload": [pickle.dumps((shape, x, parts))]})
 
-    return means.groupBy("region").cogroup(own.groupBy("region")).applyInPandas(run, "region string, payload binary")
+    return model.grid(cells).groupBy("region").cogroup(own.groupBy("region")).applyInPandas(run, "region string, payload binary")
 
 
-def _softplus(x: float) -> float:
-    return max(x, 0.0) + math.log1p(math.exp(-abs(x)))
-
-
-def group_loss(model: LogLinear, loss: str, p: Params, region: str, s: int, payload: tuple, fixed: tuple | None = None) -> tuple[float, Params]:
-    """Loss of a group and its gradient. fixed: (center, scale, intercept, slope, u, d) of a training group, for validation."""
+def group_loss(model: DistanceModel, loss: Loss, p: Params, region: str, s: int, payload: tuple, fixed: tuple | None = None, seed: int | None = None) -> tuple[float, Params]:
+    """Loss of a group and its gradient. fixed: what the loss says of the training group, for validation."""
     shape, x, parts = payload
-    left, right, target, i, j, n = parts[s]
-    c, back = model.local(p, s, x)
-    surface = c.reshape(shape)
-    ends, where = np.unique(np.concatenate([left, right]), return_inverse=True)
-    r = solver_of(model.solver)(surface, np.stack([ends // shape[1], ends % shape[1]], 1))
-    d = r[where[: len(left)], where[len(left) :]]
-    m = len(target)
-    if loss == "log1p":
-        off = np.log1p(d) - np.log1p(target)
-        return float(np.mean(off**2)), back(adjoint(surface, left, right, 2 * off / (1 + d) / m).ravel())
-    g = mlpe.Group(d, target, i, j, n)
+    left, right, target, i, j, ids = parts[s]
+    d, back = model.kernel(p, s, shape, x, left, right, seed)
+    g, own = mlpe.Group(d, target, i, j, len(ids)), p.get(_name(region, s))
     if fixed is not None:
-        center, scale, b0, b1, u, noise = fixed
-        return mlpe.likelihood(g, (d - center) / scale, u, noise, beta=np.array([b0, b1])).nll / m, {}
-    name = f"variance|{region}|{s}"
-    raw, floor, jitter = p[name], 1e-10, 1e-10
-    u, e = _softplus(raw[0]) + floor, _softplus(raw[1]) + floor
-    center, scale = g.moments()
-    z = (d - center) / scale
-    fit = mlpe.likelihood(g, z, u, e + jitter)
-    out = back(adjoint(surface, left, right, mlpe.distance_gradient(g, z, scale, fit) / m).ravel())
-    out[name] = np.array([fit.by_unit / (1 + math.exp(-raw[0])), fit.by_noise / (1 + math.exp(-raw[1]))]) / m
-    return fit.nll / m, out
-
-
-def evaluate(packed: DataFrame, model: LogLinear, loss: str, p: Params, weights: dict, gradient: bool, fixed: dict | None = None) -> tuple[list, Params]:
+        return loss.held_out(g, fixed), {}
+    value, by_distance, by_own = loss.value(g, own)
+    out = back(by_distance)
+    if by_own is not None:
+        out[_name(region, s)] = by_own
+    return value, out
+
+
+def _name(region: str, s: int) -> str:
+    return f"variance|{region}|{s}"
+
+
+def _over_groups(packed: DataFrame, wanted, f: Callable[[str, int, tuple], object]) -> list[tuple]:
+    """(region, species index, f of the group) of the wanted groups (all for None), sorted; f's results are a few
+    numbers each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for region, data in zip(batch["region"], batch["payload"], strict=True):
+                payload = pickle.loads(data)
+                rows += [(region, s, f(region, s, payload)) for s in sorted(payload[2]) if wanted is None or (region, s) in wanted]
+            yield pd.DataFrame({"rows": [pickle.dumps(rows)]})
+
+    found = packed.mapInPandas(run, "rows binary").collect()
+    return sorted((row for r in found for row in pickle.loads(bytes(r["rows"]))), key=lambda row: row[:2])
+
+
+def evaluate(
+    packed: DataFrame, model: DistanceModel, loss: str | Loss, p: Params, weights: dict, gradient: bool, fixed: dict | None = None, seed: int | None = None
+) -> tuple[list, Params]:
     """(region, species index, loss) of the groups in weights, and the weighted gradient. Groups without
     weight are not solved; tasks add up their gradients before they leave."""
+    how = loss_of(loss) if isinstance(loss, str) else loss
     shared = packed.sparkSession.sparkContext.broadcast((p, weights, fixed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +315,7 @@ def evaluate(packed: DataFrame, model: LogLinear, loss: str, p: Params, weights:
                     if not w:
                         continue
                     try:
-                        value, g = group_loss(model, loss, params, region, s, payload, held.get((region, s)) if held else None)
+                        value, g = group_loss(model, how, params, region, s, payload, held.get((region, s)) if held else None, seed)
                     except (ValueError, np.linalg.LinAlgError) as e:
                         raise ValueError(f"region {region!r}, species {model.species[s]!r}: {e}") from e
                     rows.append((region, s, value))
@@ -255,10 +331,23 @@ def evaluate(packed: DataFrame, model: LogLinear, loss: str, p: Params, weights:
         losses += pickle.loads(bytes(r["rows"]))
         for k, v in (pickle.loads(bytes(r["gradient"])) or {}).items():
             grad[k] = grad[k] + v
+    shared.destroy()
     return sorted(losses), grad
 
 
-def _history(step: int, split: str, model: LogLinear, losses: list, weights: dict) -> list[tuple]:
+def _at_groups(packed: DataFrame, model: DistanceModel, p: Params, f: Callable[[mlpe.Group, np.ndarray | None, list], object]) -> list[tuple]:
+    """f of the group's distances at p, its own parameters and its units, for every group."""
+
+    def run(region: str, s: int, payload: tuple) -> object:
+        shape, x, parts = payload
+        left, right, target, i, j, ids = parts[s]
+        d, _ = model.kernel(p, s, shape, x, left, right)
+        return f(mlpe.Group(d, target, i, j, len(ids)), p.get(_name(region, s)), ids)
+
+    return _over_groups(packed, None, run)
+
+
+def _history(step: int, split: str, model: DistanceModel, losses: list, weights: dict) -> list[tuple]:
     """Rows of the total, the regions' means over species and the species' means over regions."""
     total = sum(weights[r, s] * v for r, s, v in losses)
     rows = [(step, split, "all", None, total)]
@@ -273,44 +362,60 @@ def _history(step: int, split: str, model: LogLinear, losses: list, weights: dic
 
 
 def train(
-    cells: DataFrame, pairs: DataFrame, model: LogLinear, target: TargetSpec, config: TrainingConfig,
-    *, validation: DataFrame | None = None, state: TrainingState | None = None, on_step: Callable[[TrainingState], None] | None = None,
-) -> tuple[LogLinear, TrainingState]:
+    cells: DataFrame, pairs: DataFrame, model: DistanceModel, target: TargetSpec, config: TrainingConfig,
+    *, units: DataFrame | None = None, validation: DataFrame | None = None, state: TrainingState | None = None,
+    on_step: Callable[[TrainingState], None] | None = None,
+) -> tuple[DistanceModel, TrainingState]:
     """The best model (lowest validation loss, the first of equals; without validation the last one evaluated)
-    and the state to continue from.
+    and the state to continue from, whose records trained() turns into a model that predicts.
 
-    pairs and validation: aligned observations, of different pairs. Continuing needs the same settings, except
-    for more steps, and the same groups.
+    pairs and validation: aligned observations, of different pairs; every region of cells has pairs and the
+    other way round. units: see pack(). Continuing needs the same settings, except for more steps, the same
+    groups, and parameters and an optimizer state of the same form.
     """
     from gridkin.operators.alignment import shared_pairs
 
-    if config.loss == "log1p" and target.kind != "dissimilarity":
-        raise ValueError("the log1p loss is for dissimilarities")
+    loss = loss_of(config.loss)
+    loss.check(target)
+    if loss.head == "mlpe" and units is not None:
+        refuse_individuals(units)
+    model.check_patches(cells)
+    lost = unmatched_regions(cells, pairs).limit(5).collect()
+    if lost:
+        raise ModelError("regions with a raster or pairs, not both: " + ", ".join(str(r.region) for r in lost))
     if validation is not None and not shared_pairs(pairs, validation).isEmpty():
         raise ValueError("training and validation share pairs")
-    packed = pack(cells, pairs, model, target).persist()
-    held = pack(cells, validation, model, target).persist() if validation is not None else None
-    seen = [(r.region, s, len(v[2])) for r in packed.collect() for s, v in sorted(pickle.loads(bytes(r.payload))[2].items())]
-    groups = tuple(sorted((r, s) for r, s, _ in seen))
-    n_pairs = sum(n for _, _, n in seen)
+    packed = pack(cells, pairs, model, target, units).persist()
+    held = None
+    if validation is not None:
+        asked = validation.select("region").distinct()
+        held = pack(cells.join(asked, "region", "left_semi"), validation, model, target, units).persist()
+    seen = _over_groups(packed, None, lambda region, s, payload: (len(payload[2][s][2]), loss.start(payload[2][s][2])))
+    groups = tuple((r, s) for r, s, _ in seen)
+    n_pairs = sum(n for _, _, (n, _) in seen)
     of_species = {s: sum(t == s for _, t in groups) for _, s in groups}
     weights = {(r, s): 1.0 / (len(of_species) * of_species[s]) for r, s in groups}
-    params = model.params()
-    if config.loss == "mlpe":
-        for r in packed.collect():
-            for s, v in pickle.loads(bytes(r.payload))[2].items():
-                start = np.maximum(np.var(v[2], ddof=1) * np.array([0.25, 0.5]), 1e-9)
-                params[f"variance|{r.region}|{s}"] = start + np.log(-np.expm1(-start))
+    held_weights = weights
+    if held is not None:
+        there = {(r, s) for r, s, _ in _over_groups(held, None, lambda *_: None)}
+        if not there <= set(groups):
+            raise ValueError(f"validation has groups that training lacks: {sorted(there - set(groups))}")
+        count = {s: sum(t == s for _, t in there) for _, s in there}
+        held_weights = {(r, s): 1.0 / (len(count) * count[s]) for r, s in there}
+    params = model.params() | {_name(r, s): start for r, s, (_, start) in seen if start is not None}
+    fresh = state is None
     if state is None:
         state = TrainingState(config, 0, params, config.optimizer.start(params), groups, (), None)
-        fresh = True
     else:
         if replace(state.config, steps=config.steps) != config or config.steps < state.config.steps or state.groups != groups:
             raise ValueError("continuing needs the same settings, at least as many steps and the same groups")
-        fresh = False
+        if {k: v.shape for k, v in state.params.items()} != {k: v.shape for k, v in params.items()}:
+            raise ValueError("continuing needs parameters of the model's names and shapes")
+        if type(state.config.optimizer) is not type(config.optimizer) or set(state.optimizer) != set(config.optimizer.start(params)):
+            raise ValueError("continuing needs the state of the same kind of optimizer")
 
-    def objective(p: Params, sample: dict, gradient: bool) -> tuple[list, float, Params]:
-        losses, g = evaluate(packed, model, config.loss, p, sample, gradient)
+    def objective(p: Params, sample: dict, gradient: bool, seed: int | None = None) -> tuple[list, float, Params]:
+        losses, g = evaluate(packed, model, loss, p, sample, gradient, seed=seed)
         value = sum(sample[r, s] * v for r, s, v in losses)
         if config.penalty:
             more, by = config.penalty(p)
@@ -330,13 +435,13 @@ def train(
         return out
 
     def assess(now: TrainingState) -> TrainingState:
-        losses, _ = evaluate(packed, model, config.loss, now.params, weights, False)
+        losses, _ = evaluate(packed, model, loss, now.params, weights, False)
         rows = _history(now.step, "train", model, losses, weights)
         value = rows[0][4]
         if held is not None:
-            fixed = _fixed(packed, model, now.params) if config.loss == "mlpe" else None
-            v, _ = evaluate(held, model, config.loss, now.params, weights, False, fixed)
-            more = _history(now.step, "validation", model, v, weights)
+            told = {(r, s): x for r, s, x in _at_groups(packed, model, now.params, lambda g, own, _: loss.fixed(g, own))}
+            v, _ = evaluate(held, model, loss, now.params, held_weights, False, told)
+            more = _history(now.step, "validation", model, v, held_weights)
             rows, value = rows + more, more[0][4]
         if not math.isfinite(value):
             raise FloatingPointError(f"step {now.step}: the loss is not finite")
@@ -345,19 +450,27 @@ def train(
             best = (value, now.step, {k: x.copy() for k, x in now.params.items()})
         return replace(now, history=now.history + tuple(rows), best=best)
 
+    def searched(p: Params, sample: dict, seed: int) -> float:
+        try:
+            return objective(p, sample, False, seed)[1]
+        except Exception as e:
+            e.add_note("in the line search")
+            raise
+
     if fresh:
         state = assess(state)
         if on_step:
             on_step(state)
     state = replace(state, config=config)
     while state.step < config.steps and not state.converged:
-        sample = sampled(state.step)
+        sample, seed = sampled(state.step), [config.seed, state.step, 1]
+        draw = int(np.random.default_rng(seed).integers(1 << 31))
         try:
-            _, value, g = objective(state.params, sample, True)
+            _, value, g = objective(state.params, sample, True, draw)
             if math.sqrt(sum(float((v**2).sum()) for v in g.values())) <= config.tolerance:
                 state = assess(replace(state, converged=True))
                 break
-            p, o = config.optimizer.update(state.params, g, state.optimizer, value, lambda p: objective(p, sample, False)[1])
+            p, o = config.optimizer.update(state.params, g, state.optimizer, value, lambda p: searched(p, sample, draw))
         except Exception as e:
             e.add_note(f"in update {state.step + 1}")
             raise
@@ -366,28 +479,23 @@ def train(
             state = assess(state)
         if on_step:
             on_step(state)
+    records = _at_groups(packed, model, state.best[2], lambda g, own, ids: (ids, loss.record(g, own)))
+    state = replace(state, records=tuple((r, model.species[s], {"population_ids": ids, **rec}) for r, s, (ids, rec) in records if rec is not None))
     packed.unpersist()
     if held is not None:
         held.unpersist()
-    return model.with_params(state.best[2]), state
-
-
-def _fixed(packed: DataFrame, model: LogLinear, p: Params) -> dict:
-    """Moments, coefficients and variances of each training group at p, for validation."""
-    out = {}
-    for r in packed.collect():
-        shape, x, parts = pickle.loads(bytes(r.payload))
-        for s, (left, right, target, i, j, n) in parts.items():
-            c, _ = model.local(p, s, x)
-            ends, where = np.unique(np.concatenate([left, right]), return_inverse=True)
-            m = solver_of(model.solver)(c.reshape(shape), np.stack([ends // shape[1], ends % shape[1]], 1))
-            g = mlpe.Group(m[where[: len(left)], where[len(left) :]], target, i, j, n)
-            center, scale = g.moments()
-            raw = p[f"variance|{r.region}|{s}"]
-            u, d = _softplus(raw[0]) + 1e-10, _softplus(raw[1]) + 2e-10
-            fit = mlpe.likelihood(g, (g.distance - center) / scale, u, d)
-            out[r.region, s] = (center, scale, fit.beta[0], fit.beta[1], u, d)
-    return out
+    return model.with_params({k: v for k, v in state.best[2].items() if not k.startswith("variance|")}), state
+
+
+def trained(spark, model: DistanceModel, state: TrainingState, target: TargetSpec, features: tuple[str, ...] = (), pairs: DataFrame | None = None) -> GeneticsModel:
+    """The trained model with the head that its loss calls for. Calibrations are those of the best parameters; they
+    do not count as converged. pairs: the training pairs, which support may then not repeat."""
+    if loss_of(state.config.loss).head == "direct":
+        return GeneticsModel(model, target, features)
+    columns = [c.split()[0] for c in mlpe.CALIBRATION.split(", ")]
+    rows = [tuple({"region": r, "species": s, **rec}[c] for c in columns) for r, s, rec in state.records]  # a row for each group
+    calibrations = spark.createDataFrame(rows, mlpe.CALIBRATION)
+    return GeneticsModel(model, target, features, calibrations if pairs is None else mlpe.with_pairs(calibrations, pairs))
 
 
 def uniform_grid(unit: DataFrame, lowest: float, highest: float, points: int = 256) -> DataFrame:
@@ -438,3 +546,35 @@ def uncap(conductance: float, lowest: float, highest: float) -> float:
     e = math.log(conductance - lowest)
     return e - c * math.log(-math.expm1((e - top) / c))
 
+
+def initialize_uniform_conductance(
+    model: LogLinear, cells: DataFrame, units: DataFrame, observations: DataFrame, target: TargetSpec, loss: str = "log1p"
+) -> LogLinear:
+    """The model with no effects and, for each species, the intercept of the best uniform conductance: resistances
+    at 1 are solved once for each region, and divided by the conductances of the grid and the search.
+
+    A loss that no common scale changes keeps the model's intercepts. observations: aligned.
+    """
+    how = loss_of(loss)
+    how.check(target)
+    none = replace(model, beta=tuple(tuple(0.0 for _ in b) for b in model.beta))
+    if how.scale_free:
+        return none
+    from gridkin.operators.alignment import join_groups, terminals
+    from gridkin.operators.models import region_shapes
+    from gridkin.operators.resistance import pair_resistances
+
+    s = model.patch_size
+    shapes = region_shapes(cells).select("region", *(F.floor(F.col(c) / s).cast("int").alias(c) for c in ("n_rows", "n_cols")))
+    r = unit_resistances(shapes, terminals(units, s), model.solver)
+    at = {f"{side}_v{k[0]}": F.floor(F.col(f"{side}_{k}") / s).cast("int") for side in ("left", "right") for k in ("row", "col")}
+    own = pair_resistances(observations.withColumns(at), r).select("region", "species", F.col("distance").alias("resistance"), target.forward(F.col("value")).alias("target"))
+    own = own if model.species == (None,) else own.withColumn("species", F.coalesce("species", F.lit(model.species[0] if len(model.species) == 1 else None)))
+    n = own.groupBy("region", "species").agg(F.count(F.lit(1)).alias("n"))
+    weighed = join_groups(own, join_groups(n, loss_weights(n.select("region", "species")))).withColumn("weight", F.col("weight") / F.col("n")).persist()
+    bias = []
+    for name, before in zip(model.species, model.bias, strict=True):
+        of = weighed.where(F.col("species").eqNullSafe(F.lit(name)))
+        bias.append(before if of.isEmpty() else uncap(uniform_conductance(of, model.lowest, model.highest)[0], model.lowest, model.highest))
+    weighed.unpersist()
+    return replace(none, bias=tuple(bias))

@@ -92,14 +92,13 @@ def graph_diagnostic(d: np.ndarray, resistance: np.ndarray, markers: int, scale:
 
 
 def log_likelihoods(distances: DataFrame, markers: int, variance: float = 1.0) -> DataFrame:
-    """region, units, log_likelihood of each region's squared distances (i < j from 0) under equal variances."""
+    """region, units, log_likelihood of each region's squared distances (i < j from 0) under equal variances.
+    Distances whose scatter is singular have no density: WishartError."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         n = int(rows["j"].max()) + 1
         d = np.zeros((n, n))
-        # positions on a line, spread over markers that leave the scatter of full rank
         d[rows["i"], rows["j"]] = d[rows["j"], rows["i"]] = rows["d"]
-        d += 0.5 * (1 - np.eye(n))
         return pd.DataFrame([(rows["region"].iloc[0], n, log_likelihood(d, variance * np.eye(n), markers))], columns=["region", "units", "log_likelihood"])
 
     return distances.groupBy("region").applyInPandas(run, "region string, units int, log_likelihood double")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from gridkin.operators import calibration as K
 from gridkin.operators import mlpe as M
 from gridkin.operators import models as D
 from gridkin.operators import training as T
-from gridkin.operators.resistance import chain_resistances, resistances
+from gridkin.operators.resistance import chain_resistances, resistances, unit_resistances
 from gridkin.plans import fixtures as X
 from gridkin.plans.fixtures import CELLS, IBD, OBS, UNITS, VERTS, tidy
+from gridkin.sources import store
+from gridkin.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -33,6 +37,26 @@ LOGLINEAR = D.LogLinear(patch_size=2, beta=(BETA,), bias=(BIAS,), lowest=LOW, hi
 U, E = 0.2, 0.05
 
 
+@dataclass(frozen=True)
+class _TableEmbedding(D.EmbeddingModel):
+    """A model of a user's own: the vectors stand in the table of units."""
+
+    def embedding(self, cells: DataFrame, units: DataFrame) -> DataFrame:
+        return units.select("region", "species", "unit", "vector")
+
+
+@dataclass(frozen=True)
+class _Blocks(D.DistanceModel):
+    """Another: the sum of the steps along rows and columns, times a factor for each species."""
+
+    factor: tuple[float, ...] = (1.0,)
+
+    def pair_distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
+        steps = F.abs(F.col("left_row") - F.col("right_row")) + F.abs(F.col("left_col") - F.col("right_col"))
+        by = F.coalesce(*(F.when(F.col("species").eqNullSafe(F.lit(n)), F.lit(x)) for n, x in zip(self.species, self.factor, strict=True)))
+        return pairs.select("region", "species", "left", "right", (steps * by).alias("distance"))
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[name or f.__name__] = f
@@ -139,8 +163,8 @@ def q_species_filter(spark, d):
 
 @query(f"WITH {OBS} SELECT region, unit, CAST(row_number() OVER (PARTITION BY region ORDER BY unit) AS INTEGER) AS unit_ord FROM (SELECT region, lft AS unit FROM obs UNION SELECT region, rgt FROM obs)")
 def q_endpoint_units(spark, d):
-    by = Window.partitionBy("region").orderBy("unit")
-    return A.endpoints(X.observations(spark, d)).select("region", "unit", F.row_number().over(by).alias("unit_ord"))
+    u = S.units_of_pairs(X.observations(spark, d))
+    return u.select("region", "unit", (F.col("unit_ord") + 1).alias("unit_ord"))
 
 
 @query(f"WITH {OBS} SELECT region, least(lft, rgt) AS a, greatest(lft, rgt) AS b FROM obs WHERE value < 0.5 INTERSECT SELECT region, least(lft, rgt), greatest(lft, rgt) FROM obs WHERE lr < rr")
@@ -240,10 +264,13 @@ def q_uncapped(spark, d):
     return p.select("row", "col", tidy(C.uncapped(C.capped(F.col("predictor"), LOW, HIGH), LOW, HIGH)).alias("back"))
 
 
-@query(f"SELECT * FROM (VALUES ('f0', {BETA[0]}::DOUBLE), ('f1', {BETA[1]}::DOUBLE), ('f2', {BETA[2]}::DOUBLE)) t(feature, effect)")
+@query(f"""WITH {CELLS} SELECT 'f0' AS feature, round(avg(f0) * {BETA[0]}, 8) + 0.0 AS part FROM cells UNION ALL SELECT 'f1', round(avg(f1) * {BETA[1]}, 8) + 0.0 FROM cells
+    UNION ALL SELECT 'f2', round(avg(f2) * {BETA[2]}, 8) + 0.0 FROM cells""")
 def q_feature_effects(spark, d):
-    rows = [(f, v[None]) for f, v in LOGLINEAR.effects(["f0", "f1", "f2"]).items()]
-    return spark.createDataFrame(rows, "feature string, effect double")
+    """What each feature adds to the mean predictor, by the model's effects."""
+    effects = LOGLINEAR.effects(["f0", "f1", "f2"])
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), (F.get("features", F.lit(i)) * effects[f][None]).alias("part")) for i, f in enumerate(effects))))
+    return X.cells(spark, d).select(each.alias("e")).groupBy("e.feature").agg(tidy(F.avg("e.part"), 8).alias("part"))
 
 
 @query(f"WITH {_PRED} SELECT row, col, round(log10((SELECT g FROM cond WHERE row = 0 AND col = 0) / g), 8) + 0.0 AS relative, round(1 / g, 8) + 0.0 AS resistance FROM cond")
@@ -260,11 +287,10 @@ def q_softplus_conductance(spark, d):
     return m.select("row", "col", tidy(C.softplus_conductance(latent), 8).alias("conductance"))
 
 
-@query(f"WITH {VERTS} SELECT CAST(vr AS INTEGER) AS row, CAST(vc AS INTEGER) AS col, 10.0 * (15 - (2 * vr + 0.5)) + 5 AS y, 10.0 * (15 - (2 * vc + 0.5)) + 5 AS x, round(ln(g), 8) + 0.0 AS log_g FROM verts")
+@query(f"WITH {_PRED} SELECT row, col, 10.0 * (15 - (2 * row + 0.5)) + 5 AS y, 10.0 * (15 - (2 * col + 0.5)) + 5 AS x, round(ln(g), 8) + 0.0 AS log_g FROM cond")
 def q_surface_coordinates(spark, d):
-    at = D.patch_centers(_ticks(spark, "descending"), 2)
-    y, x = (at.where(F.col("dim") == k).select(F.col("idx").alias(i), F.col("center").alias(n)) for k, i, n in (("row", "row", "y"), ("column", "col", "x")))
-    return X.vertices(spark, d).join(y, "row").join(x, "col").select("row", "col", "y", "x", tidy(F.log("conductance"), 8).alias("log_g"))
+    out = LOGLINEAR.surface(X.cells(spark, d), _ticks(spark, "descending"))
+    return out.select("row", "col", "y", "x", tidy(F.log("conductance"), 8).alias("log_g"))
 
 
 _EDGES = f"""{VERTS}, edges AS (SELECT a.vr AS row, a.vc AS col, b.vr AS row2, b.vc AS col2, (a.g + b.g) / 2 AS g FROM verts a JOIN verts b
@@ -279,33 +305,9 @@ def q_edge_conductance(spark, d):
 # --- distances
 
 
-@query("""WITH v AS (SELECT CAST(l_partkey % 200 AS INTEGER) AS k, 0.01 + avg(l_discount) AS c FROM lineitem GROUP BY 1),
-    s AS (SELECT k, coalesce(2.0 / (lag(c) OVER (ORDER BY k) + c), 0) AS step FROM v), p AS (SELECT k, sum(step) OVER (ORDER BY k) AS at FROM s)
-    SELECT a.k AS a, b.k AS b, round(b.at - a.at, 6) + 0.0 AS resistance FROM p a JOIN p b ON a.k < b.k WHERE a.k % 20 = 0 AND b.k % 20 = 0""")
-def q_resistance_chain(spark, d):
-    """A raster of one row, by running sums."""
-    k = (F.col("l_partkey") % 200).cast("int")
-    v = X.table(spark, d, "lineitem").groupBy(k.alias("col")).agg((F.lit(0.01) + F.avg("l_discount")).alias("conductance")).withColumn("region", F.lit("row"))
-    ends = chain_resistances(v).where("col % 20 = 0")
-    a, b = ends.select("region", F.col("col").alias("a"), F.col("at").alias("p")), ends.select("region", F.col("col").alias("b"), F.col("at").alias("q"))
-    return a.join(b, "region").where("a < b").select("a", "b", tidy(F.col("q") - F.col("p")).alias("resistance"))
-
-
-@query("""WITH v AS (SELECT CAST(l_partkey % 200 AS INTEGER) AS k, 0.01 + avg(l_discount) AS c FROM lineitem GROUP BY 1),
-    s AS (SELECT k, coalesce(2.0 / (lag(c) OVER (ORDER BY k) + c), 0) AS step FROM v), p AS (SELECT k, sum(step) OVER (ORDER BY k) AS at FROM s)
-    SELECT a.k AS a, b.k AS b, round(b.at - a.at, 6) + 0.0 AS resistance FROM p a JOIN p b ON a.k < b.k WHERE a.k % 20 = 0 AND b.k % 20 = 0""")
-def q_resistance_kernel_chain(spark, d):
-    """The same raster by the kernel."""
-    k = (F.col("l_partkey") % 200).cast("int")
-    v = X.table(spark, d, "lineitem").groupBy(k.alias("col")).agg((F.lit(0.01) + F.avg("l_discount")).alias("conductance"))
-    v = v.select(F.lit("row").alias("region"), F.lit(0).alias("row"), "col", "conductance")
-    ends = v.where("col % 20 = 0").select("region", F.col("row").alias("vr"), F.col("col").alias("vc"))
-    return resistances(v, ends).select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance").alias("resistance"))
-
-
 _CHAIN = """WITH v AS (SELECT CAST(l_partkey % 200 AS INTEGER) AS k, 0.01 + avg(l_discount) AS c FROM lineitem GROUP BY 1),
     s AS (SELECT k, coalesce(2.0 / (lag(c) OVER (ORDER BY k) + c), 0) AS step FROM v), p AS (SELECT k, sum(step) OVER (ORDER BY k) AS at FROM s)
-    SELECT a.k AS a, b.k AS b, round(b.at - a.at, 6) + 0.0 AS resistance FROM p a JOIN p b ON a.k < b.k"""
+    SELECT a.k AS a, b.k AS b, round(b.at - a.at, 4) + 0.0 AS resistance FROM p a JOIN p b ON a.k < b.k"""
 
 
 def _chain(spark: SparkSession, d: str) -> DataFrame:
@@ -315,19 +317,19 @@ def _chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_CHAIN)
-def q_resistance_chain_all(spark, d):
+def q_resistance_chain(spark, d):
     """A raster of one row, by running sums: every pair of vertices."""
     ends = chain_resistances(_chain(spark, d))
     a, b = ends.select("region", F.col("col").alias("a"), F.col("at").alias("p")), ends.select("region", F.col("col").alias("b"), F.col("at").alias("q"))
-    return a.join(b, "region").where("a < b").select("a", "b", tidy(F.col("q") - F.col("p")).alias("resistance"))
+    return a.join(b, "region").where("a < b").select("a", "b", tidy(F.col("q") - F.col("p"), 4).alias("resistance"))
 
 
 @query(_CHAIN)
-def q_resistance_kernel_chain_all(spark, d):
+def q_resistance_kernel_chain(spark, d):
     """The same raster by the kernel."""
     v = _chain(spark, d)
     r = resistances(v, v.select("region", F.col("row").alias("vr"), F.col("col").alias("vc")))
-    return r.select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance").alias("resistance"))
+    return r.select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance", 4).alias("resistance"))
 
 
 @query(f"WITH {VERTS} SELECT CAST(count(*) - 1 AS DOUBLE) AS total FROM verts")
@@ -363,10 +365,13 @@ def q_resistance_pairs(spark, d):
     round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)), 5) + 0.0 AS distance
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def q_embedding_distance(spark, d):
-    e = X.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("species"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = e.alias("a"), e.alias("b")
-    j = a.join(b, (F.col("a.species") == F.col("b.species")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return j.select("a.species", F.col("a.vec_id").alias("left"), F.col("b.vec_id").alias("right"), tidy(C.squared_distance(F.col("a.v"), F.col("b.v")), 5).alias("distance"))
+    e = X.table(spark, d, "embeddings")
+    units = e.select(
+        F.lit("all").alias("region"), F.col("label").cast("string").alias("species"), F.col("vec_id").cast("string").alias("unit"), F.col("vec_id").alias("unit_ord"),
+        F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    m = _TableEmbedding(species=tuple(str(i) for i in range(10)))
+    return m.distances(units, units).select("species", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), tidy("distance", 5).alias("distance"))
 
 
 @query(f"WITH {IBD} SELECT region, lft AS \"left\", rgt AS \"right\", round(s, 9) + 0.0 AS distance FROM ibd")
@@ -390,12 +395,12 @@ def _log1p_rows(spark, d):
 
 @query(f"WITH {IBD} SELECT region, count(*) AS pairs, round(avg(power(ln(1 + s) - ln(1 + value / (1 - value)), 2)), 8) + 0.0 AS loss FROM ibd GROUP BY region")
 def q_log1p_loss_by_region(spark, d):
-    return _log1p_rows(spark, d).groupBy("region").agg(F.count(F.lit(1)).alias("pairs"), tidy(F.avg("sq"), 8).alias("loss"))
+    return T.group_losses(_distances(spark, d), ODDS).select("region", "pairs", tidy("loss", 8).alias("loss"))
 
 
 @query(f"WITH {IBD}, l AS (SELECT region, avg(power(ln(1 + s) - ln(1 + value / (1 - value)), 2)) AS loss FROM ibd GROUP BY region) SELECT round(sum(loss / 5), 8) + 0.0 AS loss FROM l")
 def q_log1p_loss_total(spark, d):
-    losses = _log1p_rows(spark, d).groupBy("region", "species").agg(F.avg("sq").alias("loss"))
+    losses = T.group_losses(_distances(spark, d), ODDS)
     w = T.loss_weights(losses.select("region", "species"))
     return A.join_groups(losses, w).agg(tidy(F.sum(F.col("weight") * F.col("loss")), 8).alias("loss"))
 
@@ -437,9 +442,7 @@ def q_degree(spark, d):
 
 @query(f"WITH {OBS} SELECT region, round(greatest(var_samp(ln(1 + value)) * 0.25, 1e-9), 9) + 0.0 AS unit, round(greatest(var_samp(ln(1 + value)) * 0.5, 1e-9), 9) + 0.0 AS residual FROM obs GROUP BY region")
 def q_variance_init(spark, d):
-    v = F.var_samp(F.log1p("value"))
-    start = lambda share: tidy(F.greatest(v * share, F.lit(1e-9)), 9)
-    return X.observations(spark, d).groupBy("region").agg(start(0.25).alias("unit"), start(0.5).alias("residual"))
+    return T.group_starts(X.observations(spark, d), _LOG1P).select("region", tidy("unit", 9).alias("unit"), tidy("residual", 9).alias("residual"))
 
 
 @query(f"""WITH {IBD}, f AS (SELECT region, regr_slope(ln(1 + value), s) AS b, regr_intercept(ln(1 + value), s) AS a FROM ibd GROUP BY region)
@@ -603,8 +606,10 @@ def q_uniform_grid_search(spark, d):
 
 @query(f"WITH {_PRED} SELECT round(sum(power(eta - 0.5, 2) / (2 * 0.3 * 0.3)), 6) + 0.0 AS penalty FROM pred")
 def q_ridge_penalty(spark, d):
-    p = LOGLINEAR.predictor(X.cells(spark, d))
-    return p.agg(tidy(F.sum(F.pow(F.col("predictor") - 0.5, 2) / (2 * 0.3 * 0.3))).alias("penalty"))
+    """The penalty on the predictors of the 64 vertices, taken as parameters, and its gradient's sum."""
+    p = np.array([r.predictor for r in LOGLINEAR.predictor(X.cells(spark, d)).collect()])  # 64 rows
+    value, _ = T.ridge({"eta": 0.5}, 0.3, where="eta")({"eta": p, "other": np.ones(3)})
+    return spark.createDataFrame([(round(value, 6),)], "penalty double")
 
 
 @query("""WITH h AS (SELECT CAST(event_id % 50 AS INTEGER) AS step, user_id % 7 AS run, round(avg(value), 2) AS loss FROM events GROUP BY 1, 2)
@@ -612,16 +617,14 @@ def q_ridge_penalty(spark, d):
 def q_model_selection(spark, d):
     """The first step with the lowest loss of each run."""
     h = X.table(spark, d, "events").groupBy((F.col("event_id") % 50).cast("int").alias("step"), (F.col("user_id") % 7).alias("run")).agg(F.round(F.avg("value"), 2).alias("loss"))
-    return h.groupBy("run").agg(F.min(F.struct("loss", "step")).alias("best")).select("run", "best.step", "best.loss")
+    return T.selected_steps(h)
 
 
 @query(f"""WITH {IBD}, l AS (SELECT region, avg(power(ln(1 + s) - ln(1 + value), 2)) AS loss FROM ibd GROUP BY region)
     SELECT 'all' AS scope, NULL AS key, round(avg(loss), 8) + 0.0 AS loss FROM l UNION ALL SELECT 'region', region, round(loss, 8) + 0.0 FROM l""")
 def q_history_rollup(spark, d):
-    off = F.log1p("distance") - F.log1p("value")
-    losses = _distances(spark, d).groupBy("region").agg(F.avg(off * off).alias("l"))
-    up = losses.rollup("region").agg(F.avg("l").alias("l"), F.grouping("region").alias("g"))
-    return up.select(F.when(F.col("g") == 1, "all").otherwise("region").alias("scope"), F.col("region").alias("key"), tidy("l", 8).alias("loss"))
+    losses = T.group_losses(_distances(spark, d), PLAIN).select("region", "species", "loss")
+    return T.history_rows(losses).select("scope", "key", tidy("loss", 8).alias("loss"))
 
 
 @query("SELECT 'study' AS region, true AS improved, CAST(4 AS INTEGER) AS evaluations")
@@ -657,8 +660,7 @@ def q_ensemble_mean(spark, d):
 
 @query(f"WITH {VERTS} SELECT CAST(vr AS INTEGER) AS row, round(quantile_cont(g, 0.5), 8) + 0.0 AS median, round(quantile_cont(g, 0.75) - quantile_cont(g, 0.25), 8) + 0.0 AS iqr FROM verts GROUP BY 1")
 def q_surface_median_iqr(spark, d):
-    p = lambda q: F.percentile("conductance", F.lit(q))
-    return X.vertices(spark, d).groupBy("row").agg(tidy(p(0.5), 8).alias("median"), tidy(p(0.75) - p(0.25), 8).alias("iqr"))
+    return K.member_quantiles(X.vertices(spark, d), ["row"]).select("row", tidy("median", 8).alias("median"), tidy("iqr", 8).alias("iqr"))
 
 
 @query(f"""WITH {_MEMBERS} SELECT member, round(corr(observed, v), 7) + 0.0 AS pearson_r, round(1 - sum(power(observed - v, 2)) / (var_pop(observed) * count(*)), 6) + 0.0 AS r2,
@@ -678,18 +680,33 @@ def q_holdout_split(spark, d):
 # --- persistence, networks, diagnostics
 
 
-@query("SELECT CAST(3 AS INTEGER) AS coefficients, true AS equal")
-def q_save_load_roundtrip(spark, d):
-    import tempfile
+def _again(spark: SparkSession, model: K.GeneticsModel, template: D.DistanceModel, name: str) -> K.GeneticsModel:
+    """The model after a way through the shared folder, of which nothing stays."""
+    with X.shared_folder(spark, name) as path:
+        store.save_model(spark, f"{path}/model", model)
+        back = store.load_model(spark, f"{path}/model", template)
+        held = None if back.calibrations is None else spark.createDataFrame(back.calibrations.collect(), back.calibrations.schema)  # a row a region
+    return K.GeneticsModel(back.distance, back.target, back.features, held)
+
 
-    from gridkin.sources.store import load_model, save_model
+@query(f"WITH {IBD} SELECT region, lft AS \"left\", rgt AS \"right\", round(s / (1 + s), 8) + 0.0 AS value FROM ibd")
+def q_save_load_straight_line(spark, d):
+    m = _again(spark, K.GeneticsModel(LINE, ODDS), D.StraightLine(), "line")
+    p = m.predict(X.cells(spark, d), X.units(spark, d))
+    return p.select("region", "left", "right", tidy("value", 8).alias("value"))
+
+
+@query(f"WITH {_PRED} SELECT row, col, round(g, 8) + 0.0 AS conductance FROM cond")
+def q_save_load_loglinear(spark, d):
+    blank = D.LogLinear(patch_size=2, beta=((0.0, 0.0, 0.0),), bias=(0.0,), lowest=LOW, highest=HIGH)
+    m = _again(spark, K.GeneticsModel(LOGLINEAR, _LOG1P, ("f0", "f1", "f2")), blank, "loglinear")
+    return m.distance.conductance(X.cells(spark, d)).select("row", "col", tidy("conductance", 8).alias("conductance"))
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridkin-")
-    path = f"{base}/model-{spark.sparkContext.applicationId}"
-    save_model(spark, path, K.GeneticsModel(LOGLINEAR, _LOG1P, ("f0", "f1", "f2"), _calibrations(spark, d)))
-    back = load_model(spark, path, LOGLINEAR)
-    same = back.distance.beta == LOGLINEAR.beta and back.target == _LOG1P and back.calibrations.count() == 5
-    return spark.createDataFrame([(len(back.features), same)], "coefficients int, equal boolean")
+
+@query(_mlpe_sql(*_BEST, "SELECT p.region, p.lft AS \"left\", p.rgt AS \"right\", round(exp(b0 + b1 * p.x) - 1, 7) + 0.0 AS value FROM p JOIN fit USING (region)"))
+def q_save_load_calibrated(spark, d):
+    m = _again(spark, K.GeneticsModel(LINE, _LOG1P, (), _calibrations(spark, d)), D.StraightLine(), "calibrated")
+    return m.predict(X.cells(spark, d), X.units(spark, d)).select("region", "left", "right", tidy("value", 7).alias("value"))
 
 
 @query(f"WITH {CELLS} SELECT CAST(floor(r / 4) AS INTEGER) AS row, CAST(floor(c / 4) AS INTEGER) AS col, true AS positive FROM cells GROUP BY 1, 2")
@@ -709,23 +726,9 @@ def q_unet_embedding(spark, d):
     return m.embedding(X.cells(spark, d), X.study_units(spark, d)).select("unit", F.size("vector").alias("width"))
 
 
-@query("""WITH a AS (SELECT CAST(n_nationkey AS INTEGER) AS i, ln(2 + n_nationkey) AS v FROM nation WHERE n_nationkey < 6), d AS (SELECT x.i, y.i AS j, power(x.v - y.v, 2) AS d FROM a x, a y),
-    m AS (SELECT i, avg(d) AS r FROM d GROUP BY i) SELECT d.i, d.j, round(-0.5 * (d - p.r - q.r + (SELECT avg(d) FROM d)), 8) + 0.0 AS scatter FROM d JOIN m p ON p.i = d.i JOIN m q ON q.i = d.j""")
-def q_wishart_scatter(spark, d):
-    """The centered scatter of squared distances, from the contrasts."""
-    from gridkin.operators.wishart import centered_scatter
-
-    v = F.log(2.0 + F.col("n_nationkey"))
-    a = X.table(spark, d, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").cast("int").alias("i"), v.alias("v"))
-    b = a.select(F.col("i").alias("j"), F.col("v").alias("w"))
-    # six units: every pair of them, in both orders
-    pairs = a.join(F.broadcast(b)).select(F.lit("study").alias("region"), "i", "j", F.pow(F.col("v") - F.col("w"), 2).alias("d"))
-    return centered_scatter(pairs).select("i", "j", tidy("scatter", 8).alias("scatter"))
-
-
 @query("""WITH a AS (SELECT CAST(n_nationkey AS INTEGER) AS i, ln(2 + n_nationkey) AS v FROM nation), d AS (SELECT x.i, y.i AS j, power(x.v - y.v, 2) AS d FROM a x, a y),
     m AS (SELECT i, avg(d) AS r FROM d GROUP BY i) SELECT d.i, d.j, round(-0.5 * (d - p.r - q.r + (SELECT avg(d) FROM d)), 8) + 0.0 AS scatter FROM d JOIN m p ON p.i = d.i JOIN m q ON q.i = d.j""")
-def q_wishart_scatter_all(spark, d):
+def q_wishart_scatter(spark, d):
     """The centered scatter of all nations' squared distances, from the contrasts."""
     from gridkin.operators.wishart import centered_scatter
 
@@ -737,11 +740,310 @@ def q_wishart_scatter_all(spark, d):
 
 @query()
 def q_wishart_density(spark, d):
-    """Log density of each region's scatter under equal variances; no SQL."""
+    """Log density of the scatter of the labels' mean vectors under equal variances; no SQL."""
     from gridkin.operators.wishart import log_likelihoods
 
-    by = Window.partitionBy("region").orderBy("unit_ord")
-    u = X.units(spark, d).select("region", (F.row_number().over(by) - 1).alias("i"), (F.col("bal") / 1000).alias("v"))
-    pairs = u.join(u.select("region", F.col("i").alias("j"), F.col("v").alias("w")), "region").where("i < j")
-    p = pairs.select("region", "i", "j", F.pow(F.col("v") - F.col("w"), 2).alias("d"))
-    return log_likelihoods(p, markers=11).select("region", "units", tidy("log_likelihood").alias("log_likelihood"))
+    e = X.table(spark, d, "embeddings").select(F.col("label").alias("i"), F.posexplode("embedding").alias("k", "x")).groupBy("i", "k").agg(F.avg("x").alias("x"))
+    f = e.select(F.col("i").alias("j"), "k", F.col("x").alias("y"))
+    p = e.join(f, "k").where("i < j").groupBy("i", "j").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("d")).select(F.lit("all").alias("region"), "i", "j", "d")
+    return log_likelihoods(p, markers=64, variance=0.001).select("region", "units", tidy("log_likelihood").alias("log_likelihood"))
+
+
+# --- sources
+
+
+@query(f"""WITH {UNITS} SELECT a.region, a.unit AS "left", b.unit AS "right", round(abs(a.bal - b.bal) / (abs(a.bal) + abs(b.bal) + 1), 9) + 0.0 AS value
+    FROM units a JOIN units b ON a.region = b.region AND a.unit < b.unit""")
+def q_matrix_observations(spark, d):
+    """Each region's dissimilarities as a matrix with a column for each unit, and back."""
+    o, out = X.observations(spark, d).select("region", "left", "right", "value"), None
+    both = o.union(o.select("region", F.col("right").alias("left"), F.col("left").alias("right"), "value"))
+    for region in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"):
+        wide = both.where(F.col("region") == region).groupBy("left").pivot("right").agg(F.first("value"))
+        part = A.observed_pairs(S.matrix_observations(wide, "left", region=region))
+        out = part if out is None else out.unionByName(part)
+    return out.select("region", "left", "right", tidy("value", 9).alias("value"))
+
+
+@query("""WITH p AS (SELECT l_partkey % 30 AS r, l_orderkey % 30 AS c, max(l_linenumber) AS v FROM lineitem GROUP BY 1, 2)
+    SELECT CAST(floor(r / 3) AS INTEGER) AS row, CAST(floor(c / 3) AS INTEGER) AS col, round(avg(CASE WHEN v IN (1, 2, 3) THEN 1 ELSE 0 END), 8) + 0.0 AS few,
+        round(avg(CASE WHEN v IN (4, 7) THEN 1 ELSE 0 END), 8) + 0.0 AS some FROM p WHERE r < 24 AND c < 24 GROUP BY 1, 2""")
+def q_class_shares(spark, d):
+    """Classes of a 30 x 30 raster of codes, 3 x 3 to a cell, 4 x 4 cells to a patch: two rows and columns of cells fill none."""
+    row, col = (F.col("l_partkey") % 30).cast("int"), (F.col("l_orderkey") % 30).cast("int")
+    codes = X.table(spark, d, "lineitem").groupBy(row.alias("row"), col.alias("col")).agg(F.max("l_linenumber").alias("value"))
+    full = spark.range(900).select(F.lit("study").alias("region"), (F.col("id") % 30).cast("int").alias("row"), F.floor(F.col("id") / 30).cast("int").alias("col"))
+    out = S.class_shares(full.join(codes, ["row", "col"]), {"few": [1, 2, 3], "some": [4, 7]}, 3, 4)
+    return out.select("row", "col", tidy(F.get("features", F.lit(0)), 8).alias("few"), tidy(F.get("features", F.lit(1)), 8).alias("some"))
+
+
+@query("""SELECT n_name AS unit, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS unit_ord, CAST(n_nationkey * 6 AS DOUBLE) AS x, CAST((n_nationkey * 37) % 150 AS DOUBLE) AS y FROM nation""")
+def q_read_sites(spark, d):
+    sites = X.table(spark, d, "nation").select(F.col("n_name").alias("site"), (F.col("n_nationkey") * 6.0).alias("x"), ((F.col("n_nationkey") * 37) % 150).cast("double").alias("y"))
+    with X.shared_folder(spark, "sites") as path:
+        sites.write.csv(f"{path}/csv", header=True)
+        rows = S.read_sites(spark, f"{path}/csv", "study").collect()  # a study's sites
+    return spark.createDataFrame(rows, "region string, species string, unit string, x double, y double, unit_ord int").select("unit", "unit_ord", "x", "y")
+
+
+@query(f"""WITH {UNITS} SELECT a.unit AS "left", b.unit AS "right", round(abs(a.bal - b.bal) / (abs(a.bal) + abs(b.bal) + 1), 6) + 0.0 AS value FROM units a JOIN units b ON a.unit < b.unit""")
+def q_read_matrix(spark, d):
+    """All units' dissimilarities, through a CSV matrix."""
+    u = X.study_units(spark, d).select("region", "unit", "bal")
+    both = u.join(u.select("region", F.col("unit").alias("other"), F.col("bal").alias("b")), "region")
+    value = F.abs(F.col("bal") - F.col("b")) / (F.abs("bal") + F.abs("b") + 1)
+    wide = both.withColumn("v", value).groupBy(F.col("unit").alias("site")).pivot("other").agg(F.first("v"))
+    with X.shared_folder(spark, "matrix") as path:
+        wide.coalesce(1).write.csv(f"{path}/csv", header=True)
+        rows = A.observed_pairs(S.read_matrix(spark, f"{path}/csv", "study")).select("left", "right", tidy("value").alias("value")).collect()  # 300 pairs
+    return spark.createDataFrame(rows, "left string, right string, value double")
+
+
+@query(f"WITH {_PRED} SELECT 'study' AS region, row, col, round(g, 8) + 0.0 AS conductance FROM cond")
+def q_surface_export(spark, d):
+    with X.shared_folder(spark, "surface") as path:
+        S.write_surface(LOGLINEAR.conductance(X.cells(spark, d)), f"{path}/surface")
+        rows = spark.read.parquet(f"{path}/surface").select("region", "row", "col", tidy("conductance", 8).alias("conductance")).collect()  # 64 vertices
+    return spark.createDataFrame(rows, "region string, row int, col int, conductance double")
+
+
+@query("""SELECT n_name AS unit, n_nationkey AS unit_ord, CAST(floor(((n_nationkey * 37) % 150) / 10) AS INTEGER) AS row, CAST(floor(n_nationkey * 6 / 10) AS INTEGER) AS col FROM nation""")
+def q_located_units(spark, d):
+    k = F.col("n_nationkey")
+    points = X.table(spark, d, "nation").select(
+        F.lit("study").alias("region"), F.lit(None).cast("string").alias("species"), F.col("n_name").alias("unit"), k.alias("unit_ord"), (k * 6.0).alias("x"), ((k * 37) % 150).cast("double").alias("y")
+    )
+    return S.located_units(points, _ticks(spark, "regular")).select("unit", "unit_ord", "row", "col")
+
+
+@query(f"""WITH {OBS} SELECT o.region, o.lft AS "left", o.rgt AS "right", a.ord AS left_ord, b.ord AS right_ord, lr AS left_row, rc AS right_col, round(value, 9) + 0.0 AS value
+    FROM obs o JOIN units a ON a.region = o.region AND a.unit = o.lft JOIN units b ON b.region = o.region AND b.unit = o.rgt""")
+def q_align_observations(spark, d):
+    """Pairs given the wrong way round, aligned with their units."""
+    turned = X.observations(spark, d).select("region", "species", F.col("right").alias("left"), F.col("left").alias("right"), "value")
+    out = A.align_observations(turned, X.units(spark, d))
+    return out.select("region", "left", "right", "left_ord", "right_ord", "left_row", "right_col", tidy("value", 9).alias("value"))
+
+
+@query("""WITH a AS (SELECT DISTINCT c_mktsegment AS k FROM customer UNION SELECT r_name FROM region), b AS (SELECT r_name AS k FROM region UNION SELECT DISTINCT o_orderpriority FROM orders)
+    SELECT coalesce(a.k, b.k) AS region, a.k IS NOT NULL AS has_raster, b.k IS NOT NULL AS has_pairs FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def q_unmatched_regions(spark, d):
+    name = lambda t, c: X.table(spark, d, t).select(F.col(c).alias("region"))
+    out = A.unmatched_regions(name("customer", "c_mktsegment").union(name("region", "r_name")), name("region", "r_name").union(name("orders", "o_orderpriority")))
+    return out.select("region", F.coalesce("has_raster", F.lit(False)).alias("has_raster"), F.coalesce("has_pairs", F.lit(False)).alias("has_pairs"))
+
+
+@query("SELECT c_mktsegment AS label, min(c_custkey) AS ord FROM customer GROUP BY 1")
+def q_first_seen(spark, d):
+    return A.first_seen(X.table(spark, d, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("ord")))
+
+
+@query("SELECT n_name AS label, CAST(ntile(3) OVER (ORDER BY md5('7|' || n_name), n_name) - 1 AS INTEGER) AS fold FROM nation")
+def q_folds(spark, d):
+    return A.folds(X.table(spark, d, "nation").select(F.col("n_name").alias("label")), 3, seed=7)
+
+
+@query(f"""WITH {UNITS}, bad AS (SELECT region, unit, r, c FROM units UNION ALL SELECT region, unit, r, c FROM units WHERE bal > 4500)
+    SELECT 'unit names are unique in a species' AS rule, region || ', ' || unit AS detail FROM bad GROUP BY region, unit HAVING count(*) > 1
+    UNION ALL SELECT 'units lie in the raster', region || ', ' || unit FROM bad WHERE r >= 10 OR c >= 12""")
+def q_unit_rules(spark, d):
+    """Violations of units some of which stand twice, in a raster of 10 x 12 cells."""
+    from gridkin.operators.constraints import unit_rules, violations
+
+    u = X.units(spark, d)
+    regions = u.select("region", F.lit(10).alias("n_rows"), F.lit(12).alias("n_cols")).distinct()
+    return violations(unit_rules(u.union(u.where("bal > 4500")), regions))
+
+
+# --- models of several species, of a user's own, and what they refuse
+
+
+def _species_units(spark, d):
+    """The study's units, of two species by their order."""
+    return X.study_units(spark, d).withColumn("species", F.when(F.col("unit_ord") % 2 == 0, "even").otherwise("odd"))
+
+
+@query(f"""WITH {UNITS} SELECT CASE WHEN a.ord % 2 = 0 THEN 'even' ELSE 'odd' END AS species, a.unit AS "left", b.unit AS "right",
+    round(CASE WHEN a.ord % 2 = 0 THEN 0.1 ELSE 0.4 END * sqrt(power(floor(a.r / 2) - floor(b.r / 2), 2) + power(floor(a.c / 2) - floor(b.c / 2), 2)) + CASE WHEN a.ord % 2 = 0 THEN 0.03 ELSE 0.0 END, 8) + 0.0 AS value
+    FROM units a JOIN units b ON a.ord < b.ord AND a.ord % 2 = b.ord % 2 WHERE a.ord % 2 = 0 OR (a.r < b.r)""")
+def q_species_query(spark, d):
+    """All pairs of one species, and those of the other that are named."""
+    u = _species_units(spark, d)
+    m = K.GeneticsModel(D.StraightLine(species=("even", "odd"), patch_size=2, slope=(0.1, 0.4), intercept=(0.03, 0.0)), PLAIN)
+    named = A.unit_pairs(u.where("species = 'odd'")).where("left_row < right_row").select("region", "left", "right")
+    p = m.predict(X.cells(spark, d), u, {"even": None, "odd": named})
+    return p.select("species", "left", "right", tidy("value", 8).alias("value"))
+
+
+@query(f"""WITH {UNITS} SELECT CASE WHEN a.ord % 2 = 0 THEN 'even' ELSE 'odd' END AS species, a.unit AS "left", b.unit AS "right",
+    CAST((abs(a.r - b.r) + abs(a.c - b.c)) * CASE WHEN a.ord % 2 = 0 THEN 1 ELSE 3 END AS DOUBLE) AS distance FROM units a JOIN units b ON a.ord < b.ord AND a.ord % 2 = b.ord % 2""")
+def q_custom_model(spark, d):
+    m = _Blocks(species=("even", "odd"), factor=(1.0, 3.0))
+    return m.distances(X.cells(spark, d), _species_units(spark, d)).select("species", "left", "right", "distance")
+
+
+@query(f"""WITH {UNITS}, t AS (SELECT DISTINCT floor(r / 2) AS r, floor(c / 2) AS c FROM units)
+    SELECT a.unit AS "left", b.unit AS "right", abs(floor(a.r / 2) - floor(b.r / 2)) * 10 + abs(floor(a.c / 2) - floor(b.c / 2)) AS distance FROM units a JOIN units b ON a.ord < b.ord""")
+def q_custom_solver(spark, d):
+    """A solver of a user's own in a log-linear model."""
+
+    def steps(surface, nodes):
+        return np.abs(nodes[:, None, 0] - nodes[None, :, 0]) * 10.0 + np.abs(nodes[:, None, 1] - nodes[None, :, 1])
+
+    m = D.LogLinear(patch_size=2, beta=(BETA,), bias=(BIAS,), lowest=LOW, highest=HIGH, solver=steps)
+    return m.distances(X.cells(spark, d), X.study_units(spark, d)).select("left", "right", "distance")
+
+
+@query(f"WITH {CELLS} SELECT CAST(floor(r / 2) AS INTEGER) AS row, CAST(floor(c / 2) AS INTEGER) AS col, CAST((r % 2) * 2 + c % 2 AS INTEGER) AS place, round(f0, 9) + 0.0 AS f0, round(f2, 9) + 0.0 AS f2 FROM cells")
+def q_patchify(spark, d):
+    """The cells of each patch in row-major order."""
+    each = D.patches(X.cells(spark, d), 2).select("row", "col", F.posexplode("cells").alias("place", "cell"))
+    f = lambda i: tidy(F.get("cell.features", F.lit(i)), 9)
+    return each.select("row", "col", "place", f(0).alias("f0"), f(2).alias("f2"))
+
+
+def _mean_encoder(x):
+    """(patches, features, size, size) -> the mean of each feature."""
+    return np.asarray(x, float).mean((2, 3))
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT CAST(floor(r / 2) AS INTEGER) AS row, CAST(floor(c / 2) AS INTEGER) AS col, avg(f0::FLOAT::DOUBLE) AS a, avg(f2::FLOAT::DOUBLE) AS b FROM cells GROUP BY 1, 2)
+    SELECT 'x' AS species, row, col, round(ln(1 + exp(a * 3 - b * 2 + 0.1)) + 1e-6, 6) + 0.0 AS conductance FROM m UNION ALL SELECT 'y', row, col, round(ln(1 + exp(b * 4 - 0.2)) + 1e-6, 6) + 0.0 FROM m""")
+def q_patch_encoding(spark, d):
+    """An encoder over Arrow batches of patches, and a head for each of two species."""
+    m = D.NetworkConductance(species=("x", "y"), patch_size=2, encoder=_mean_encoder, head=((3.0, 0.0, -2.0), (0.0, 0.0, 4.0)), bias=(0.1, -0.2))
+    return m.conductance(X.cells(spark, d)).select("species", "row", "col", tidy("conductance").alias("conductance"))
+
+
+@query(f"WITH {_MEMBERS} SELECT region, lft AS \"left\", rgt AS \"right\", round(sum(v / 3), 8) + 0.0 AS value FROM pred GROUP BY 1, 2, 3")
+def q_ensemble_predict(spark, d):
+    """Three straight-line models, asked together."""
+    members = tuple(K.GeneticsModel(D.StraightLine(patch_size=2, slope=(0.1 * k,), intercept=(0.03 * k,)), PLAIN) for k in (1.0, 1.25, 1.5))
+    p = K.Ensemble(members).predict(X.cells(spark, d), X.units(spark, d))
+    return p.select("region", "left", "right", tidy("value", 8).alias("value"))
+
+
+@query(f"""WITH {_MEMBERS}, f AS (SELECT member, corr(observed, v) AS p, 1 - sum(power(observed - v, 2)) / (var_pop(observed) * count(*)) AS q, sqrt(avg(power(observed - v, 2))) AS e FROM pred GROUP BY member)
+    SELECT 'pearson_r' AS score, round(avg(p), 6) + 0.0 AS mean, round(stddev_samp(p), 6) + 0.0 AS deviation FROM f
+    UNION ALL SELECT 'r2', round(avg(q), 6) + 0.0, round(stddev_samp(q), 6) + 0.0 FROM f UNION ALL SELECT 'rmse', round(avg(e), 6) + 0.0, round(stddev_samp(e), 6) + 0.0 FROM f""")
+def q_score_summary(spark, d):
+    p = _members(spark, d).select("member", F.col("value").alias("observed"), F.col("v").alias("predicted"))
+    return K.score_summary(K.scores(p, ["member"])).select("score", tidy("mean").alias("mean"), tidy("deviation").alias("deviation"))
+
+
+# --- solvers
+
+
+@query(_CHAIN)
+def q_resistance_cg_chain(spark, d):
+    """The raster of one row by conjugate gradients."""
+    v = _chain(spark, d)
+    r = resistances(v, v.select("region", F.col("row").alias("vr"), F.col("col").alias("vc")), solver="cg")
+    return r.select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance", 4).alias("resistance"))
+
+
+@query(_CHAIN)
+def q_resistance_dense_chain(spark, d):
+    """And by the pseudo-inverse."""
+    v = _chain(spark, d)
+    r = resistances(v, v.select("region", F.col("row").alias("vr"), F.col("col").alias("vc")), solver="dense")
+    return r.select(F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance", 4).alias("resistance"))
+
+
+@query("""WITH s AS (SELECT r_name AS region, 6 + 3 * r_regionkey AS n FROM region), c AS (SELECT region, CAST(unnest(range(n)) AS INTEGER) AS k FROM s)
+    SELECT a.region, a.k AS a, b.k AS b, CAST(b.k - a.k AS DOUBLE) AS resistance FROM c a JOIN c b ON a.region = b.region AND a.k < b.k""")
+def q_unit_resistances(spark, d):
+    """Rasters of one row, of a length for each region, at a conductance of 1."""
+    shapes = X.table(spark, d, "region").select(F.col("r_name").alias("region"), F.lit(1).alias("n_rows"), (6 + 3 * F.col("r_regionkey")).cast("int").alias("n_cols"))
+    ends = shapes.select("region", F.lit(0).alias("vr"), F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("vc"))
+    return unit_resistances(shapes, ends).select("region", F.col("c1").alias("a"), F.col("c2").alias("b"), tidy("resistance").alias("resistance"))
+
+
+# --- training, one step at a time
+
+
+_STEP = """l AS (SELECT region, value AS v, sqrt(power(floor(lr / 2) - floor(rr / 2), 2) + power(floor(lc / 2) - floor(rc / 2), 2)) AS x FROM obs),
+    p AS (SELECT region, x, v, 0.1::DOUBLE * x + 0.03::DOUBLE AS s FROM l), e AS (SELECT region, x, 2 * (ln(1 + s) - ln(1 + v)) / (1 + s) AS g FROM p),
+    r AS (SELECT region, avg(g * x) AS a, avg(g) AS b FROM e GROUP BY region), t AS (SELECT sum(a) / count(*) AS a, sum(b) / count(*) AS b FROM r)"""
+
+
+def _raster_for_all(spark, d):
+    """The raster under each region's name."""
+    regions = F.explode(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))))
+    return X.cells(spark, d).select(regions.alias("region"), "row", "col", "features")
+
+
+def _line_step(spark, d, optimizer, **more):
+    config = T.TrainingConfig(steps=1, eval_every=1, optimizer=optimizer, **more)
+    m, _ = T.train(_raster_for_all(spark, d), X.observations(spark, d), LINE, PLAIN, config)
+    return spark.createDataFrame([(round(m.slope[0], 7), round(m.intercept[0], 7))], "slope double, intercept double")
+
+
+@query(f"WITH {OBS}, {_STEP} SELECT round(0.1 - 0.005 * a, 7) + 0.0 AS slope, round(0.03 - 0.005 * b, 7) + 0.0 AS intercept FROM t")
+def q_train_line_descent(spark, d):
+    """One update of a straight-line model by gradient descent."""
+    return _line_step(spark, d, T.Descent(0.005))
+
+
+@query(f"WITH {OBS}, {_STEP} SELECT round(0.1 - 0.05 * (a / (abs(a) + 1e-8) + 0.01 * 0.1), 7) + 0.0 AS slope, round(0.03 - 0.05 * (b / (abs(b) + 1e-8) + 0.01 * 0.03), 7) + 0.0 AS intercept FROM t")
+def q_train_line_adam(spark, d):
+    """One update by Adam with decay: the first moves each parameter by the rate."""
+    return _line_step(spark, d, T.Adam(0.05, decay=0.01))
+
+
+@query(f"""WITH {OBS}, {_STEP} SELECT round(0.1 - 0.005 * (a + (0.1 - 0.5) / 0.09 / n), 7) + 0.0 AS slope, round(0.03 - 0.005 * b, 7) + 0.0 AS intercept FROM t, (SELECT count(*) AS n FROM obs)""")
+def q_train_line_penalty(spark, d):
+    """One update with a penalty on the slope, divided by the training pairs."""
+    return _line_step(spark, d, T.Descent(0.005), penalty=T.ridge({"slope": 0.5}, 0.3, where="slope"))
+
+
+@query(f"""WITH {IBD} SELECT region, round(avg(s), 8) + 0.0 AS center, round(stddev_samp(s), 8) + 0.0 AS scale, round(0.25 * var_samp(ln(1 + value)), 8) + 0.0 AS unit_variance,
+    round(0.5 * var_samp(ln(1 + value)), 8) + 0.0 AS residual_variance, count(*) AS pairs, false AS converged, CAST(5 AS INTEGER) AS units FROM ibd GROUP BY region""")
+def q_training_calibration(spark, d):
+    """The calibrations that training with population effects leaves at its start."""
+    o, u = X.observations(spark, d), X.units(spark, d)
+    m, state = T.train(_raster_for_all(spark, d), o, LINE, _LOG1P, T.TrainingConfig(loss="mlpe", steps=0), units=u)
+    c = T.trained(spark, m, state, _LOG1P, pairs=o).calibrations
+    return c.select(
+        "region", tidy("distance_center", 8).alias("center"), tidy("distance_scale", 8).alias("scale"), tidy("unit_variance", 8).alias("unit_variance"),
+        tidy("residual_variance", 8).alias("residual_variance"), "pairs", "converged", F.size("population_ids").alias("units"),
+    )
+
+
+@query("""WITH v AS (SELECT avg(l_discount) * 10 AS t FROM lineitem) SELECT round(7 / t, 4) + 0.0 AS conductance FROM v""")
+def q_uniform_start(spark, d):
+    """Two units seven vertices apart: the best uniform conductance gives the measured value itself."""
+    cells = spark.range(8).select(F.lit("row").alias("region"), F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), F.array(F.lit(0.5)).alias("features"))
+    unit = lambda n, k: F.struct(F.lit("row").alias("region"), F.lit(None).cast("string").alias("species"), F.lit(n).alias("unit"), F.lit(k).alias("unit_ord"), F.lit(0).alias("row"), F.lit(7 * k).alias("col"))
+    units = spark.range(1).select(F.inline(F.array(unit("a", 0), unit("b", 1))))
+    value = X.table(spark, d, "lineitem").agg((F.avg("l_discount") * 10).alias("value")).withColumn("region", F.lit("row"))
+    pair = A.unit_pairs(units).join(value, "region")
+    start = T.initialize_uniform_conductance(D.LogLinear(beta=((1.0,),), bias=(9.0,), lowest=0.01, highest=1000.0), cells, units, pair, PLAIN)
+    return start.conductance(cells).select(tidy("conductance", 4).alias("conductance")).distinct()
+
+
+def _network(spark, d, model, steps):
+    """Whether a few updates lower a network's loss, and by what it was trained."""
+    u = X.study_units(spark, d)
+    o = A.unit_pairs(u)
+    for side in ("left", "right"):
+        own = u.select(F.col("unit").alias("_u"), F.col("bal").alias(f"_{side}"))
+        o = o.join(own, o[side] == own["_u"]).drop("_u")
+    o = o.withColumn("value", F.abs(F.col("_left") - F.col("_right")) / (F.abs("_left") + F.abs("_right") + 1)).drop("_left", "_right")
+    _, state = T.train(X.cells(spark, d), o, model, PLAIN, T.TrainingConfig(steps=steps, eval_every=steps, optimizer=T.Adam(0.01)))
+    losses = [v for _, split, scope, _, v in state.history if split == "train" and scope == "all"]
+    return spark.createDataFrame([(type(model).__name__, losses[-1] < losses[0])], "model string, improved boolean")
+
+
+@query("SELECT 'NetworkConductance' AS model, true AS improved")
+def q_train_resnet(spark, d):
+    from gridkin.operators.networks import ResNet9
+
+    return _network(spark, d, D.NetworkConductance(patch_size=4, encoder=ResNet9.random(3, (8, 8, 8), seed=1), head=(tuple([0.1] * 8),), bias=(0.2,)), 6)
+
+
+@query("SELECT 'UNetEmbedding' AS model, true AS improved")
+def q_train_unet(spark, d):
+    from gridkin.operators.networks import UNet, UNetEmbedding
+
+    return _network(spark, d, UNetEmbedding(patch_size=2, network=UNet.random(3, 2, 8, 6, seed=2)), 6)

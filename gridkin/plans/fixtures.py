@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,23 @@ IBD = f"""{OBS}, ibd AS (SELECT region, lft, rgt, value,
     0.1::DOUBLE * sqrt(power(floor(lr / 2) - floor(rr / 2), 2) + power(floor(lc / 2) - floor(rc / 2), 2)) + 0.03::DOUBLE AS s FROM obs)"""
 
 
+@contextmanager
+def shared_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder that driver and executors share, and that goes at the end: in spark.checkpoint.dir, or a temporary
+    one in local sessions without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/gridkin-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        yield path
+    finally:
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 

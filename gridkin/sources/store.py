@@ -26,17 +26,19 @@ def _fs(spark: SparkSession, path: str):
 
 def _params(model: DistanceModel) -> list[tuple[str, str, list[int], float]]:
     out = []
-    for name, value in (model.params() if hasattr(model, "params") else {}).items():
+    for name, value in model.params().items():
         out += [(type(model).__name__, name, [int(i) for i in at], float(v)) for at, v in np.ndenumerate(np.asarray(value, float))]
     return out
 
 
 def save_model(spark: SparkSession, path: str, model: GeneticsModel) -> None:
-    """Write params, calibrations and metadata beside path, then rename: path holds a whole model or what it held before."""
+    """Write params, calibrations and metadata beside path, then rename: path holds a whole model or what it held
+    before. A model without parameters of its own (see DistanceModel.params) is refused."""
     new, old = f"{path}.new", f"{path}.old"
     meta = {
         "format": FORMAT, "kind": type(model.distance).__name__, "species": list(model.distance.species), "patch_size": model.distance.patch_size,
-        "target": vars(model.target), "features": list(model.features), "head": "mlpe" if model.calibrations is not None else "direct",
+        "target": vars(model.target), "features": list(model.features), "head": model.head.name,
+        "shapes": {k: list(np.shape(v)) for k, v in model.distance.params().items()},
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{new}/metadata")
     spark.createDataFrame(_params(model.distance), "model string, name string, idx array<int>, value double").write.mode("overwrite").parquet(f"{new}/params")
@@ -74,21 +76,20 @@ def load_model(spark: SparkSession, path: str, template: DistanceModel) -> Genet
         raise ArtifactError(f"{path} holds a {meta['kind']}, not a {type(template).__name__}")
     if len(meta["species"]) != len(template.species):
         raise ArtifactError(f"{path} has {len(meta['species'])} species, the template {len(template.species)}")
-    rows = spark.read.parquet(f"{path}/params").collect()  # the parameters of one model
-    arrays: dict[str, np.ndarray] = {}
-    for name in {r.name for r in rows}:
-        own = [r for r in rows if r.name == name]
-        arrays[name] = np.zeros([max(r.idx[k] for r in own) + 1 for k in range(len(own[0].idx))])
-        for r in own:
-            arrays[name][tuple(r.idx)] = r.value
+    want = {k: list(np.shape(v)) for k, v in template.params().items()}
+    if meta["shapes"] != want:
+        raise ArtifactError(f"{path} has parameters of the shapes {meta['shapes']}, the template {want}")
+    arrays = {name: np.zeros(shape) for name, shape in meta["shapes"].items()}
+    for r in spark.read.parquet(f"{path}/params").collect():  # the parameters of one model
+        arrays[r.name][tuple(r.idx)] = r.value
     from dataclasses import replace
 
-    model = replace(template.with_params(arrays) if arrays else template, species=tuple(meta["species"]), patch_size=meta["patch_size"])
+    model = replace(template.with_params(arrays), species=tuple(meta["species"]), patch_size=meta["patch_size"])
     calibrations: DataFrame | None = None
     if meta["head"] == "mlpe":
         calibrations = spark.read.parquet(f"{path}/calibrations")
         if "converged" in calibrations.columns:
             from pyspark.sql import functions as F
 
-            calibrations = calibrations.withColumn("converged", F.lit(False))
+            calibrations = calibrations.withColumn("converged", F.lit(False)).withColumn("message", F.lit("loaded"))
     return GeneticsModel(model, TargetSpec(**meta["target"]), tuple(meta["features"]), calibrations)

@@ -169,7 +169,9 @@ def test_snapping(spark, name, rows, points):
 def test_pairs_keep_their_direction_but_match_either_way(spark):
     o = spark.createDataFrame([("r", None, "b", "a", 1.0), ("r", "s", "a", "c", 2.0)], "region string, species string, left string, right string, value double")
     w = spark.createDataFrame([("r", None, "a", "b"), ("r", "s", "c", "d")], "region string, species string, left string, right string")
-    assert [(r.left, r.right) for r in A.select_pairs(o, w).collect()] == [("b", "a")]
+    assert [(r.left, r.right) for r in A.select_pairs(o, w.where("left = 'a'")).collect()] == [("b", "a")]
+    with pytest.raises(ValueError, match="c-d"):
+        A.select_pairs(o, w)
     assert [(r.left, r.right) for r in A.missing_pairs(o, w).collect()] == [("c", "d")]
 
 
@@ -300,23 +302,29 @@ def test_networks():
     u = N.UNet.random(2, 2, 8, 6)
     for shape in ((5, 7), (8, 8), (1, 2)):
         assert u(np.zeros((1, 8, *shape))).shape == (1, 6, *shape)
-    assert (N.dropout(np.ones((2, 4, 1, 1)), 0.5, 1, False) == 1).all()
+    assert (N.dropout_mask((2, 4), 0.5, None) == 1).all() and set(np.unique(N.dropout_mask((20, 40), 0.5, 1))) == {0.0, 2.0}
 
 
 def test_wishart():
-    rng = np.random.default_rng(21)
-    cov = 0.6 ** np.abs(np.subtract.outer(range(4), range(4)))
-    y = np.linalg.cholesky(cov) @ rng.normal(size=(4, 11))
+    rng = np.random.default_rng(5)
+    n, markers = 5, 17
+    root = rng.normal(size=(n, n)) * 0.3 + np.eye(n)
+    cov = root @ root.T
+    y = root @ rng.normal(size=(n, markers))
     d = ((y[:, None] - y[None]) ** 2).sum(2)
-    h = W.helmert(4)
-    np.testing.assert_allclose(h @ h.T, np.eye(3), atol=1e-12)
-    np.testing.assert_allclose(W.scatter_matrix(d, 11), h @ y @ y.T @ h.T, atol=1e-9)
-    # one contrast: a scaled chi-square with 11 degrees of freedom
-    s, v = 3.7, 1.4
-    chi = (11 / 2 - 1) * math.log(s / v) - s / v / 2 - 11 / 2 * math.log(2) - math.lgamma(11 / 2) - math.log(v)
-    assert W.log_density(np.array([[s]]), np.array([[v]]), 11) == pytest.approx(chi)
-    assert W.log_likelihood(d / 11, cov, 11, averaged=True) == pytest.approx(W.log_likelihood(d, cov, 11) + 6 * math.log(11))
-    assert math.isfinite(W.held_out(d, cov, 11, [0, 1, 2]))
-    assert W.graph_diagnostic(d, np.abs(np.subtract.outer(range(4), range(4))) * 1.0, 11, 1.0, 0.5)["decision"] == "no_go"
+    h = W.helmert(n)
+    np.testing.assert_allclose(h @ h.T, np.eye(n - 1), atol=1e-12)
+    np.testing.assert_allclose(W.scatter_matrix(d, markers), h @ y @ y.T @ h.T, atol=1e-9)
+    # one contrast: a scaled chi-square
+    s, v, k = 2.9, 0.8, 9
+    chi = (k / 2 - 1) * math.log(s / v) - s / v / 2 - k / 2 * math.log(2) - math.lgamma(k / 2) - math.log(v)
+    assert W.log_density(np.array([[s]]), np.array([[v]]), k) == pytest.approx(chi)
+    shift = n * (n - 1) / 2 * math.log(markers)
+    assert W.log_likelihood(d / markers, cov, markers, averaged=True) == pytest.approx(W.log_likelihood(d, cov, markers) + shift)
+    assert math.isfinite(W.held_out(d, cov, markers, [0, 1, 3]))
+    far = np.abs(np.subtract.outer(range(n), range(n))) * 1.0
+    assert W.graph_diagnostic(d, far, markers, 1.0, 0.5)["decision"] == "no_go"
     with pytest.raises(W.WishartError):
-        W.scatter_matrix(d, 2)
+        W.scatter_matrix(d, n - 2)
+    with pytest.raises(W.WishartError):  # all populations alike: the scatter is singular
+        W.log_likelihood(np.zeros((4, 4)), np.eye(4), 9)
