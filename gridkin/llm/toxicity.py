@@ -34,12 +34,15 @@ GRAMS = (3, 5, 7)
 SAMPLE = 3000
 #: Bytes of all drawn texts together; where they are longer, fewer are drawn, each of them whole.
 TRAINING_BYTES = 32_000_000
-#: Windows whose states training holds at a time.
+#: Windows whose states training holds at a time; more are run twice.
 TRAINING_WINDOWS = 4096
+#: Windows that run together, so that a step's arrays stay in the processor's cache; distinct words whose
+#: character sequences are summed together.
+WINDOWS_AT_A_TIME, WORDS_AT_A_TIME = 768, 8192
 #: Updates that training makes at least.
 LEAST_UPDATES = 200
 #: UTF-8 bytes of text scored at a time.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 2_000_000
 
 
 def _word_bytes() -> np.ndarray:
@@ -126,78 +129,117 @@ def initial(seed: int = 3) -> dict[str, np.ndarray]:
 
 def inputs(p: dict, t: Tokens) -> np.ndarray:
     """The input vector of each distinct word."""
-    edge = np.searchsorted(t.gram_of, np.arange(len(t.word_row)))
-    sums = np.add.reduceat(p["char"][t.gram_row], edge) if len(edge) else np.zeros((0, WIDE), np.float32)
-    return p["word"][t.word_row] + sums / np.sqrt(np.bincount(t.gram_of, minlength=len(t.word_row))[:, None]).astype(np.float32)
+    edge = np.searchsorted(t.gram_of, np.arange(len(t.word_row) + 1))
+    out = p["word"][t.word_row]
+    for a in range(0, len(out), WORDS_AT_A_TIME):
+        cuts = edge[a : a + WORDS_AT_A_TIME + 1]
+        sums = np.add.reduceat(p["char"][t.gram_row[cuts[0] : cuts[-1]]], cuts[:-1] - cuts[0])
+        out[a : a + WORDS_AT_A_TIME] += sums / np.sqrt(np.diff(cuts)).astype(out.dtype)[:, None]
+    return out
 
 
-def _gru(x: np.ndarray, live: np.ndarray, rec: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States (steps, windows, UNITS) of a gated recurrent unit. x: (steps, windows, 3 UNITS), in
-    projections for the reset, update and candidate parts; a state stays where live is False."""
-    h, out, saved = np.zeros((x.shape[1], UNITS), np.float32), np.empty((*x.shape[:2], UNITS), np.float32), []
-    for s in range(len(x)):
-        g = h @ rec
-        gates = sigmoid(x[s, :, : 2 * UNITS] + g[:, : 2 * UNITS])
-        r, z = gates[:, :UNITS], gates[:, UNITS:]
-        n = np.tanh(x[s, :, 2 * UNITS :] + r * g[:, 2 * UNITS :])
-        new = h + live[s][:, None] * (1 - z) * (n - h)
-        if keep:
-            saved.append((h, r, z, n, g[:, 2 * UNITS :]))
-        h = out[s] = new
-    return out, saved
+def projected(p: dict, t: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The input vector of each distinct word, and for either direction what it adds to the reset, update and
+    candidate parts. Sigmoids are taken as tanh of half their argument, so those parts come halved."""
+    x = inputs(p, t)
+    return x, [(x @ p[f"in_{d}"] + p[f"bias_{d}"]) * _halved(x.dtype) for d in "fb"]
 
 
-def forward(p: dict, t: Tokens, first: np.ndarray, size: np.ndarray, keep: bool = False):
-    """Logit of each window; with keep, what backward() needs."""
-    x = inputs(p, t)
+def _halved(dtype: np.dtype) -> np.ndarray:
+    return np.repeat(np.array([0.5, 1.0], dtype), [2 * UNITS, UNITS])
+
+
+def forward(p: dict, t: Tokens, first: np.ndarray, size: np.ndarray, keep: bool = False, ready: tuple | None = None):
+    """Logit of each window; with keep, what backward() needs. ready: projected(p, t), where it is at hand.
+
+    Both directions run at once, the backward one over the words from the last; a state stays as it is
+    beyond the end of a window. Attention needs two numbers of each state: its weight and its share of the logit.
+    """
+    x, proj = ready or projected(p, t)
+    kind, n = proj[0].dtype, len(first)
     step = np.arange(WINDOW)[:, None]
-    live = (step < size[None, :]).astype(np.float32)
+    live = (step < size[None, :]).astype(kind)
     ids = t.word[np.minimum(first[None, :] + step, len(t.word) - 1)]
-    hf, sf = _gru((x @ p["in_f"] + p["bias_f"])[ids], live, p["rec_f"], keep)
-    hb, sb = _gru((x @ p["in_b"] + p["bias_b"])[ids[::-1]], live[::-1], p["rec_b"], keep)
-    h = np.concatenate([hf, hb[::-1]], 2)
-    e = np.where(live > 0, h @ p["attend"], -1e9)
+    rec = np.stack([p["rec_f"], p["rec_b"]]) * _halved(kind)
+    read = np.stack([np.stack([p[k][i : i + UNITS] for k in ("attend", "out")], 1) for i in (0, UNITS)]).astype(kind)
+    h, seen, saved = np.zeros((2, n, UNITS), kind), np.zeros((2, WINDOW, n, 2), kind), []
+    add, m = np.empty((2, n, 3 * UNITS), kind), np.empty((2, n, 1), kind)
+    for s in range(WINDOW):
+        r = WINDOW - 1 - s
+        np.take(proj[0], ids[s], axis=0, out=add[0])
+        np.take(proj[1], ids[r], axis=0, out=add[1])
+        m[0, :, 0], m[1, :, 0] = live[s], live[r]
+        g = h @ rec
+        gates = np.tanh(add[..., : 2 * UNITS] + g[..., : 2 * UNITS])
+        gates += 1
+        gates *= 0.5
+        reset, update, cand = gates[..., :UNITS], gates[..., UNITS:], g[..., 2 * UNITS :]
+        new = np.tanh(add[..., 2 * UNITS :] + reset * cand)
+        if keep:
+            saved.append((h, reset, update, new, cand, m.copy()))
+        h = h + m * ((1 - update) * (new - h))
+        told = h @ read
+        seen[0, s], seen[1, r] = told[0], told[1]
+    weight, share = (seen[0] + seen[1]).transpose(2, 0, 1)
+    e = np.where(live > 0, weight, -1e9)
     a = np.exp(e - e.max(0))
     a /= a.sum(0)
-    c = (a[:, :, None] * h).sum(0)
-    logit = c @ p["out"] + p["out_bias"][0]
-    return (logit, (x, ids, live, h, a, c, sf, sb)) if keep else logit
+    logit = (a * share).sum(0) + p["out_bias"][0]
+    return (logit, (x, ids, a, share, read, saved)) if keep else logit
+
+
+def pulled(p: dict, t: Tokens, state: tuple, d_logit: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients by the recurrent and read-out parameters, and (as proj_f, proj_b) by the projections of each
+    distinct word."""
+    x, ids, a, share, read, saved = state
+    d_share = a * d_logit
+    d_weight = d_share * (share - (a * share).sum(0))
+    told = np.stack([d_weight, d_share], 2)  # by the two numbers of each state
+    g: dict[str, np.ndarray] = {"out_bias": np.array([d_logit.sum()])}
+    rec = np.stack([p["rec_f"], p["rec_b"]])
+    by_proj, by_rec = np.empty((2, *ids.shape, 3 * UNITS), x.dtype), np.zeros_like(rec)
+    by_read, carry = np.zeros((2, UNITS, 2), x.dtype), np.zeros_like(saved[0][0])
+    for s in range(len(ids) - 1, -1, -1):
+        prev, r, z, new, cand, m = saved[s]
+        now = np.stack([told[s], told[len(ids) - 1 - s]]).astype(x.dtype)
+        h = prev + m * ((1 - z) * (new - prev))
+        by_read += h.transpose(0, 2, 1) @ now
+        total = now @ read.transpose(0, 2, 1) + carry
+        kept = total * m
+        dz = -kept * (new - prev) * z * (1 - z)
+        dn = kept * (1 - z) * (1 - new * new)
+        dr = dn * cand * r * (1 - r)
+        by_proj[:, s, :, :UNITS], by_proj[:, s, :, UNITS : 2 * UNITS], by_proj[:, s, :, 2 * UNITS :] = dr, dz, dn
+        dg = np.concatenate([dr, dz, dn * r], 2)
+        by_rec += prev.transpose(0, 2, 1) @ dg
+        carry = total * (1 - m * (1 - z)) + dg @ rec.transpose(0, 2, 1)
+    g["attend"], g["out"] = (np.concatenate([by_read[0, :, k], by_read[1, :, k]]) for k in (0, 1))
+    place = np.arange(3 * UNITS)
+    for k, (d, at) in enumerate((("f", ids), ("b", ids[::-1]))):
+        flat = (at.reshape(-1, 1) * (3 * UNITS) + place).ravel()
+        g |= {f"rec_{d}": by_rec[k], f"proj_{d}": np.bincount(flat, by_proj[k].ravel(), minlength=3 * UNITS * len(x)).reshape(len(x), 3 * UNITS)}
+    return g
 
 
-def backward(p: dict, t: Tokens, state: tuple, d_logit: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of a loss whose derivative by each window's logit is d_logit."""
-    x, ids, live, h, a, c, sf, sb = state
-    g = {"out": c.T @ d_logit, "out_bias": np.array([d_logit.sum()])}
-    dc = d_logit[:, None] * p["out"]
-    da = (h * dc[None]).sum(2)
-    de = a * (da - (a * da).sum(0))
-    g["attend"] = np.einsum("sw,swu->u", de, h)
-    dh = a[:, :, None] * dc[None] + de[:, :, None] * p["attend"]
-    dx = np.zeros_like(x)
-    for d, saved, out, mask, idx in (("f", sf, dh[:, :, :UNITS], live, ids), ("b", sb, dh[::-1, :, UNITS:], live[::-1], ids[::-1])):
-        rec, dproj, drec, carry = p[f"rec_{d}"], np.empty((*ids.shape, 3 * UNITS), np.float32), np.zeros((UNITS, 3 * UNITS), np.float32), 0.0
-        for s in range(len(ids) - 1, -1, -1):
-            prev, r, z, n, gn = saved[s]
-            m = mask[s][:, None]
-            total = out[s] + carry
-            dz = -total * m * (n - prev) * z * (1 - z)
-            dn = total * m * (1 - z) * (1 - n * n)
-            dr = dn * gn * r * (1 - r)
-            dproj[s] = np.concatenate([dr, dz, dn], 1)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            drec += prev.T @ dg
-            carry = total * (1 - m * (1 - z)) + dg @ rec.T
-        flat, at = dproj.reshape(-1, 3 * UNITS), idx.reshape(-1)
-        by_word = np.stack([np.bincount(at, flat[:, k], minlength=len(x)) for k in range(3 * UNITS)], 1).astype(np.float32)
-        g |= {f"rec_{d}": drec, f"bias_{d}": by_word.sum(0), f"in_{d}": x.T @ by_word}
+def finished(p: dict, t: Tokens, x: np.ndarray, g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Gradients by all parameters from what pulled() gives, summed over the windows."""
+    dx = np.zeros((len(x), WIDE))
+    for d in "fb":
+        by_word = g.pop(f"proj_{d}")
+        g |= {f"bias_{d}": by_word.sum(0), f"in_{d}": x.T @ by_word}
         dx += by_word @ p[f"in_{d}"].T
     share = dx / np.sqrt(np.bincount(t.gram_of, minlength=len(x)))[:, None]
-    each = share[t.gram_of]
-    g["char"] = np.stack([np.bincount(t.gram_row, each[:, k], minlength=CHARS) for k in range(WIDE)], 1)
-    g["word"] = np.stack([np.bincount(t.word_row, dx[:, k], minlength=WORDS) for k in range(WIDE)], 1)
+    place = np.arange(WIDE)
+    for name, row, by, n in (("char", t.gram_row, share[t.gram_of], CHARS), ("word", t.word_row, dx, WORDS)):
+        g[name] = np.bincount((row[:, None] * WIDE + place).ravel(), by.ravel(), minlength=n * WIDE).reshape(n, WIDE)
     return g
 
 
+def backward(p: dict, t: Tokens, state: tuple, d_logit: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of a loss whose derivative by each window's logit is d_logit."""
+    return finished(p, t, state[0], pulled(p, t, state, d_logit))
+
+
 def top_windows(logit: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """The highest logit of each of n texts; -inf where a text has no window."""
     out = np.full(n, -np.inf)
@@ -220,29 +262,28 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 8, batch: int
             of, first, size = windows(t.counts)
             if not len(of):
                 continue
-            parts = [slice(i, i + TRAINING_WINDOWS) for i in range(0, len(of), TRAINING_WINDOWS)]
-            if len(parts) == 1:
-                logit, state = forward(p, t, first, size, keep=True)
-            else:
-                logit = np.concatenate([forward(p, t, first[i], size[i]) for i in parts])
+            parts = [slice(i, i + WINDOWS_AT_A_TIME) for i in range(0, len(of), WINDOWS_AT_A_TIME)]
+            ready, held = projected(p, t), len(of) <= TRAINING_WINDOWS
+            runs = [forward(p, t, first[i], size[i], held, ready) for i in parts]
+            logit = np.concatenate([r[0] if held else r for r in runs])
             y = labels[own].astype(np.float32)
             one = sigmoid(logit)
             none = np.exp(np.bincount(of, np.log1p(-np.minimum(one, 1 - 1e-6)), minlength=len(own)))  # no window is toxic
             odds = none / np.maximum(1 - none, 1e-6)
             d = np.where(y[of] > 0, -one * odds[of], one).astype(np.float32) / len(own)
-            if len(parts) == 1:
-                g = backward(p, t, state, d)
-            else:
-                g = {k: np.zeros(x.shape) for k, x in p.items()}
-                for i in parts:
-                    for k, x in backward(p, t, forward(p, t, first[i], size[i], keep=True)[1], d[i]).items():
-                        g[k] += x
+            g: dict[str, np.ndarray] = {}
+            for i, r in zip(parts, runs, strict=True):
+                state = r[1] if held else forward(p, t, first[i], size[i], True, ready)[1]
+                for k, x in pulled(p, t, state, d[i]).items():
+                    g[k] = g[k] + x if k in g else x
+            g = finished(p, t, ready[0], g)
             step += 1
             lr = rate * (1 - 0.9 * epoch / epochs)
             for k in p:
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.01 * (g[k] * g[k] - v[k])
-                p[k] = (p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                d = g[k].astype(np.float32)
+                m[k] += np.float32(0.1) * (d - m[k])
+                v[k] += np.float32(0.01) * (d * d - v[k])
+                p[k] -= np.float32(lr / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
     return p
 
 
@@ -253,7 +294,8 @@ def score_texts(p: dict, texts: list[bytes]) -> np.ndarray:
         t = tokens(some)
         of, first, size = windows(t.counts)
         if len(of):
-            logit = np.concatenate([forward(p, t, first[i : i + 8192], size[i : i + 8192]) for i in range(0, len(of), 8192)])
+            ready, n = projected(p, t), WINDOWS_AT_A_TIME
+            logit = np.concatenate([forward(p, t, first[i : i + n], size[i : i + n], ready=ready) for i in range(0, len(of), n)])
             top = top_windows(logit, of, len(some))
             out[at : at + len(some)] = np.where(np.isfinite(top), sigmoid(top), 0.0)
     return out
@@ -263,12 +305,15 @@ def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
 ) -> dict[str, np.ndarray] | None:
     """Train on texts of docs whose id labels gives a label of 0 or 1, at most sample of them, drawn by a
-    hash of the id; None if either label is missing. A drawn text is learned whole: where the drawn
-    ones have more than TRAINING_BYTES together, the draw ends earlier, but not before each label has a text.
+    hash of the id; None if either label is missing, as of an empty table. A drawn text is learned whole:
+    where the drawn ones have more than TRAINING_BYTES together, the draw ends earlier, but not before
+    each label has a text. An id with several labels is toxic if one says so, an id with several texts
+    is learned by one of them (that of the least hash); null ids, texts and labels teach nothing. Other
+    columns are left alone.
 
     The draw is made among the labels, so that texts are read in place and only drawn ones move.
     """
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -276,10 +321,11 @@ def fit(
     want = {1: ones, 0: min(counts[0], sample - ones, max(2 * ones, 200))}
     u = F.pmod(F.xxhash64("_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     part = F.when(F.col("y") == 1, F.lit(1.2 * want[1] / counts[1])).otherwise(F.lit(1.2 * want[0] / counts[0]))
-    some = rows.withColumn("u", u).where(F.col("u") < part).limit(2 * sample)
+    some = rows.withColumn("u", u).where(F.col("u") < part).orderBy("u", "_id").limit(2 * sample)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null")
     found = own.join(F.broadcast(some), "_id")  # 2 * sample ids at most
-    found = written(found.select("y", "u", F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"), "text"), shared_dir(docs.sparkSession), "drawn")
+    found = found.groupBy("_id", "y", "u").agg(F.min(F.struct(F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"), "text")).alias("c"))
+    found = written(found.select("y", "u", "c.*"), shared_dir(docs.sparkSession), "drawn")
     left, last, taken = TRAINING_BYTES, {}, {0: 0, 1: 0}
     for r in sorted(found.select("y", "u", "t", "n").collect(), key=lambda r: (r.u, r.t)):
         if taken[r.y] < want[r.y]:
