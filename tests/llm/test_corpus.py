@@ -173,7 +173,8 @@ def test_shard(spark):
 def test_shard_parts():
     assert sorted(set(deal([5, 5, 5, 100, 5, 5], 2))) == [0, 1]
     hot = [(9, t, 1.0) for t in range(100)] + [(k, 0, 1.0) for k in range(20, 40)]
-    bounds = quantile_bounds(hot, 10)
+    assert not any(k == 9 and t > -(1 << 63) for k, t in quantile_bounds(hot, 12.0, set()))
+    bounds = quantile_bounds(hot, 12.0, {9})
     assert (9, -(1 << 63)) in bounds and sum(k == 9 for k, _ in bounds) >= 6
 
 

@@ -47,3 +47,25 @@ def test_stages(spark, sf):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = Counter((r.doc_id, hashlib.sha256(" ".join(map(str, own.encode_ordinary(r.text))).encode()).hexdigest()) for r in frames["mixture"])
     assert Counter((r.doc_id, r.ids_sha256) for r in frames["tokens"]) == want
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, empty, long, tied and repeated texts, clashing names, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, size long, row string, _sha string"
+    row = lambda i, text, source=None: (i, text, None, source, None, None, None, None, None, "x")
+    long = " ".join(f"word{i % 977}" for i in range(20_000))
+    rows = [
+        row(1, "the same text here"), row(2, "THE SAME text here", "s"), row(2, "THE SAME text here", "s"), row(None, None), row(3, ""), row(4, "12 34"),
+        row(5, long), row(6, long + " end"), row(None, "letters without an id"),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0
+        out = stage(spark, docs, sf).persist()
+        ids[name] = sorted((r.doc_id or 0) for r in out.collect())
+        if name != "tokens":
+            assert out.columns == docs.columns
+            docs = out
+    assert ids["language"] == [0, 1, 2, 2, 5, 6] and ids["exact"] == [0, 2, 5, 6] and ids["near"] == [0, 2, 5]
+    assert set(ids["tokens"]) <= {0, 2, 5} and len(ids["tokens"]) == len(ids["mixture"]) >= 1
