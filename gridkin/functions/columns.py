@@ -84,10 +84,6 @@ def straight_distance(d_row: Column, d_col: Column, slope: float, intercept: flo
     return F.lit(slope) * F.sqrt(d_row * d_row + d_col * d_col) + F.lit(intercept)
 
 
-def standardized(distance: Column, center: Column, scale: Column) -> Column:
-    return (distance - center) / scale
-
-
 def relative_log10(conductance: Column, reference: Column) -> Column:
     """log10 of resistance relative to a reference class."""
     return F.log10(reference / conductance)

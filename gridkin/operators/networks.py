@@ -8,7 +8,6 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridkin.operators.alignment import unit_vertices
 from gridkin.operators.models import EmbeddingModel, Params, flat_patches, patches
@@ -161,16 +160,3 @@ def dropout_mask(shape: tuple[int, int], rate: float, seed: int | None) -> np.nd
     if seed is None or rate == 0:
         return np.ones(shape)
     return (np.random.default_rng(seed).random(shape) >= rate) / (1 - rate)
-
-
-def latent_values(cells: DataFrame, patch_size: int, encoder) -> DataFrame:
-    """region, row, col, latent: the encoder's vector of each patch."""
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                x = np.stack([np.stack([np.asarray(c["features"], np.float32) for c in cs]) for cs in batch["cells"]])
-                z = encoder(x.reshape(len(batch), patch_size, patch_size, -1).transpose(0, 3, 1, 2))
-                yield pd.DataFrame({"region": batch["region"], "row": batch["row"], "col": batch["col"], "latent": list(np.asarray(z, float))})
-
-    return patches(cells, patch_size).select("region", "row", "col", F.col("cells")).mapInPandas(run, "region string, row int, col int, latent array<double>")

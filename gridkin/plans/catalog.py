@@ -1047,3 +1047,55 @@ def q_train_unet(spark, d):
     from gridkin.operators.networks import UNet, UNetEmbedding
 
     return _network(spark, d, UNetEmbedding(patch_size=2, network=UNet.random(3, 2, 8, 6, seed=2)), 6)
+
+
+def _stepped(n: int, slope: str, intercept: str) -> str:
+    """SQL of the n-th update by gradient descent from these columns of the table before it."""
+    at = "l" if n == 1 else f"l, u{n - 1}"
+    return f"""g{n} AS (SELECT region, avg(2 * (ln(1 + {slope} * x + {intercept}) - ln(1 + v)) / (1 + {slope} * x + {intercept}) * x) AS a,
+        avg(2 * (ln(1 + {slope} * x + {intercept}) - ln(1 + v)) / (1 + {slope} * x + {intercept})) AS b, any_value({slope}) AS s, any_value({intercept}) AS i FROM {at} GROUP BY region),
+        u{n} AS (SELECT any_value(s) - 0.005 * avg(a) AS slope{n}, any_value(i) - 0.005 * avg(b) AS intercept{n} FROM g{n})"""
+
+
+@query(f"""WITH {OBS}, l AS (SELECT region, value AS v, sqrt(power(floor(lr / 2) - floor(rr / 2), 2) + power(floor(lc / 2) - floor(rc / 2), 2)) AS x FROM obs),
+    {_stepped(1, "0.1::DOUBLE", "0.03::DOUBLE")}, {_stepped(2, "slope1", "intercept1")} SELECT round(slope2, 7) + 0.0 AS slope, round(intercept2, 7) + 0.0 AS intercept FROM u2""")
+def q_train_continued(spark, d):
+    """An update, and another from where it ended."""
+    how = lambda steps: T.TrainingConfig(steps=steps, eval_every=1, optimizer=_DESCENT)
+    cells, o = _raster_for_all(spark, d), X.observations(spark, d)
+    _, half = T.train(cells, o, LINE, PLAIN, how(1))
+    m, _ = T.train(cells, o, LINE, PLAIN, how(2), state=half)
+    return spark.createDataFrame([(round(m.slope[0], 7), round(m.intercept[0], 7))], "slope double, intercept double")
+
+
+_DESCENT = T.Descent(0.005)
+
+
+def _history_table(spark, rows):
+    return spark.createDataFrame([(split, scope, key, round(v, 8)) for _, split, scope, key, v in rows], "split string, scope string, key string, loss double")
+
+
+@query(f"""WITH {IBD}, s AS (SELECT i.*, o.rc % 2 = 0 AS held FROM ibd i JOIN obs o USING (region, lft, rgt)),
+    l AS (SELECT CASE WHEN held THEN 'validation' ELSE 'train' END AS split, region, avg(power(ln(1 + s) - ln(1 + s.value), 2)) AS loss FROM s GROUP BY 1, 2)
+    SELECT split, 'all' AS scope, NULL AS key, round(avg(loss), 8) + 0.0 AS loss FROM l GROUP BY 1 UNION ALL SELECT split, 'region', region, round(loss, 8) + 0.0 FROM l""")
+def q_train_history(spark, d):
+    """What training notes before its first update, of training and validation pairs."""
+    o = X.observations(spark, d)
+    _, state = T.train(_raster_for_all(spark, d), o.where("right_col % 2 = 1"), LINE, PLAIN, T.TrainingConfig(steps=0), validation=o.where("right_col % 2 = 0"))
+    return _history_table(spark, state.history)
+
+
+@query(f"""WITH {UNITS}, l AS (SELECT a.ord % 2 AS s, abs(a.bal - b.bal) / (abs(a.bal) + abs(b.bal) + 1) AS v, sqrt(power(floor(a.r / 2) - floor(b.r / 2), 2) + power(floor(a.c / 2) - floor(b.c / 2), 2)) AS x
+    FROM units a JOIN units b ON a.ord < b.ord AND a.ord % 2 = b.ord % 2), p AS (SELECT *, CASE WHEN s = 0 THEN 0.1 ELSE 0.4 END::DOUBLE AS m, CASE WHEN s = 0 THEN 0.03 ELSE 0.0 END::DOUBLE AS k FROM l),
+    g AS (SELECT s, any_value(m) AS m, any_value(k) AS k, avg(2 * (ln(1 + m * x + k) - ln(1 + v)) / (1 + m * x + k) * x) AS a, avg(2 * (ln(1 + m * x + k) - ln(1 + v)) / (1 + m * x + k)) AS b FROM p GROUP BY s)
+    SELECT CASE WHEN s = 0 THEN 'even' ELSE 'odd' END AS species, round(m - 0.005 * 0.5 * a, 7) + 0.0 AS slope, round(k - 0.005 * 0.5 * b, 7) + 0.0 AS intercept FROM g""")
+def q_train_species(spark, d):
+    """One update of a model of two species in one region, each with half of the weight."""
+    u = _species_units(spark, d)
+    o = A.unit_pairs(u)
+    for side in ("left", "right"):
+        o = o.join(u.select(F.col("unit").alias(side), F.col("bal").alias(f"_{side}")), side)
+    o = o.withColumn("value", F.abs(F.col("_left") - F.col("_right")) / (F.abs("_left") + F.abs("_right") + 1)).drop("_left", "_right")
+    line = D.StraightLine(species=("even", "odd"), patch_size=2, slope=(0.1, 0.4), intercept=(0.03, 0.0))
+    m, _ = T.train(X.cells(spark, d), o, line, PLAIN, T.TrainingConfig(steps=1, eval_every=1, optimizer=_DESCENT))
+    return spark.createDataFrame([(n, round(a, 7), round(b, 7)) for n, a, b in zip(m.species, m.slope, m.intercept, strict=True)], "species string, slope double, intercept double")
