@@ -511,12 +511,16 @@ def uniform_grid(unit: DataFrame, lowest: float, highest: float, points: int = 2
     return each.groupBy("g").agg(F.min("conductance").alias("conductance"), F.sum(F.col("weight") * off * off).alias("loss"))
 
 
+def grid_minimum(grid: DataFrame) -> DataFrame:
+    """g, conductance, loss of the grid's first minimum."""
+    return grid.agg(F.min(F.struct("loss", "g", "conductance")).alias("best")).select("best.g", "best.conductance", "best.loss")
+
+
 def uniform_conductance(unit: DataFrame, lowest: float, highest: float, points: int = 256, refine: int = 40) -> tuple[float, float]:
     """(conductance, loss) of the best uniform surface: the grid's first minimum, refined by golden sections."""
-    rows = sorted(uniform_grid(unit, lowest, highest, points).collect(), key=lambda r: r.g)
-    k = min(range(len(rows)), key=lambda i: (rows[i].loss, i))
-    a = math.log(rows[k - 1].conductance if k else lowest)
-    b = math.log(rows[k + 1].conductance if k + 1 < len(rows) else highest)
+    step = (math.log(highest) - math.log(lowest)) / (points + 1)
+    best = grid_minimum(uniform_grid(unit, lowest, highest, points)).first()
+    a, b = (math.log(lowest) + (best.g + k) * step for k in (-1, 1))
     unit = unit.select("resistance", "target", "weight").persist()
 
     def at(x: float) -> float:

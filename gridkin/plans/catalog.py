@@ -565,6 +565,16 @@ def q_saved_effects(spark, d):
     return K.with_effects(dist, _calibrations(spark, d), _LOG1P).select("region", "left", "right", tidy("value", 7).alias("value"), tidy("effect_variance", 7).alias("effect_variance"))
 
 
+@query(_mlpe_sql(*_BEST, f"""SELECT e.region, e.unit AS "left", 'newcomer' AS "right", round(exp(b0 + b1 * (1.5 - center) / scale + e.t - b0 * e.one - b1 * e.x) - 1, 7) + 0.0 AS value,
+    round({U} + {U} * ((1 - 1.0 / e.n) / (1 + {_Q} * (e.n - 2)) + 1.0 / e.n / (1 + {_Q} * (2 * e.n - 2))), 7) + 0.0 AS effect_variance
+    FROM eff e JOIN fit USING (region) JOIN mom USING (region)"""))
+def q_new_unit_effects(spark, d):
+    """Every unit with one that no calibration knows: its effect is 0, with the unit variance."""
+    u = X.units(spark, d)
+    pairs = u.select("region", "species", F.col("unit").alias("left"), F.lit("newcomer").alias("right"), F.lit(1.5).alias("distance"))
+    return K.with_effects(pairs, _calibrations(spark, d), _LOG1P).select("region", "left", "right", tidy("value", 7).alias("value"), tidy("effect_variance", 7).alias("effect_variance"))
+
+
 @query(f"""WITH {OBS} SELECT a.region, a.unit AS "left", b.unit AS "right", round(o.value, 8) + 0.0 AS value, o.value IS NULL AS missing
     FROM units a JOIN units b ON a.region = b.region LEFT JOIN obs o ON o.region = a.region AND o.value < 0.5 AND ((o.lft = a.unit AND o.rgt = b.unit) OR (o.rgt = a.unit AND o.lft = b.unit))""")
 def q_as_matrix(spark, d):
@@ -604,6 +614,14 @@ def q_uniform_grid_search(spark, d):
     return T.uniform_grid(u, 0.01, 1000.0).select("g", tidy("conductance").alias("conductance"), tidy("loss", 8).alias("loss"))
 
 
+@query(f"""WITH {IBD}, g AS (SELECT range + 1 AS g, exp(ln(0.01) + (range + 1) * (ln(1000) - ln(0.01)) / 257) AS c FROM range(256)),
+    l AS (SELECT g, min(c) AS conductance, sum(0.02 * power(ln(1 + s / c) - ln(1 + value), 2)) AS loss FROM ibd, g GROUP BY g)
+    SELECT CAST(g AS INTEGER) AS g, round(conductance, 6) + 0.0 AS conductance, round(loss, 8) + 0.0 AS loss FROM l ORDER BY l.loss, g LIMIT 1""")
+def q_uniform_best(spark, d):
+    u = _distances(spark, d).select(F.col("distance").alias("resistance"), F.col("value").alias("target"), F.lit(0.02).alias("weight"))
+    return T.grid_minimum(T.uniform_grid(u, 0.01, 1000.0)).select("g", tidy("conductance").alias("conductance"), tidy("loss", 8).alias("loss"))
+
+
 @query(f"WITH {_PRED} SELECT round(sum(power(eta - 0.5, 2) / (2 * 0.3 * 0.3)), 6) + 0.0 AS penalty FROM pred")
 def q_ridge_penalty(spark, d):
     """The penalty on the predictors of the 64 vertices, taken as parameters, and its gradient's sum."""
