@@ -233,3 +233,31 @@ def test_folds(spark):
     assert len(got) == 10 and sorted(sum(r.fold == k for r in got) for k in range(3)) == [3, 3, 4]
     with pytest.raises(ValueError):
         A.folds(labels, 1)
+
+
+def test_groups_without_weight_are_not_solved(spark):
+    cells, units, pairs = landscape(spark)
+
+    class Sour(D.StraightLine):
+        def kernel(self, p, s, shape, x, left, right, seed=None):
+            raise AssertionError("solved")
+
+    model = Sour(patch_size=2, slope=(0.4,), intercept=(0.1,))
+    packed = T.pack(cells, pairs, model, PLAIN)
+    losses, g = T.evaluate(packed, model, "log1p", model.params(), {("r", 0): 0.0}, True)
+    assert losses == [] and all((v == 0).all() for v in g.values())
+
+
+def test_batches_and_callbacks(spark):
+    cells, units, pairs = landscape(spark)
+    both = cells.union(cells.withColumn("region", F.lit("q")))
+    observed = pairs.union(pairs.withColumn("region", F.lit("q")).withColumn("value", F.col("value") * 2))
+    seen, model = [], MODELS["line"]()
+    config = T.TrainingConfig(steps=4, eval_every=2, region_batch=1, optimizer=T.Descent(0.001), seed=5)
+    _, state = T.train(both, observed, model, PLAIN, config, on_step=lambda s: seen.append(s.step))
+    _, again = T.train(both, observed, model, PLAIN, config)
+    assert seen == [0, 1, 2, 3, 4] and state.groups == (("q", 0), ("r", 0))
+    np.testing.assert_array_equal(state.params["slope"], again.params["slope"])
+    assert [r[0] for r in state.history if r[2] == "all"] == [0, 2, 4]
+    done, still = T.train(both, observed, model, PLAIN, T.TrainingConfig(steps=9, tolerance=1e9))
+    assert still.converged and still.step == 0 and done.slope == model.slope
