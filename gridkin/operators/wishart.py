@@ -77,6 +77,24 @@ def held_out(d: np.ndarray, covariance: np.ndarray, markers: int, train: list[in
     return log_likelihood(d, covariance, markers) - log_likelihood(d[at], covariance[at], markers)
 
 
+def held_out_record(d: np.ndarray, covariance: np.ndarray, markers: int, train: list[int], anchor: int) -> dict:
+    """What held_out() says, with its parts: contrasts are taken against one training population, the anchor, so that
+    those of the training populations are the same in both densities."""
+    held = [i for i in range(len(d)) if i not in set(train)]
+    if anchor not in train or len(set(train)) < 2 or not held:
+        raise WishartError("the anchor is one of two or more training populations, and one population at least is held out")
+
+    def density(of: list[int]) -> float:
+        h = np.zeros((len(of) - 1, len(of)))
+        others = [k for k, i in enumerate(of) if i != anchor]
+        h[np.arange(len(others)), others], h[:, of.index(anchor)] = 1.0, -1.0
+        at = np.ix_(of, of)
+        return log_density(-0.5 * h @ d[at] @ h.T, h @ covariance[at] @ h.T, markers)
+
+    joint, training = density([*train, *held]), density(list(train))
+    return {"anchor": anchor, "train": list(train), "held": held, "joint": joint, "training": training, "conditional": joint - training}
+
+
 def graph_diagnostic(d: np.ndarray, resistance: np.ndarray, markers: int, scale: float, nugget: float) -> dict:
     """Log likelihood under scale * (centered resistance) + nugget, and rank and condition of the two parts.
     The gate never opens: the diagnostic is an experiment."""

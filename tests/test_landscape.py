@@ -322,6 +322,13 @@ def test_wishart():
     shift = n * (n - 1) / 2 * math.log(markers)
     assert W.log_likelihood(d / markers, cov, markers, averaged=True) == pytest.approx(W.log_likelihood(d, cov, markers) + shift)
     assert math.isfinite(W.held_out(d, cov, markers, [0, 1, 3]))
+    record = W.held_out_record(d, cov, markers, [3, 0, 1], anchor=0)
+    assert record["held"] == [2, 4] and record["conditional"] == pytest.approx(record["joint"] - record["training"])
+    # contrasts of one kind differ from those of another by a constant factor alone
+    other = W.held_out_record(d, 2 * cov, markers, [3, 0, 1], anchor=1)["conditional"] - W.held_out_record(d, cov, markers, [3, 0, 1], anchor=1)["conditional"]
+    assert other == pytest.approx(W.held_out(d, 2 * cov, markers, [3, 0, 1]) - W.held_out(d, cov, markers, [3, 0, 1]))
+    with pytest.raises(W.WishartError):
+        W.held_out_record(d, cov, markers, [0, 1], anchor=2)
     far = np.abs(np.subtract.outer(range(n), range(n))) * 1.0
     assert W.graph_diagnostic(d, far, markers, 1.0, 0.5)["decision"] == "no_go"
     with pytest.raises(W.WishartError):
