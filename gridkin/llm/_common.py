@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import shutil
@@ -10,6 +13,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,14 @@ def find_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
 
 
+def give_back() -> None:
+    """Return memory that is free again to the system: workers and the driver live on after a task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: read often, computed once, no lineage."""
     path = f"{folder}/{name}"

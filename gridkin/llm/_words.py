@@ -46,13 +46,16 @@ def spans(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, eight at a time, each eight mixed into what came before;
-    that of a very long span is a digest's. Spans of one length up to eight bytes never collide."""
+    that of a very long span is a digest's. Spans of one length up to eight bytes never collide. Hashes
+    of different salts are independent."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eights = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
     n = ends - starts
     h = n.astype(np.uint64) * np.uint64(_ODD)
+    if salt:
+        h = mixed(h, salt)
     live = np.flatnonzero(n <= DIGEST_OVER)
     at, left = starts[live], n[live]
     while len(live):
@@ -60,5 +63,5 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(n > DIGEST_OVER):
-        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
     return h

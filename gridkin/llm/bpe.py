@@ -1,16 +1,16 @@
 """Byte-level BPE by Spark higher-order functions, over the distinct words of the corpus.
 
 A text is cut into pieces by the tokenizer's pattern. The pieces' ids come from a fold: aggregate()
-runs over the steps a piece can need, its state is the array of the piece's byte parts, and each
-step looks up the rank of every adjacent pair in a literal rank map and joins the pair of lowest
-rank. The rank map is an array of small maps, chosen by the parts' checksum, since a lookup in a
-Spark map reads the map through; bytes are written as hex so that parts are map keys. A piece that
-is itself in the vocabulary takes its id at once.
+runs over the steps a piece can need, its state is the array of the piece's parts (at first its
+bytes) as ids with the rank of every adjacent pair, and each step joins the leftmost pair of lowest
+rank. The rank of a pair is also the id of what it becomes. The rank map is a literal: an array in
+which the pairs of a left id lie at an offset of its own plus the right id, so that a lookup reads
+two places. A piece that is itself in the vocabulary takes its id at once.
 
-The pieces of all texts are counted, the FREQUENT most common are folded once, and their ids go to
-the readers of the texts as a table whose size is that number. What a block of texts has besides
-is folded where it stands, once for each distinct piece of a block. Decoding looks up the bytes of
-each id and concatenates them.
+The pieces of all texts are counted; the most common (FREQUENT at most, by a threshold on the count)
+are folded once, and their ids go to the readers of the texts as a table of that size. What a block
+of texts has besides is folded where it stands, once for each distinct piece of a block. Decoding
+looks up the bytes of each id and puts the binary pieces together, once for each distinct piece.
 
 Pieces are found with array operations: characters are classed as letter, number, white space or
 other, and the pattern's alternatives are boundaries between classes.
@@ -20,25 +20,38 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package, shared_dir, written
+from gridkin.llm._common import find_package, give_back, removed, shared_dir, written
+from gridkin.llm._words import span_hashes
 
-#: Pieces whose ids every reader of texts holds.
-FREQUENT = 1 << 18
-#: Maps that the rank map consists of.
-MAPS = 1 << 13
+#: Pieces whose ids every reader of texts holds, at most.
+FREQUENT = 1 << 19
+#: Counts of pieces that the threshold tells apart: so many steps for each doubling.
+STEPS = 16
 #: Characters of text that are cut into pieces at a time.
-BLOCK = 4_000_000
+BLOCK = 3_000_000
+#: Bytes over which a piece is merged by a queue: a fold takes time in proportion to their square.
+LONG_PIECE = 2000
+#: Of the second hash that pieces are known by.
+SALT = 0x5D1B
+#: Maps that the parts are dealt to.
+MAPS = 1 << 13
+#: The rank of no pair: above every rank.
+NONE = 1 << 18
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: What the pattern's class for white space holds: the characters of property White_Space. A fixed value.
@@ -83,11 +96,10 @@ def piece_starts(chars: np.ndarray, new_text: np.ndarray) -> np.ndarray:
     # a lone apostrophe that begins a piece takes certain letters with it
     at = np.flatnonzero(begin & (chars == 0x27))
     if len(at):
-        text = np.cumsum(new_text)
-        pad = np.concatenate([chars, [0, 0]])
-        same = np.concatenate([text, [-1, -1]])
-        one, two = pad[at + 1], pad[at + 2]
-        in1, in2 = same[at + 1] == text[at], same[at + 2] == text[at]
+        ends = np.append(np.flatnonzero(new_text), n)
+        left = ends[np.searchsorted(ends, at, "right")] - at  # characters up to the end of the text
+        one, two = chars[np.minimum(at + 1, n - 1)], chars[np.minimum(at + 2, n - 1)]
+        in1, in2 = left > 1, left > 2
         short = in1 & np.isin(one, [ord(c) for c in "stmd"])
         pairs = [(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")]
         long = in2 & np.logical_or.reduce(pairs)
@@ -101,43 +113,89 @@ def piece_starts(chars: np.ndarray, new_text: np.ndarray) -> np.ndarray:
     return begin
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+@dataclass(frozen=True)
+class Cut:
+    """The pieces of some texts. buf: UTF-8 bytes of the texts put together; start, stop: where each distinct piece
+    stands first; one: a 64-bit hash of each; codes: the distinct piece of each piece in turn; per_text:
+    the number of pieces of each text."""
+
+    buf: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    one: np.ndarray
+    codes: np.ndarray
+    per_text: np.ndarray
+
+    def pieces(self, which: np.ndarray | None = None) -> list[bytes]:
+        raw = self.buf.tobytes()
+        start, stop = (self.start, self.stop) if which is None else (self.start[which], self.stop[which])
+        return [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
 
+    def two(self) -> np.ndarray:
+        """Another hash of each distinct piece."""
+        return span_hashes(self.buf, self.start, self.stop, SALT)
 
-def distinct_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct pieces of texts; the index of each piece in turn; the number of pieces of each text."""
+
+def distinct_pieces(texts: list[str]) -> Cut:
     lengths = np.array([len(t) for t in texts], np.int64)
     joined = "".join(texts)
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    none = np.zeros(0, np.int64)
     if not len(chars):
-        return [], np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        return Cut(np.zeros(0, np.uint8), none, none, none.astype(np.uint64), none.astype(np.int32), np.zeros(len(texts), np.int64))
     ends = np.cumsum(lengths)
     new = np.zeros(len(chars), bool)
     firsts = (ends - lengths)[lengths > 0]
     new[firsts] = True
     begin = np.flatnonzero(piece_starts(chars, new))
-    stop = np.append(begin[1:], len(chars))
     per_text = np.searchsorted(begin, ends) - np.searchsorted(begin, ends - lengths)
-    # pieces by a 64-bit hash of their characters
-    size = stop - begin
-    h = np.zeros(len(begin), np.uint64)
-    live = np.arange(len(begin))
-    for k in range(int(size.max())):
-        live = live[size[live] > k]
-        h[live] = _mixed((h[live] + np.uint64(0x632BE59BD9B4E019)) ^ chars[begin[live] + k].astype(np.uint64))
-        if k >= 40:
-            break
-    if int(size.max()) > 41:
-        for i in np.flatnonzero(size > 41):
-            digest = hashlib.blake2b(joined[begin[i] : stop[i]].encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            h[i] = int.from_bytes(digest, "little")
-    codes, uniques = pd.factorize(h)
-    first = np.zeros(len(uniques), np.int64)
+    if joined.isascii():
+        buf, cuts = np.frombuffer(joined.encode(), np.uint8), np.append(begin, len(chars))
+    else:
+        buf = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
+        wide = np.cumsum((chars > 0x7F).astype(np.uint8) + (chars > 0x7FF) + (chars > 0xFFFF), dtype=np.int64)
+        cuts = np.append(begin + np.where(begin > 0, wide[begin - 1], 0), len(buf))
+    codes, one = pd.factorize(span_hashes(buf, cuts[:-1], cuts[1:]))
+    first = np.zeros(len(one), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    pieces = [joined[a:b] for a, b in zip(begin[first].tolist(), stop[first].tolist(), strict=True)]
-    return pieces, codes.astype(np.int32), per_text
+    return Cut(buf, cuts[:-1][first], cuts[1:][first], one, codes.astype(np.int32), per_text)
+
+
+@dataclass(frozen=True)
+class Held:
+    """Pieces that every reader of texts holds, by two hashes: one (rising) and two; n: ids of each; said and plain:
+    their decimal ids and their bytes, one after another, from said_at[i] to said_at[i + 1] and so on."""
+
+    one: np.ndarray
+    two: np.ndarray
+    n: np.ndarray
+    said: bytes
+    said_at: np.ndarray
+    plain: bytes
+    plain_at: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Held:
+        """rows: piece, said, plain (binary) and n. The buffers of the columns are used as they are."""
+
+        def parts(table: pa.Table, name: str) -> tuple[bytes, np.ndarray]:
+            column = pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], pa.binary())
+            at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
+            return (column.buffers()[2].to_pybytes() if len(column) else b""), at.astype(np.int64)
+
+        raw, at = parts(rows, "piece")
+        buf = np.frombuffer(raw, np.uint8)
+        one, two = (span_hashes(buf, at[:-1], at[1:], salt) for salt in (0, SALT))
+        order = np.argsort(one)
+        rows = rows.select(["said", "plain", "n"]).take(pa.array(order))
+        return Held(one[order], two[order], rows["n"].to_numpy().astype(np.int64), *parts(rows, "said"), *parts(rows, "plain"))
+
+    def places(self, cut: Cut) -> np.ndarray:
+        """The place of each distinct piece, -1 for those that are not held."""
+        if not len(self.one):
+            return np.full(len(cut.one), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.one, cut.one), len(self.one) - 1)
+        return np.where((self.one[at] == cut.one) & (self.two[at] == cut.two()), at, -1)
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
@@ -152,157 +210,250 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: array<map<hex part, rank>>, by the checksum of the part's hex."""
-    import zlib
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The rank of each pair of ids that together are a part."""
+    found = {}
+    for part, rank in ranks.items():
+        for i in range(1, len(part)):
+            left, right = ranks.get(part[:i]), ranks.get(part[i:])
+            if left is not None and right is not None:
+                found[left, right] = rank
+    return found
+
+
+def laid_out(pairs: dict[tuple[int, int], int], ids: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, places): the pair (a, b) has its rank r at places[offsets[a] + b], as a * 2 ** 17 + r; a place
+    without a pair holds -1. The ids with most pairs are laid down first, each at an offset drawn until
+    its pairs fall on free places."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), r in pairs.items():
+        rows.setdefault(a, []).append((b, r))
+    rng, size = np.random.default_rng(seed), ids + 3 * len(pairs) + 1
+    places, offsets = np.full(size + ids, -1, np.int64), np.full(ids, 1 << 30, np.int64)
+    for a, own in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        right = np.array(own, np.int64)
+        while True:
+            drawn = rng.integers(0, size, 64)
+            fits = np.flatnonzero((places[drawn[:, None] + right[:, 0]] < 0).all(1))
+            if len(fits):
+                break
+        offsets[a] = drawn[fits[0]]
+        places[offsets[a] + right[:, 0]] = (a << 17) + right[:, 1]
+    return offsets, places
 
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal: bytes (id of each byte, null if it has none), offsets and places (see laid_out()), whole (ids
+    of pieces that are parts, by their bytes as characters, dealt to maps by checksum)."""
+    ids = max(ranks.values(), default=0) + 1
+    if ids > 1 << 17:
+        raise ValueError("a rank map has ids under 131,072")
+    offsets, places = laid_out(pair_ranks(ranks), ids)
     maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
     for part, rank in ranks.items():
-        name = part.hex().upper()
+        name = part.decode("latin-1")
         maps[zlib.crc32(name.encode()) % MAPS][name] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    table = {"bytes": [ranks.get(bytes([i])) for i in range(256)], "offsets": offsets.tolist(), "places": places.tolist(), "whole": maps}
+    return F.from_json(F.lit(json.dumps(table)), "bytes array<bigint>, offsets array<int>, places array<bigint>, whole array<map<string,int>>")
 
 
-def rank_of(part: Column, ranks: Column) -> Column:
-    return F.try_element_at(F.get(ranks, F.pmod(F.crc32(part.cast("binary")), F.lit(MAPS)).cast("int")), part)
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def folded(pieces: Column, ranks: Column) -> Column:
-    """The ids of each piece of an array of hex strings, in order: array<array<int>>.
+    """The ids of each piece of an array of strings (a character for each byte), in order: array<array<int>>.
 
     The rank map is bound to a variable, so that the plan holds it once.
     """
-    return F.get(F.transform(F.array(ranks), lambda table: F.transform(pieces, lambda p: _folded(p, table))), 0)
-
-
-def _folded(piece: Column, ranks: Column) -> Column:
-    n = F.char_length(piece)
-    single = F.transform(F.sequence(F.lit(1), n, F.lit(2)), lambda i: F.substring(piece, i, F.lit(2)))
-    none = F.lit(2**31 - 1)
-
-    def pair_ranks(parts: Column) -> Column:
-        left = F.slice(parts, F.lit(1), F.size(parts) - 1)
-        return F.zip_with(left, F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: F.coalesce(rank_of(F.concat(a, b), ranks), none))
-
-    def let(value: Column, body) -> Column:
-        """body(value), with value computed once."""
-        return F.get(F.transform(F.array(value), body), 0)
-
-    no_ranks = F.array().cast("array<int>")
-
-    def joined(parts: Column, near: Column, at: Column) -> Column:
-        """The state after the pair at (from 1) has become one part."""
-        merged = F.concat(
-            F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts))
-        )
-
-        def ranked(new: Column) -> Column:
-            rank = lambda i: F.array(F.coalesce(rank_of(F.concat(F.get(new, i), F.get(new, i + 1)), ranks), none))
-            around = F.concat(
-                F.slice(near, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                F.when(at > 1, rank(at - 2)).otherwise(no_ranks),
-                F.when(at < F.size(new), rank(at - 1)).otherwise(no_ranks),
-                F.slice(near, at + 2, F.size(near)),
-            )
-            return F.struct(new.alias("p"), around.alias("r"))
-
-        return let(merged, ranked)
+    return _let(ranks, lambda table: F.transform(pieces, lambda p: _folded(p, table)))
+
+
+def _folded(piece: Column, table: Column) -> Column:
+    """The state is an array with a number for each part, which holds the rank of the pair that the part begins
+    (NONE for no pair), the part's place in the piece and its id: the least number is the leftmost pair of
+    lowest rank."""
+    id_bits, place_bits, last = 17, 23, F.lit((1 << 17) - 1).cast("long")
+    low = F.lit((1 << (id_bits + place_bits)) - 1).cast("long")
+    id_of = lambda x: x.bitwiseAND(last)
+    rank_of = lambda x: F.shiftright(x, id_bits + place_bits)
+
+    def pair(a: Column, b: Column) -> Column:
+        """The rank of two ids, shifted to its place in a number."""
+        held = F.get(table["places"], (F.get(table["offsets"], a.cast("int")) + b).cast("int"))
+        return F.shiftleft(F.when(F.shiftright(held, id_bits) == a, held.bitwiseAND(last)).otherwise(F.lit(NONE).cast("long")), id_bits + place_bits)
+
+    def joined(state: Column, at: Column, best: Column) -> Column:
+        """The state after the pair at (from 1) has become one part, whose id is the pair's rank."""
+        left, after = F.get(state, at - 2), F.get(state, at + 1)
+        none = F.array().cast("array<bigint>")
+        return F.concat(
+            F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))),
+            F.when(at > 1, F.array(left.bitwiseAND(low).bitwiseOR(pair(id_of(left), rank_of(best))))).otherwise(none),
+            F.array(
+                F.when(after.isNull(), F.lit(NONE << (id_bits + place_bits))).otherwise(pair(rank_of(best), id_of(after)))
+                .bitwiseOR(best.bitwiseAND(low).bitwiseAND(F.bitwise_not(last))).bitwiseOR(rank_of(best))
+            ),
+            F.slice(state, at + 2, F.size(state)),
+        )
 
     def step(state: Column, _: Column) -> Column:
         def lowest(best: Column) -> Column:
-            leftmost = F.array_position(state["r"], best).cast("int")
-            done = best.isNull() | (best == none)
-            return F.when(done, state).otherwise(let(leftmost, lambda at: joined(state["p"], state["r"], at)))
-
-        return let(F.array_min(state["r"]), lowest)
-
-    start = F.transform(F.array(single), lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r")))
-    merges = F.sequence(F.lit(1), F.greatest(F.size(single) - 1, F.lit(1)))
-    fold = F.aggregate(merges, F.get(start, 0), step, lambda s: F.transform(s["p"], lambda x: rank_of(x, ranks)))
-    whole = rank_of(piece, ranks)
-    return F.when(whole.isNotNull(), F.array(whole)).when(n == 0, F.array().cast("array<int>")).otherwise(fold)
+            return F.when(rank_of(best) == NONE, state).otherwise(_let(F.array_position(state, best).cast("int"), lambda at: joined(state, at, best)))
+
+        return _let(F.array_min(state), lowest)
+
+    def fold(single: Column) -> Column:
+        """single: the ids of the bytes."""
+        after = F.slice(single, F.lit(2), F.size(single))
+        rest = F.when(F.size(single) > 0, F.sequence(F.lit(0), F.size(single) - 1))
+        near = F.zip_with(single, after, lambda a, b: F.when(b.isNull(), F.lit(NONE << (id_bits + place_bits))).otherwise(pair(a, b)).bitwiseOR(a))
+        start = F.zip_with(near, rest, lambda x, i: x.bitwiseOR(F.shiftleft(i.cast("long"), id_bits)))
+        return F.aggregate(F.sequence(F.lit(1), F.size(single)), start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+
+    single = F.transform(F.filter(F.split(piece, ""), lambda c: c != ""), lambda c: F.get(table["bytes"], F.ascii(c)))
+    whole = F.try_element_at(F.get(table["whole"], F.pmod(F.crc32(piece.cast("binary")), F.lit(MAPS)).cast("int")), piece)
+    found = _let(single, lambda s: F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(fold(s)))
+    return F.coalesce(F.when(whole.isNotNull(), F.array(whole)), found)
+
+
+def merged_by_queue(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one piece, by a queue of pairs: what the fold gives, for pieces of any length."""
+    n = len(piece)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(queue)
+    gone = bytearray(n)
+    while queue:
+        _, i, stop = heapq.heappop(queue)
+        j = after[i]
+        if gone[i] or j >= n or end[j] != stop:  # one of the two has become part of something else
+            continue
+        gone[j], end[i], after[i] = 1, stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a in (before[i], i):
+            if a >= 0 and after[a] < n and (r := ranks.get(piece[a : end[after[a]]])) is not None:
+                heapq.heappush(queue, (r, a, end[after[a]]))
+    return [ranks[piece[i : end[i]]] for i in range(n) if not gone[i]]
 
 
 def count_pieces(docs: DataFrame) -> DataFrame:
-    """piece (hex), n, over all texts. docs: text."""
+    """piece (a character for each byte), n, over all texts. docs: text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for texts in _blocks([t or "" for t in batch["text"]]):
-                pieces, codes, _ = distinct_pieces(texts)
-                if not pieces:
-                    continue
-                names = [p.encode("utf-8", "replace").hex().upper() for p in pieces]
-                yield pd.DataFrame({"piece": names, "n": np.bincount(codes, minlength=len(pieces)).astype(np.int64)})
+                cut = distinct_pieces(texts)
+                if len(cut.one):
+                    yield pd.DataFrame({"piece": [p.decode("latin-1") for p in cut.pieces()], "n": np.bincount(cut.codes, minlength=len(cut.one)).astype(np.int64)})
+        give_back()
 
     return docs.mapInPandas(count, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def frequent_pieces(counted: DataFrame) -> DataFrame:
+    """The pieces with the highest counts: as many classes of counts as have FREQUENT pieces at most."""
+    height = F.floor(F.log2("n") * STEPS).cast("int")
+    seen = {r.height: r.n for r in counted.groupBy(height.alias("height")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, left = max(seen, default=0) + 1, FREQUENT
+    for h in sorted(seen, reverse=True):
+        left -= seen[h]
+        if left < 0:
+            break
+        least = h
+    return counted.where((height >= least) & (F.char_length("piece") <= LONG_PIECE))
+
+
+def decoded(ids: Column, table: Column) -> Column:
+    """The bytes that an array of ids stands for. table: array of the hex of each id's bytes."""
+    missing = F.raise_error(F.lit("an id has no part")).cast("string")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(table, i), missing)), ""))
+
+
+def part_table(ranks: dict[bytes, int]) -> Column:
+    parts = {v: k.hex() for k, v in ranks.items()}
+    return F.from_json(F.lit(json.dumps([parts.get(i) for i in range(max(parts, default=-1) + 1)])), "array<string>")
+
+
 def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256 (of the decimal ids, joined by one space), decoded_sha256 (of the
     decoded bytes) and, where asked for, ids (array<int>) for each row of docs.
 
     A null text counts as empty and has no ids; repeated rows each have a row; an empty table gives
-    none; other columns are left alone. A piece takes a number of steps that grows with its
-    length and each step a time that does; texts of any length are encoded whole.
+    none; other columns are left alone. Texts and pieces of any length are encoded whole; a piece of more
+    than LONG_PIECE bytes is merged by a queue in place of the fold.
     """
-    find_package(docs.sparkSession)
+    spark = docs.sparkSession
+    find_package(spark)
     ranks = read_ranks(ranks_path)
-    table = rank_map(ranks)
-    folder = shared_dir(docs.sparkSession)
+    table, parts = rank_map(ranks), part_table(ranks)
+    give_back()
+    folder = shared_dir(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = count_pieces(texts.select("text")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
-    known = written(counted.select("piece").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism), folder, "pieces")
-    known = written(known.select("piece", F.get(folded(F.array("piece"), table), 0).alias("ids")), folder, "frequent")
-    lines = known.select(F.concat_ws(" ", "piece", F.col("ids").cast("array<string>"))).collect()  # FREQUENT at most
-    held = {bytes.fromhex(a).decode("utf-8", "replace"): b for a, _, b in (r[0].partition(" ") for r in lines)}
-    shared = docs.sparkSession.sparkContext.broadcast((held, {v: k for k, v in ranks.items()}))
-    del lines, held
+    said = lambda ids: F.concat_ws(" ", ids.cast("array<string>"))
+    counted = written(count_pieces(texts.select("text")), folder, "counts")
+    known = frequent_pieces(counted).select("piece").repartition(2 * spark.sparkContext.defaultParallelism)
+    known = known.select("piece", F.get(folded(F.array("piece"), table), 0).alias("ids"))
+    known = written(known.select("piece", said(F.col("ids")).alias("said"), F.size("ids").alias("n"), _let(parts, lambda t: decoded(F.col("ids"), t)).alias("plain")), folder, "frequent")
+    removed(spark, folder, "counts")
+    raw = known.select(F.encode("piece", "ISO-8859-1").alias("piece"), F.col("said").cast("binary").alias("said"), "plain", "n")
+    shared = spark.sparkContext.broadcast(Held.of(raw.toArrow()))  # FREQUENT rows at most
+    long_ranks = spark.sparkContext.broadcast(ranks)
+    give_back()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = shared.value[0]
+        frequent = shared.value
         for batch in batches:
             ids, all_texts, at = batch["id"].tolist(), [t or "" for t in batch["text"]], 0
             for some in _blocks(all_texts):
-                pieces, codes, per_text = distinct_pieces(some)
-                rare = [p.encode("utf-8", "replace").hex().upper() for p in pieces if p not in frequent]
+                own = distinct_pieces(some)
+                place = frequent.places(own)
+                is_long = (place < 0) & (own.stop - own.start > LONG_PIECE)
+                rare, long = np.flatnonzero((place < 0) & ~is_long), np.flatnonzero(is_long)
+                place[rare], place[long] = -1 - np.arange(len(rare)), -1 - len(rare) - np.arange(len(long))
+                merged = [merged_by_queue(p, long_ranks.value) for p in own.pieces(long)] if len(long) else []
                 yield pd.DataFrame({
-                    "id": [ids[at : at + len(some)]], "per_text": [per_text], "codes": [codes.tobytes()],
-                    "pieces": ["\0".join(str(len(p)) for p in pieces)], "all": ["".join(pieces)], "rare": [rare],
+                    "id": [ids[at : at + len(some)]], "per_text": [own.per_text], "codes": [own.codes.tobytes()], "place": [place.astype(np.int32).tobytes()],
+                    "rare": [[p.decode("latin-1") for p in own.pieces(rare)]], "merged": [merged],
                 })
                 at += len(some)
+        give_back()
 
     id_type = texts.schema["id"].dataType.simpleString()
-    packed = texts.mapInPandas(
-        cut, f"id array<{id_type}>, per_text array<bigint>, codes binary, pieces string, `all` string, rare array<string>"
-    )
-    found = packed.withColumn("rare", folded(F.col("rare"), table))
+    packed = texts.mapInPandas(cut, f"id array<{id_type}>, per_text array<bigint>, codes binary, place binary, rare array<string>, merged array<array<int>>")
+    found = packed.withColumn("rest", F.concat(folded(F.col("rare"), table), "merged"))
+    found = found.select(
+        "id", "per_text", "codes", "place", F.transform("rest", said).alias("said"), F.transform("rest", F.size).alias("n"),
+        _let(parts, lambda t: F.transform("rest", lambda ids: decoded(ids, t))).alias("plain"),
+    )
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, parts = shared.value
+        frequent = shared.value
         for batch in batches:
             for row in batch.itertuples(index=False):
-                sizes = [int(x) for x in row.pieces.split("\0")] if row.pieces else []
-                ends = np.cumsum(sizes).tolist()
-                rare, ids = iter(row.rare), []
-                for size, end in zip(sizes, ends, strict=True):
-                    known = frequent.get(row.all[end - size : end])
-                    ids.append(next(rare).tolist() if known is None else [int(i) for i in known.split()])
-                said = [" ".join(map(str, x)) for x in ids]
-                plain = [b"".join(map(parts.__getitem__, x)) for x in ids]
-                many = np.array([len(x) for x in ids], np.int64)
+                place = np.frombuffer(row.place, np.int32).astype(np.int64)
+                rest, known = np.flatnonzero(place < 0), np.maximum(place, 0)
+                many = frequent.n[known] if len(frequent.n) else np.zeros(len(place), np.int64)
+                words, plain = ([blob[a:b] for a, b in zip(at[known].tolist(), at[known + 1].tolist(), strict=True)] if len(frequent.n) else [b""] * len(place)
+                                for blob, at in ((frequent.said, frequent.said_at), (frequent.plain, frequent.plain_at)))
+                many[rest] = np.asarray(row.n, np.int64)[-1 - place[rest]]
+                for i, k in zip(rest.tolist(), (-1 - place[rest]).tolist(), strict=True):
+                    words[i], plain[i] = row.said[k].encode(), row.plain[k]
                 codes = np.frombuffer(row.codes, np.int32)
                 out, at = [], 0
                 for id_, n in zip(row.id, row.per_text, strict=True):
-                    own = codes[at : at + n].tolist()
+                    own = codes[at : at + n]
                     at += n
+                    count, own = int(many[own].sum()), own.tolist()
+                    line = b" ".join([words[c] for c in own])
                     out.append((
-                        id_, int(many[own].sum()) if own else 0,
-                        hashlib.sha256(" ".join([said[c] for c in own]).encode()).hexdigest(),
-                        hashlib.sha256(b"".join([plain[c] for c in own])).hexdigest(),
-                        [i for c in own for i in ids[c]] if keep_ids else None,
+                        id_, count, hashlib.sha256(line).hexdigest(), hashlib.sha256(b"".join([plain[c] for c in own])).hexdigest(),
+                        [int(i) for i in line.split()] if keep_ids else None,
                     ))
                 yield pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        give_back()
 
     done = found.mapInPandas(assemble, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>")
     result = done.withColumnRenamed("id", id_col)
@@ -312,8 +463,5 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
 def decode(rows: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """rows with the bytes that their ids stand for: binary pieces from a literal table, put together.
     Null ids decode to null, an empty array to no bytes; an id without a part fails the job."""
-    parts = {v: k.hex() for k, v in read_ranks(ranks_path).items()}
-    table = F.from_json(F.lit(json.dumps([parts.get(i) for i in range(max(parts) + 1)])), "array<string>")
-    missing = F.raise_error(F.lit("an id has no part")).cast("string")
-    pieces = F.transform(F.col(ids_col), lambda i: F.unhex(F.coalesce(F.get(table, i), missing)))
-    return rows.withColumn(out_col, F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b)))
+    plain = _let(part_table(read_ranks(ranks_path)), lambda t: decoded(F.col(ids_col), t))
+    return rows.withColumn(out_col, F.when(F.col(ids_col).isNotNull(), plain))
