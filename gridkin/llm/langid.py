@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package, literal_table, shared_dir, written
+from gridkin.llm._common import find_package, give_back, literal_table, shared_dir, written
 from gridkin.llm._words import blocks
 
 #: Hashed features of a text.
@@ -67,23 +67,27 @@ def features(texts: list[str]) -> np.ndarray:
     return (counts / np.maximum(counts.sum(1, keepdims=True), 1) * 10.0).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of a linear machine with hinge loss; y: 1 or -1."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1).astype(np.float64)
-    norms, alpha, w = (x * x).sum(1), np.zeros(len(x)), np.zeros(x.shape[1])
+def svm(x: np.ndarray, own: np.ndarray, y: np.ndarray, cost: float = 20.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of a linear machine with hinge loss over the rows own of x; y: 1 or -1 for each.
+    Rows are read in place; the bias is a further feature of 1."""
+    norms, alpha = np.array([float(x[i] @ x[i]) + 1.0 for i in own]), np.zeros(len(own))
+    w, bias = np.zeros(x.shape[1]), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1.0
-            new = min(max(alpha[i] - g / norms[i], 0.0), cost)
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]))
-                alpha[i] = new
+        for k in rng.permutation(len(own)):
+            row = x[own[k]].astype(np.float64)
+            g = y[k] * (w @ row + bias) - 1.0
+            new = min(max(alpha[k] - g / norms[k], 0.0), cost)
+            if new != alpha[k]:
+                step = (new - alpha[k]) * y[k]
+                w += step * row
+                bias += step
+                moved = max(moved, abs(new - alpha[k]))
+                alpha[k] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 @dataclass(frozen=True)
@@ -113,12 +117,15 @@ class Machines:
         return best, 1.0 / (1.0 + np.exp(-np.clip(2.0 * least, -30, 30)))
 
 
-def machines(x: np.ndarray, labels: np.ndarray) -> Machines:
+def machines(x: np.ndarray, labels: np.ndarray, rows: np.ndarray | None = None) -> Machines:
+    """One machine for each two labels of the rows (all of x if not given)."""
+    rows = np.arange(len(x)) if rows is None else rows
+    labels = labels[rows]
     names = tuple(sorted(set(labels)))
     pairs, weights = tuple(combinations(range(len(names)), 2)), []
     for i, j in pairs:
-        own = (labels == names[i]) | (labels == names[j])
-        weights.append(svm(x[own], np.where(labels[own] == names[i], 1.0, -1.0)))
+        own = np.flatnonzero((labels == names[i]) | (labels == names[j]))
+        weights.append(svm(x, rows[own], np.where(labels[own] == names[i], 1.0, -1.0)))
     stacked = np.stack(weights, 1) if weights else np.zeros((FEATURES + 1, 0))
     return Machines(names, pairs, stacked.astype(np.float32))
 
@@ -183,13 +190,18 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                 yield pd.DataFrame({"lang": [lang for lang, _, _ in own], "u": [u for _, u, _ in own], "x": x})
 
     once = drawn.mapInPandas(extract, "lang string, u long, x binary").groupBy("lang", "u").agg(F.min("x").alias("x"))
-    taken: dict[str, list] = {}
-    for r in sorted(once.collect(), key=lambda r: (r.lang, r.u)):
-        taken.setdefault(r.lang, []).append(np.frombuffer(r.x, np.float16))
-    labels = np.array([lang for lang, v in taken.items() for _ in v], object)
-    x = np.stack([v for own in taken.values() for v in own]).astype(np.float32)
+    taken = sorted(((r.lang, r.u, bytes(r.x)) for r in once.toLocalIterator()))  # sample rows, of FEATURES halves each
+    if not taken:
+        return LanguageModel(Machines((), (), np.zeros((FEATURES + 1, 0))), {})
+    labels, x = np.array([lang for lang, _, _ in taken], object), np.empty((len(taken), FEATURES), np.float32)
+    for i, (_, _, row) in enumerate(taken):
+        x[i] = np.frombuffer(row, np.float16)
+    del taken
     family = np.array([_FAMILY_OF.get(lang, f"other {lang}") for lang in labels], object)
-    return LanguageModel(machines(x, family), {f: machines(x[family == f], labels[family == f]) for f in set(family)})
+    model = LanguageModel(machines(x, family), {f: machines(x, labels, np.flatnonzero(family == f)) for f in set(family)})
+    del x
+    give_back()
+    return model
 
 
 def said_of(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
@@ -206,6 +218,7 @@ def said_of(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
                 langs += lang
                 scores += score.tolist()
             yield pd.DataFrame({"lang_pred": langs, "score": pd.Series(scores, dtype=float)})
+        give_back()
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)
 

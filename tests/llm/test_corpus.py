@@ -296,7 +296,7 @@ def test_language_learns_distinct_texts(spark, monkeypatch):
     df = spark.createDataFrame(data + [(data[0][0], data[0][1])] * 3000, "text string, lang string")
     seen = []
     whole = langid.machines
-    monkeypatch.setattr(langid, "machines", lambda x, labels: seen.append((x, labels)) or whole(x, labels))
+    monkeypatch.setattr(langid, "machines", lambda x, labels, rows=None: seen.append((x, labels)) or whole(x, labels, rows))
     langid.fit(df, sample=60)
     x, labels = seen[0]
     assert len(x) == 60 and len(np.unique(x, axis=0)) == 60
