@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package, removed, shared_dir, written
+from gridkin.llm._common import find_package, give_back, removed, shared_dir, written
 from gridkin.llm._graph import components
 from gridkin.llm._words import blocks, mixed, span_hashes, spans
 
@@ -105,6 +105,7 @@ def _signatures(width: int):
                     "s2": _per_text(mixed(h, 0x60BEE2BEE120FC15), counts, np.add).view(np.int64),
                     "mins": list(minhashes(h, counts).view(np.int32)),
                 })
+        give_back()
 
     return run
 
