@@ -20,12 +20,20 @@ from pyspark.sql import functions as F
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what finished jobs have left: Spark then drops the shuffle files and broadcasts that
+    nothing refers to any more, and the heap shrinks, which in a long run of stages would only grow."""
+    spark._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. It goes when the driver ends.
+    """A new folder under spark.checkpoint.dir, which driver and executors share, for a run that begins; what
+    earlier ones have left is released. The folder goes when the driver ends.
 
     Where the setting is absent, a local session gets a temporary folder that goes at exit;
     any other session is refused, since its executors would not see each other's files.
     """
+    release(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     local = not base
     if not base:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package, give_back, removed, shared_dir, written
+from gridkin.llm._common import find_package, give_back, release, removed, shared_dir, written
 from gridkin.llm._words import span_hashes
 
 #: Pieces whose ids every reader of texts holds, at most.
@@ -46,6 +46,8 @@ STEPS = 16
 BLOCK = 3_000_000
 #: Bytes over which a piece is merged by a queue: a fold takes time in proportion to their square.
 LONG_PIECE = 2000
+#: Characters of a plan that Spark describes, so that the rank map is not kept as text for every query.
+PLAN_CHARACTERS = 100_000
 #: Of the second hash that pieces are known by.
 SALT = 0x5D1B
 #: Maps that the parts are dealt to.
@@ -163,7 +165,7 @@ def distinct_pieces(texts: list[str]) -> Cut:
 
 @dataclass(frozen=True)
 class Held:
-    """Pieces that every reader of texts holds, by two hashes: one (rising) and two; n: ids of each; said and plain:
+    """Pieces that every reader of texts holds, by two hashes, as signed numbers: one (rising) and two; n: ids of each; said and plain:
     their decimal ids and their bytes, one after another, from said_at[i] to said_at[i + 1] and so on."""
 
     one: np.ndarray
@@ -176,26 +178,23 @@ class Held:
 
     @staticmethod
     def of(rows: pa.Table) -> Held:
-        """rows: piece, said, plain (binary) and n. The buffers of the columns are used as they are."""
+        """rows, by one: one, two, said, plain (binary) and n. The buffers of the columns are used as they are."""
 
-        def parts(table: pa.Table, name: str) -> tuple[bytes, np.ndarray]:
-            column = pa.concat_arrays(table[name].chunks) if table.num_rows else pa.array([], pa.binary())
-            at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
-            return (column.buffers()[2].to_pybytes() if len(column) else b""), at.astype(np.int64)
+        def parts(name: str) -> tuple[bytes, np.ndarray]:
+            column = pa.concat_arrays(rows[name].chunks) if rows.num_rows else pa.array([], pa.binary())
+            if not len(column):
+                return b"", np.zeros(1, np.int32)
+            return column.buffers()[2].to_pybytes(), np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
 
-        raw, at = parts(rows, "piece")
-        buf = np.frombuffer(raw, np.uint8)
-        one, two = (span_hashes(buf, at[:-1], at[1:], salt) for salt in (0, SALT))
-        order = np.argsort(one)
-        rows = rows.select(["said", "plain", "n"]).take(pa.array(order))
-        return Held(one[order], two[order], rows["n"].to_numpy().astype(np.int64), *parts(rows, "said"), *parts(rows, "plain"))
+        return Held(*(rows[c].to_numpy() for c in ("one", "two", "n")), *parts("said"), *parts("plain"))
 
     def places(self, cut: Cut) -> np.ndarray:
         """The place of each distinct piece, -1 for those that are not held."""
         if not len(self.one):
             return np.full(len(cut.one), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.one, cut.one), len(self.one) - 1)
-        return np.where((self.one[at] == cut.one) & (self.two[at] == cut.two()), at, -1)
+        one = cut.one.view(np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return np.where((self.one[at] == one) & (self.two[at] == cut.two().view(np.int64)), at, -1)
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
@@ -387,6 +386,8 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     find_package(spark)
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > PLAN_CHARACTERS:  # Spark keeps plans as text, literals too
+        spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARACTERS)
     ranks = read_ranks(ranks_path)
     table, parts = rank_map(ranks), part_table(ranks)
     give_back()
@@ -398,7 +399,17 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     known = known.select("piece", F.get(folded(F.array("piece"), table), 0).alias("ids"))
     known = written(known.select("piece", said(F.col("ids")).alias("said"), F.size("ids").alias("n"), _let(parts, lambda t: decoded(F.col("ids"), t)).alias("plain")), folder, "frequent")
     removed(spark, folder, "counts")
+    release(spark)
+    def hashed(salt: int) -> Column:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                at = np.cumsum([0, *map(len, batch)])
+                yield pd.Series(span_hashes(np.frombuffer(b"".join(batch), np.uint8), at[:-1], at[1:], salt).view(np.int64))
+
+        return F.pandas_udf(run, "bigint")("piece")
+
     raw = known.select(F.encode("piece", "ISO-8859-1").alias("piece"), F.col("said").cast("binary").alias("said"), "plain", "n")
+    raw = raw.select(hashed(0).alias("one"), hashed(SALT).alias("two"), "said", "plain", "n").orderBy("one")
     shared = spark.sparkContext.broadcast(Held.of(raw.toArrow()))  # FREQUENT rows at most
     long_ranks = spark.sparkContext.broadcast(ranks)
     give_back()
@@ -435,7 +446,7 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
             for row in batch.itertuples(index=False):
                 place = np.frombuffer(row.place, np.int32).astype(np.int64)
                 rest, known = np.flatnonzero(place < 0), np.maximum(place, 0)
-                many = frequent.n[known] if len(frequent.n) else np.zeros(len(place), np.int64)
+                many = frequent.n[known].astype(np.int64) if len(frequent.n) else np.zeros(len(place), np.int64)
                 words, plain = ([blob[a:b] for a, b in zip(at[known].tolist(), at[known + 1].tolist(), strict=True)] if len(frequent.n) else [b""] * len(place)
                                 for blob, at in ((frequent.said, frequent.said_at), (frequent.plain, frequent.plain_at)))
                 many[rest] = np.asarray(row.n, np.int64)[-1 - place[rest]]

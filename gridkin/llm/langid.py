@@ -70,7 +70,7 @@ def features(texts: list[str]) -> np.ndarray:
 def svm(x: np.ndarray, own: np.ndarray, y: np.ndarray, cost: float = 20.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with hinge loss over the rows own of x; y: 1 or -1 for each.
     Rows are read in place; the bias is a further feature of 1."""
-    norms, alpha = np.array([float(x[i] @ x[i]) + 1.0 for i in own]), np.zeros(len(own))
+    norms, alpha = np.array([1.0 + float((x[i].astype(np.float64) ** 2).sum()) for i in own]), np.zeros(len(own))
     w, bias = np.zeros(x.shape[1]), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -190,13 +190,11 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
                 yield pd.DataFrame({"lang": [lang for lang, _, _ in own], "u": [u for _, u, _ in own], "x": x})
 
     once = drawn.mapInPandas(extract, "lang string, u long, x binary").groupBy("lang", "u").agg(F.min("x").alias("x"))
-    taken = sorted(((r.lang, r.u, bytes(r.x)) for r in once.toLocalIterator()))  # sample rows, of FEATURES halves each
-    if not taken:
-        return LanguageModel(Machines((), (), np.zeros((FEATURES + 1, 0))), {})
-    labels, x = np.array([lang for lang, _, _ in taken], object), np.empty((len(taken), FEATURES), np.float32)
-    for i, (_, _, row) in enumerate(taken):
-        x[i] = np.frombuffer(row, np.float16)
-    del taken
+    labels, x = [], np.empty((sum(len(v[:each]) for v in least.values()), FEATURES), np.float16)
+    for r in once.orderBy("lang", "u").toLocalIterator():  # sample rows, of FEATURES halves each
+        x[len(labels)] = np.frombuffer(bytes(r.x), np.float16)
+        labels.append(r.lang)
+    labels, x = np.array(labels, object), x[: len(labels)]
     family = np.array([_FAMILY_OF.get(lang, f"other {lang}") for lang in labels], object)
     model = LanguageModel(machines(x, family), {f: machines(x, labels, np.flatnonzero(family == f)) for f in set(family)})
     del x

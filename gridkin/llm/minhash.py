@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridkin.llm._common import find_package, give_back, removed, shared_dir, written
+from gridkin.llm._common import find_package, give_back, release, removed, shared_dir, written
 from gridkin.llm._graph import components
 from gridkin.llm._words import blocks, mixed, span_hashes, spans
 
@@ -296,6 +296,7 @@ def near_duplicates(
     apart = named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     links = links.union(written(_linked(apart, texts, width, percent), folder, "others"))
     found = components(links, folder, "second")
+    release(docs.sparkSession)
     more = written(_linked(_open_pairs(keys, texts, found, width, percent, folder), texts, width, percent), folder, "more")
     if not more.isEmpty():
         found = components(links.union(more), folder, "all")
