@@ -64,7 +64,7 @@ def removed(spark: SparkSession, folder: str, *names: str) -> None:
 
 
 #: Rows and bytes that a Python worker gets at a time, so that long texts do not add up.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def find_package(spark: SparkSession) -> None:
@@ -79,11 +79,24 @@ def find_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
 
 
+#: Bytes from which an array gets pages of its own, which go back to the system with it. The C library would
+#: raise its own bound to 32 MiB as arrays come and go, and keep what it then takes for them.
+OWN_PAGES = 4 << 20
+
+
+def _own_pages() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
+
+
+_own_pages()
+
+
 def give_back() -> None:
     """Return memory that is free again to the system: workers and the driver live on after a task's peak."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 

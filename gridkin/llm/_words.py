@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: UTF-8 bytes of text taken at a time; a longer text is taken alone.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Texts taken at a time.
-BLOCK_TEXTS = 4096
+BLOCK_TEXTS = 1024
 
 #: Bytes over which a span's hash is a digest.
 DIGEST_OVER = 1024

@@ -127,6 +127,7 @@ def _verify(width: int, percent: int):
                 common = len(own & held)
                 linked.append(100 * common >= percent * (len(own) + len(held) - common))
             yield batch.loc[np.array(linked, bool), ["a", "b"]]
+        give_back()
 
     return run
 
@@ -153,6 +154,7 @@ def _prefixes(width: int, percent: int, common):
                 "token": h[at].view(np.int64), "node": part["node"].to_numpy()[of[at]], "n": n[of[at]], "place": place[at],
                 "component": part["component"].to_numpy()[of[at]],
             })
+        give_back()
 
     return run
 
@@ -163,6 +165,7 @@ def _counters(width: int):
         for _, h, _ in _hashed(batches, width):
             counts += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         own = np.flatnonzero(counts)
+        give_back()
         yield pd.DataFrame({"counter": own, "n": counts[own]})
 
     return run
