@@ -413,6 +413,7 @@ def encode(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(Held.of(raw.toArrow()))  # FREQUENT rows at most
     long_ranks = spark.sparkContext.broadcast(ranks)
     give_back()
+    release(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = shared.value
