@@ -7,17 +7,19 @@ gives region, species, left, right, distance for pairs of units. Own models subc
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridkin.functions import columns as C
-from gridkin.operators.alignment import terminals, unit_pairs, unit_vertices, unknown_units, with_endpoints
+from gridkin.operators.alignment import join_groups, terminals, unit_pairs, unit_vertices, unknown_units, with_endpoints
 from gridkin.operators.resistance import Solved, Solver, method_of, pair_resistances, resistances, solver_of
 from gridkin.operators.tape import Node, Tape, flat, rebuilt
 
@@ -321,6 +323,92 @@ class LogLinear(ResistanceModel):
         return value, back
 
 
+#: Parts that the units of a region and species are dealt to; a tile holds the pairs of one or two of them.
+PARTS = 8
+#: Pairs whose distances are computed at a time.
+TILE_PAIRS = 1 << 17
+
+
+@dataclass(frozen=True)
+class _Vectors:
+    """Units with their order and vectors, as rows of x. width: numbers in a vector, -1 for one that is or holds null."""
+
+    unit: pa.Array
+    order: np.ndarray
+    x: np.ndarray
+    width: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> _Vectors:
+        unit, column = (rows.combine_chunks()[c].chunk(0) for c in ("unit", "vector"))
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        flat = column.flatten()
+        x = np.zeros((len(n), n.max(initial=0)))
+        x[of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)] = pc.cast(pc.fill_null(flat, 0), pa.float64()).to_numpy(zero_copy_only=False)
+        lost = np.bincount(of[flat.is_null().to_numpy(zero_copy_only=False)], minlength=len(n)) > 0
+        lost |= column.is_null().to_numpy(zero_copy_only=False)
+        return _Vectors(unit, rows["unit_ord"].to_numpy(), x, np.where(lost, -1, n))
+
+    def pairs(self, other: _Vectors, key: tuple) -> Iterator[pa.RecordBatch]:
+        """The distances between these and others, the earlier unit on the left; of these among each other, each once."""
+        width = min(self.x.shape[1], other.x.shape[1])
+        across, units = np.ascontiguousarray(other.x.T), pa.concat_arrays([self.unit, other.unit])
+        rows = max(1, TILE_PAIRS // max(1, len(other.order)))
+        for at in range(0, len(self.order), rows):
+            some = slice(at, at + rows)
+            total = np.zeros((len(self.order[some]), len(other.order)))
+            step = np.empty_like(total)
+            for k in range(width):  # in the order of a sum
+                np.subtract(self.x[some, k, None], across[k], out=step)
+                np.multiply(step, step, out=step)
+                total += step
+            before, after = self.order[some, None] < other.order, self.order[some, None] > other.order
+            i, j = np.nonzero(before if other is self else before | after)
+            if not len(i):
+                continue
+            first, second, turned = i + at, j + len(self.order), after[i, j]
+            unknown = (self.width[some][i] != other.width[j]) | (other.width[j] < 0)
+            region, species = (pa.repeat(x, len(i)) for x in key[:2])
+            ends = (units.take(pa.array(np.where(turned, a, b))) for a, b in ((second, first), (first, second)))
+            yield pa.RecordBatch.from_arrays(
+                [region, species, *ends, pa.array(total[i, j], mask=unknown)], ["region", "species", "left", "right", "distance"]
+            )
+
+
+def _tile_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances of the pairs of each tile. Rows come by tile; the units of a tile's first part are held, those
+    of its second part pass by."""
+    key, parts, held = None, [], None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        new = np.zeros(len(batch), bool)
+        new[:1] = True
+        for c in ("region", "species", "a", "b", "second"):
+            x = rows[c].to_pandas().to_numpy(object)
+            new[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(new)
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)], strict=True):
+            own = tuple(rows[c][at] for c in ("region", "species", "a", "b"))
+            some, second = rows.slice(at, end - at), rows["second"][at].as_py()
+            if key is None or [x.as_py() for x in own] != [x.as_py() for x in key]:
+                yield from _among(parts, key)
+                key, parts, held = own, [], None
+            if not second:
+                parts.append(some)
+            elif parts:
+                held = held or _Vectors.of(pa.concat_tables(parts))
+                yield from held.pairs(_Vectors.of(some), key)
+    yield from _among(parts, key)
+
+
+def _among(parts: list[pa.Table], key: tuple | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of a tile that has one part."""
+    if parts and key[2].as_py() == key[3].as_py():
+        held = _Vectors.of(pa.concat_tables(parts))
+        yield from held.pairs(held, key)
+
+
 @dataclass(frozen=True)
 class EmbeddingModel(DistanceModel):
     """Distances are squared differences of the units' vectors."""
@@ -329,6 +417,23 @@ class EmbeddingModel(DistanceModel):
     def embedding(self, cells: DataFrame, units: DataFrame) -> DataFrame:
         """region, species, unit, vector."""
 
+    def distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+        """As in the base. All pairs are made where the vectors meet: what moves are units, PARTS times each, and
+        never a vector for each pair."""
+        if pairs is not None:
+            return super().distances(cells, units, pairs)
+        own = self.known(units).where(F.col("unit_ord").isNotNull()).select("region", "species", "unit", "unit_ord")
+        vectors = join_groups(own, self.embedding(cells, self.known(units)).select("region", "species", "unit", "vector"), ("unit",))
+        part = F.pmod(F.xxhash64("unit"), F.lit(PARTS)).cast("int")
+        tiles = F.transform(
+            F.sequence(F.lit(0), F.lit(PARTS - 1)),
+            lambda k: F.struct(F.least(part, k).alias("a"), F.greatest(part, k).alias("b"), (part > k).alias("second")),
+        )
+        key = ["region", "species", "a", "b"]
+        dealt = vectors.select("*", F.inline(tiles)).repartition(*key).sortWithinPartitions(*key, "second")
+        kind = {f.name: f.dataType.simpleString() for f in own.schema}
+        return dealt.mapInArrow(_tile_distances, f"region {kind['region']}, species {kind['species']}, left {kind['unit']}, right {kind['unit']}, distance double")
+
     def pair_distances(self, cells: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
         v, out = self.embedding(cells, units), pairs.select("region", "species", "left", "right")
         for side in ("left", "right"):

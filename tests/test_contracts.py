@@ -261,3 +261,52 @@ def test_batches_and_callbacks(spark):
     assert [r[0] for r in state.history if r[2] == "all"] == [0, 2, 4]
     done, still = T.train(both, observed, model, PLAIN, T.TrainingConfig(steps=9, tolerance=1e9))
     assert still.converged and still.step == 0 and done.slope == model.slope
+
+
+def shuffled(spark, df):
+    """Bytes that are written to shuffles until df has run."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return written() - before
+
+
+class Given(D.EmbeddingModel):
+    def embedding(self, cells, units):
+        return units.select("region", "species", "unit", "vector")
+
+
+def test_embedding_distances_move_no_vector_for_each_pair(spark):
+    rng = np.random.default_rng(2)
+    rows = [("r", None, f"u{i}", i, 0, 0, rng.normal(size=4).tolist()) for i in range(800)]
+    units = spark.createDataFrame(rows, "region string, species string, unit string, unit_ord int, row int, col int, vector array<double>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are large
+    try:
+        out = Given().distances(units, units)
+        assert out.count() == 800 * 799 // 2
+        assert 0 < shuffled(spark, out) < 1_000_000  # 3 bytes a pair
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_embedding_distances_of_all_pairs_are_those_of_listed_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [
+        (f"r{i % 2}", ("a", "b", "c")[i % 3], f"u{i}", i // 2 if i < 20 else i, 0, 0, (rng.normal(size=(5, 5, 5, 3)[i % 4] if i > 40 else 5)).tolist())
+        for i in range(80)
+    ]  # some units share an order, and have no pair; some vectors are of another length
+    odd = [("r0", "a", "n0", 900, 0, 0, None), ("r0", "a", "n1", 901, 0, 0, [1.0, None, 2.0, 3.0, 4.0]), ("r0", "a", "n2", 902, 0, 0, [float("nan")] * 5), ("r0", "a", "n3", None, 0, 0, [1.0] * 5), ("r0", "a", "n4", 903, 0, 0, [])]
+    units = spark.createDataFrame(rows + odd, "region string, species string, unit string, unit_ord int, row int, col int, vector array<double>")
+    for m, own in ((Given(species=("a", "b")), units), (Given(), units.withColumn("species", F.when(F.col("species") != "b", F.col("species"))))):
+        listed = m.distances(own, own, A.unit_pairs(m.known(own)))
+        all_ = m.distances(own, own)
+        assert [(f.name, f.dataType) for f in all_.schema] == [(f.name, f.dataType) for f in listed.schema]
+        assert sorted(map(str, all_.collect())) == sorted(map(str, listed.collect()))
+    assert Given().distances(units.limit(0), units.limit(0)).count() == 0
