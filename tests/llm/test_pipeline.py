@@ -69,3 +69,12 @@ def test_stages_on_odd_rows(spark, sf):
             docs = out
     assert ids["language"] == [0, 1, 2, 2, 5, 6] and ids["exact"] == [0, 2, 5, 6] and ids["near"] == [0, 2, 5]
     assert set(ids["tokens"]) <= {0, 2, 5} and len(ids["tokens"]) == len(ids["mixture"]) >= 1
+
+
+def test_release_gives_the_drivers_heap_back(spark):
+    from gridkin.llm import _common
+
+    _common.release(spark)
+    bean = _common._bean(spark, "com.sun.management:type=HotSpotDiagnostic")
+    assert "value=25" in bean("getVMOption", "MaxHeapFreeRatio").toString()  # a JVM keeps up to 70 % free of itself
+    assert "Trim" in str(_common._bean(spark, "com.sun.management:type=DiagnosticCommand")("systemTrimNativeHeap"))
