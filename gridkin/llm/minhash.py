@@ -9,8 +9,9 @@ s = 0.8, and more above.
 
 Documents with one shingle set are one node. A bucket (the nodes with one key) links its members to
 its smallest one, so that a bucket of true copies of any size costs one pair a member. What then
-still lies in several components of a bucket is open: for open nodes an exact filter gives the pairs
-across components that can be similar enough. In one order of all shingles, two sets of that
+still lies in several components of a bucket is open: open nodes are first compared with the hubs of
+the shingles they begin with, which brings copies together at a few pairs a node, and then an exact
+filter gives the pairs across components that can be similar enough. In one order of all shingles, two sets of that
 similarity share one of the first n - ceil(0.8 n) + 1 of each; the order puts rare shingles first,
 and the sizes and the places of the shared shingle bound what two sets can have in common. So no
 two members of a bucket stay apart unless a comparison says so, and none are compared in vain
@@ -221,8 +222,9 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _open_pairs(keys: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
-    """The pairs that can be linked among nodes of buckets that hold several components, across those."""
+def _open_prefixes(keys: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """token, node, n, place, component and most for the first shingles of the open nodes: a node's set can be
+    linked, over what begins with a token, with sets of at most so many shingles."""
     named = keys.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("key")
     rest = named.join(split, "key", "left_semi").select("node", "component").distinct()
@@ -235,13 +237,34 @@ def _open_pairs(keys: DataFrame, texts: DataFrame, found: DataFrame, width: int,
     schema = "token bigint, node bigint, n bigint, place bigint, component bigint"
     first = written(open_.mapInPandas(_prefixes(width, percent, common), schema), folder, "first")
     common.unpersist()
-    met = first.groupBy("token").agg((F.min("component") != F.max("component")).alias("met")).where("met").select("token")
-    first = first.join(met, "token", "left_semi")
-    x, y = (first.select(*(F.col(c).alias(c + s) for c in ("token", "node", "n", "place", "component"))) for s in "xy")
-    least = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))  # of shared shingles
-    can = F.lit(1) + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) - 1 >= least  # itself and what follows it
-    across = (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") > F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & can
-    return x.join(y, across).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+    # a token and what follows it are n - place shingles, of which linked sets share percent * (n + other n) / (100 + percent)
+    return first.withColumn("most", F.expr(f"(n - place) * {100 + percent} div {percent} - n"))
+
+
+def _hub_pairs(first: DataFrame) -> DataFrame:
+    """Pairs of each node with the hubs of its tokens: of the sets of like size that have a token, the one with the
+    fewest shingles before it, which is the nearest to what they are copies of. Two pairs a token and node at most."""
+    size = F.floor(F.log("n") / F.log(F.lit(1.25)))
+    hub = F.min(F.struct("place", "node", "n", "most", "component")).alias("hub")
+    hubs = first.groupBy("token", size.alias("own")).agg(hub).select("token", "hub", F.explode(F.array("own", F.col("own") + 1)).alias("size"))
+    near = first.withColumn("size", size).join(hubs, ["token", "size"])
+    near = near.where("component <> hub.component and n <= hub.most and hub.n <= most")
+    return near.select(*_pair("node", "hub.node")).distinct()
+
+
+def _open_pairs(first: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that can be linked among open nodes, across components. At each token, the nodes outside the
+    component that has most of its nodes meet all others; those of that component don't meet one another."""
+    now = first.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    reach = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.max("most").alias("most"))
+    met = reach.groupBy("token").agg(
+        (F.min("component") != F.max("component")).alias("met"), F.min("least").alias("least"), F.max("most").alias("widest"),
+        F.max(F.struct("rows", "component"))["component"].alias("main"),
+    )
+    now = now.join(met.where("met").drop("met"), "token").where("least <= most and n <= widest")
+    x, y = (now.select(*(F.col(c).alias(c + s) for c in ("token", "node", "n", "most", "component", "main"))) for s in "xy")
+    apart = "tokenx = tokeny and componentx <> componenty and nx <= mosty and ny <= mostx and (nodex > nodey or componenty = mainy)"
+    return x.where("componentx <> mainx").join(y, F.expr(apart)).select(*_pair("nodex", "nodey")).distinct()
 
 
 def distinct_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -300,10 +323,16 @@ def near_duplicates(
     links = links.union(written(_linked(apart, texts, width, percent), folder, "others"))
     found = components(links, folder, "second")
     release(docs.sparkSession)
-    more = written(_linked(_open_pairs(keys, texts, found, width, percent, folder), texts, width, percent), folder, "more")
+    first = _open_prefixes(keys, texts, found, width, percent, folder)
+    # what is a copy of a hub is in its component now, so that only what is not meets the rest
+    hubs = written(_linked(_hub_pairs(first), texts, width, percent), folder, "hubs")
+    if not hubs.isEmpty():
+        links = links.union(hubs)
+        found = components(links, folder, "third")
+    more = written(_linked(_open_pairs(first, found), texts, width, percent), folder, "more")
     if not more.isEmpty():
         found = components(links.union(more), folder, "all")
-    removed(docs.sparkSession, folder, "buckets", "nodes", "texts", "open", "first", "pairs", "links", "others", "more")
+    removed(docs.sparkSession, folder, "buckets", "nodes", "texts", "open", "first", "pairs", "links", "others", "hubs", "more")
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = named.join(lows, "component").select("s1", "s2", "component_id")

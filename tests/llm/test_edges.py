@@ -78,6 +78,32 @@ def test_near_copies_of_one_text_lose_no_link(spark):
     assert len(set(want)) > 5 and [got[i] for i in range(150)] == want
 
 
+def test_copies_of_one_text_are_compared_a_few_times_each(spark, monkeypatch):
+    """One group of near copies, most of them linked only through the text they are copies of: comparisons don't
+    grow with the square of the group, and the components are those of all pairs."""
+    rng = random.Random(12)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(240):
+        copy = list(base)
+        for k in rng.sample(range(10, 140, 10), 3 if i < 120 else 1):
+            copy[k] = f"x{i}-{k}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base), *(" ".join([*base[:75], *(f"y{i}-{k}" for k in range(40)), *base[75:]]) for i in range(5))]
+    from tests.llm.test_corpus import plain_components
+
+    _, want = plain_components(texts, 5)
+    compared, linked = [], minhash._linked
+
+    def counted(pairs, *how):
+        compared.append(pairs.count())
+        return linked(pairs, *how)
+
+    monkeypatch.setattr(minhash, "_linked", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), width=5).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 6
+    assert sum(compared) < 20 * len(texts), compared
+
+
 def test_recall_of_the_tables():
     """Of pairs at a similarity near 0.8, the tables bring all but few together."""
     rng = np.random.default_rng(4)
